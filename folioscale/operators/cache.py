@@ -10,14 +10,14 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from folioscale.constants import BLOCK_BYTES, CACHE_BLOCKS
-from folioscale.functions._util import floor_div, int_div
+from folioscale.functions._util import floor_div
 from folioscale.functions.blocks import block_fetch_size, first_block, last_block
 from folioscale.operators.pages import explode_range
 
-READS_PER_CHUNK = 1 << 20
+READS_PER_CHUNK = 1 << 23
 
 
 def _clipped(reads: DataFrame) -> DataFrame:
@@ -112,29 +112,27 @@ def _carry(capacity: int) -> Callable[[_Batches], _Batches]:
     return run
 
 
-def _chunk_starts(reads: DataFrame, reads_per_chunk: int) -> DataFrame:
-    """``task_id, bucket, chunk`` for those parts of long tasks that lie beyond
-    the first chunk.
+def _chunked(reads: DataFrame, reads_per_chunk: int) -> DataFrame:
+    """Reads with ``is_long`` and their ``chunk``: tasks with more than
+    ``reads_per_chunk`` reads are cut every ``reads_per_chunk`` sequence
+    numbers, hence into chunks of at most that many reads.
 
-    ``seq`` is cut into buckets of ``reads_per_chunk`` numbers, hence as many
-    reads at most; neighbouring buckets are then joined until they hold about
-    that many reads, so sparse numbering does not give tiny chunks.
+    The ids of long tasks are broadcast: at most (number of reads) /
+    ``reads_per_chunk`` of them exist, about a hundred thousand in 10^12 reads.
     """
-    before = Window.partitionBy("task_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        reads.groupBy("task_id", _bucket(reads_per_chunk).alias("bucket"))
+    long_tasks = (
+        reads.groupBy("task_id")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("chunk", int_div(F.coalesce(F.sum("n").over(before), F.lit(0)), reads_per_chunk))
-        .where(F.col("chunk") > 0)
-        .select("task_id", "bucket", "chunk")
+        .where(F.col("n") > reads_per_chunk)
+        .select("task_id", F.lit(True).alias("is_long"))
+    )
+    chunk = F.when(F.col("is_long"), floor_div(F.col("seq"), reads_per_chunk))
+    return reads.join(F.broadcast(long_tasks), "task_id", "left").withColumn(
+        "chunk", F.coalesce(chunk, F.lit(0).cast("bigint"))
     )
 
 
-def _bucket(reads_per_chunk: int) -> Column:
-    return floor_div(F.col("seq"), reads_per_chunk)
-
-
-def _seeds(chunked: DataFrame, long_tasks: DataFrame, capacity: int) -> DataFrame:
+def _seeds(chunked: DataFrame, capacity: int) -> DataFrame:
     """Cache content at the start of each later chunk of long tasks.
 
     A chunk is summed up by the last ``capacity`` distinct blocks it touched,
@@ -143,7 +141,7 @@ def _seeds(chunked: DataFrame, long_tasks: DataFrame, capacity: int) -> DataFram
     """
     newest = Window.partitionBy("task_id", "chunk").orderBy(F.desc("last_seq"), F.desc("block"))
     touched = explode_range(
-        chunked.join(long_tasks, "task_id", "left_semi"), F.col("first_block"), F.col("last_block"), "block"
+        chunked.where(F.col("is_long")), F.col("first_block"), F.col("last_block"), "block"
     )
     summaries = (
         touched.groupBy("task_id", "chunk", "block")
@@ -164,21 +162,14 @@ def cache_attribution(
 ) -> DataFrame:
     """Every block touch as hit or miss under an LRU cache per task.
 
-    Reads, not touches, are shuffled, once, by (task, chunk): a task is cut
-    into chunks of about ``reads_per_chunk`` reads, so that one huge task does
-    not end up in one partition, and each chunk starts from the cache content
-    its predecessors leave behind. A Python pass carries only that content.
+    Reads, not touches, are shuffled, once, by (task, chunk): a huge task is
+    cut into chunks, so that it does not end up in one partition, and each
+    chunk starts from the cache content its predecessors leave behind. A Python
+    pass carries only that content.
     """
     clipped = _clipped(reads).select("task_id", "seq", "first_block", "last_block", "file_size")
-    starts = _chunk_starts(clipped, reads_per_chunk)
-    chunked = (
-        clipped.withColumn("bucket", _bucket(reads_per_chunk))
-        .join(starts, ["task_id", "bucket"], "left")
-        .withColumn("chunk", F.coalesce(F.col("chunk"), F.lit(0).cast("bigint")))
-        .drop("bucket")
-    )
-    long_tasks = starts.select("task_id").distinct()
-    seeds = _seeds(chunked, long_tasks, capacity).select(
+    chunked = _chunked(clipped, reads_per_chunk)
+    seeds = _seeds(chunked, capacity).select(
         "task_id",
         "chunk",
         F.lit(False).alias("is_read"),
@@ -188,7 +179,8 @@ def cache_attribution(
         F.lit(0).cast("bigint").alias("file_size"),
     )
     ordered = (
-        chunked.withColumn("is_read", F.lit(True))
+        chunked.drop("is_long")
+        .withColumn("is_read", F.lit(True))
         .unionByName(seeds)
         .repartition("task_id", "chunk")
         .sortWithinPartitions("task_id", "chunk", "is_read", "seq", "first_block")

@@ -14,12 +14,6 @@ from folioscale.functions._util import floor_div
 _SPAN_TIMEOUTS = 8
 
 
-def response_rank() -> Column:
-    """Orders responses that arrive in the same millisecond: accepted before
-    failed, then the larger one."""
-    return F.struct((~F.col("ok")).alias("failed"), (-F.col("bytes")).alias("neg_bytes"))
-
-
 def request_status(ok: Column) -> Column:
     return F.when(ok.isNull(), "timeout").when(ok, "ok").otherwise("error")
 
@@ -39,16 +33,31 @@ def correlate_requests(
     """
     span = timeout_ms * _SPAN_TIMEOUTS
 
-    asked = requests.groupBy("request_id", F.col("sent_ms").alias("at")).agg(
-        F.lit(None).cast("struct<failed:boolean,neg_bytes:bigint>").alias("answer")
-    ).withColumns({"span": floor_div(F.col("at"), span), "is_response": F.lit(False)})
+    asked = (
+        requests.select("request_id", F.col("sent_ms").alias("at"))
+        .distinct()
+        .withColumns({"span": floor_div(F.col("at"), span), "is_response": F.lit(False)})
+    )
 
+    # Of responses in the same millisecond an accepted one comes first, then
+    # the larger one.
+    accepted = F.coalesce(F.col("ok"), F.lit(False))
     earliest = floor_div(F.col("at") - timeout_ms, span)
     answered = (
         responses.groupBy("request_id", F.col("recv_ms").alias("at"))
-        .agg(F.min(response_rank()).alias("answer"))
-        .withColumn("span", F.explode(F.sequence(earliest, floor_div(F.col("at"), span))))
-        .withColumn("is_response", F.lit(True))
+        .agg(
+            F.max(accepted).alias("ok"),
+            F.max(F.when(accepted, F.col("bytes"))).alias("ok_bytes"),
+            F.max("bytes").alias("any_bytes"),
+        )
+        .select(
+            "request_id",
+            "at",
+            F.explode(F.sequence(earliest, floor_div(F.col("at"), span))).alias("span"),
+            F.lit(True).alias("is_response"),
+            "ok",
+            F.when(F.col("ok"), F.col("ok_bytes")).otherwise(F.col("any_bytes")).alias("bytes"),
+        )
     )
 
     backward = (
@@ -56,20 +65,19 @@ def correlate_requests(
         .orderBy(F.desc("at"), F.desc("is_response"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    following = F.when(F.col("is_response"), F.struct("at", "answer"))
+    following = F.when(F.col("is_response"), F.struct("at", "ok", "bytes"))
     matched = (
-        asked.unionByName(answered)
+        asked.unionByName(answered, allowMissingColumns=True)
         .withColumn("next", F.last(following, ignorenulls=True).over(backward))
         .where(~F.col("is_response"))
     )
     in_time = F.col("next.at") <= F.col("at") + timeout_ms
-    ok = F.when(in_time, ~F.col("next.answer.failed"))
     return matched.select(
         "request_id",
         F.col("at").alias("sent_ms"),
         F.when(in_time, F.col("next.at")).alias("recv_ms"),
-        F.when(in_time, -F.col("next.answer.neg_bytes")).alias("bytes"),
-        request_status(ok).alias("status"),
+        F.when(in_time, F.col("next.bytes")).alias("bytes"),
+        request_status(F.when(in_time, F.col("next.ok"))).alias("status"),
     )
 
 

@@ -9,11 +9,10 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any, Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from folioscale.functions._util import floor_div
-from folioscale.operators.pages import explode_range
 
 PAGES_PER_GROUP = 256
 _FLUSH_ROWS = 256
@@ -42,14 +41,22 @@ class Renderer(Protocol):
     def close(self, document: Any) -> None: ...
 
 
-_PAGE_SCHEMA = (
-    "success boolean, error string, width int, height int, image binary, "
-    "size_bytes bigint, render_ms bigint, encode_ms bigint"
-)
+# Columns a rendered page adds to its keys, as Arrow types and as Spark DDL.
+_OUTCOME = [
+    ("copies", pa.int64(), "bigint"),
+    ("success", pa.bool_(), "boolean"),
+    ("error", pa.string(), "string"),
+    ("width", pa.int32(), "int"),
+    ("height", pa.int32(), "int"),
+    ("image", pa.binary(), "binary"),
+    ("size_bytes", pa.int64(), "bigint"),
+    ("render_ms", pa.int64(), "bigint"),
+    ("encode_ms", pa.int64(), "bigint"),
+]
 
 
 def _failed(error: str) -> dict[str, Any]:
-    return dict(success=False, error=error, width=0, height=0, image=None, size_bytes=None, render_ms=0, encode_ms=0)
+    return dict(success=False, error=error, width=0, height=0, render_ms=0, encode_ms=0)
 
 
 def _render_one(renderer: Renderer, document: Any, page: dict[str, Any]) -> dict[str, Any]:
@@ -104,17 +111,18 @@ class _OpenDocument:
         self.group = None
 
 
-def _flushed(rows: Iterable[dict[str, Any]], columns: list[str]) -> Iterator[pd.DataFrame]:
-    """Cut a row stream into frames by count and payload size."""
-    pending, held = [], 0
+def _batched(rows: Iterable[dict[str, Any]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Cut a row stream into batches by count and payload size."""
+    pending: list[dict[str, Any]] = []
+    held = 0
     for row in rows:
         pending.append(row)
-        held += len(row["image"] or b"")
+        held += len(row.get("image") or b"")
         if len(pending) >= _FLUSH_ROWS or held >= _FLUSH_BYTES:
-            yield pd.DataFrame(pending, columns=columns).astype({"size_bytes": "Int64"})
+            yield pa.RecordBatch.from_pylist(pending, schema)
             pending, held = [], 0
     if pending:
-        yield pd.DataFrame(pending, columns=columns).astype({"size_bytes": "Int64"})
+        yield pa.RecordBatch.from_pylist(pending, schema)
 
 
 def map_pages(
@@ -126,55 +134,53 @@ def map_pages(
     """Render every planned page: ``doc_id, page_num``, ``format`` if planned,
     the outcome, the image, and ``copies``.
 
-    Equal planned rows are counted first and rendered once (``copies`` tells
-    how often the page was asked for; ``repeat_copies`` undoes it). Pages are
-    then spread by (document, group of ``pages_per_group`` page numbers): a
-    document opens once per group, and a huge one still uses many tasks.
+    Equal planned rows are counted first, unless ``copies`` is planned, and
+    rendered once; ``repeat_copies`` gives a row per request again. Pages are
+    spread by (document, group of ``pages_per_group`` page numbers): a document
+    opens once per group, and a huge one still uses many tasks.
     ``make_renderer`` is called on the executors. Only small planned rows are
     shuffled; documents given by path are read inside the task.
     """
     keys = [name for name in ("doc_id", "page_num", "format") if name in planned.columns]
-    plan_columns = planned.columns
-    out_schema = ", ".join(f"{name} {planned.schema[name].dataType.simpleString()}" for name in keys)
-    out_schema = f"{out_schema}, copies bigint, {_PAGE_SCHEMA}"
-    out_columns = [part.strip().split(" ")[0] for part in out_schema.split(",")]
-
-    def render_rows(frames: Iterator[pd.DataFrame], opened: _OpenDocument) -> Iterator[dict[str, Any]]:
-        for frame in frames:
-            for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
-                opened.enter((row["doc_id"], row["_group"]), row)
-                if opened.error is not None:
-                    outcome = _failed(opened.error)
-                else:
-                    outcome = _render_one(opened.renderer, opened.document, {k: row[k] for k in plan_columns})
-                yield {**{key: row[key] for key in keys}, "copies": row["copies"], **outcome}
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    plan_columns = [name for name in planned.columns if name != "copies"]
+    if "copies" not in planned.columns:
+        planned = planned.groupBy(*plan_columns).agg(F.count(F.lit(1)).alias("copies"))
+
+    def render_rows(batch: pa.RecordBatch, opened: _OpenDocument) -> Iterator[dict[str, Any]]:
+        for row in batch.to_pylist():
+            opened.enter((row["doc_id"], row["_group"]), row)
+            if opened.error is not None:
+                outcome = _failed(opened.error)
+            else:
+                outcome = _render_one(opened.renderer, opened.document, {k: row[k] for k in plan_columns})
+            yield {**{key: row[key] for key in keys}, "copies": row["copies"], **outcome}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             renderer = make_renderer()
         except Exception:  # noqa: BLE001
             renderer = None
         opened = _OpenDocument(renderer, source)
         try:
-            yield from _flushed(render_rows(frames, opened), out_columns)
+            for batch in batches:
+                schema = pa.schema(
+                    [(key, batch.schema.field(key).type) for key in keys]
+                    + [(name, arrow_type) for name, arrow_type, _ in _OUTCOME]
+                )
+                yield from _batched(render_rows(batch, opened), schema)
         finally:
             opened.leave()
 
+    ddl = [f"{key} {planned.schema[key].dataType.simpleString()}" for key in keys]
+    ddl += [f"{name} {spark_type}" for name, _, spark_type in _OUTCOME]
     return (
-        planned.groupBy(*plan_columns)
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("_group", floor_div(F.col("page_num").cast("bigint"), pages_per_group))
+        planned.withColumn("_group", floor_div(F.col("page_num").cast("bigint") - 1, pages_per_group))
         .repartition("doc_id", "_group")
         .sortWithinPartitions("doc_id", "_group", "page_num")
-        .mapInPandas(run, out_schema)
+        .mapInArrow(run, ", ".join(ddl))
     )
 
 
-def repeat_copies(pages: DataFrame) -> DataFrame:
-    """One row per request again, from rows that count ``copies``."""
-    return explode_range(pages, F.lit(1), F.col("copies"), "_copy").drop("_copy", "copies")
-
-
 @dataclass(frozen=True)
 class InspectedPage:
     """Size in points and the kinds of objects on one page."""
@@ -184,11 +190,14 @@ class InspectedPage:
     object_types: tuple[str, ...] = ()
 
 
-_INSPECT_SCHEMA = (
-    "doc_id {id_type}, num_pages int, page_num int, width_pt float, height_pt float, "
-    "object_types array<string>, error string"
-)
-_INSPECT_COLUMNS = ["doc_id", "num_pages", "page_num", "width_pt", "height_pt", "object_types", "error"]
+_INSPECTED = [
+    ("num_pages", pa.int32(), "int"),
+    ("page_num", pa.int32(), "int"),
+    ("width_pt", pa.float32(), "float"),
+    ("height_pt", pa.float32(), "float"),
+    ("object_types", pa.list_(pa.string()), "array<string>"),
+    ("error", pa.string(), "string"),
+]
 
 
 def inspect_documents(
@@ -201,27 +210,36 @@ def inspect_documents(
     row with ``num_pages`` 0. Narrow: documents stay in their partition.
     """
 
-    def rows_of(doc_id: Any, document: Any) -> list[tuple]:
+    def rows_of(doc_id: Any, document: Any) -> list[dict[str, Any]]:
         try:
             pages = list(inspect(document))
         except Exception as problem:  # noqa: BLE001
-            return [(doc_id, None, None, None, None, None, f"Failed to load PDF: {problem}")]
+            return [{"doc_id": doc_id, "error": f"Failed to load PDF: {problem}"}]
         if not pages:
-            return [(doc_id, 0, None, None, None, None, None)]
+            return [{"doc_id": doc_id, "num_pages": 0}]
         return [
-            (doc_id, len(pages), number, page.width_pt, page.height_pt, list(page.object_types), None)
+            {
+                "doc_id": doc_id,
+                "num_pages": len(pages),
+                "page_num": number,
+                "width_pt": page.width_pt,
+                "height_pt": page.height_pt,
+                "object_types": list(page.object_types),
+            }
             for number, page in enumerate(pages, start=1)
         ]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        integers = {"num_pages": "Int32", "page_num": "Int32"}
-        for frame in frames:
-            for doc_id, document in zip(frame["doc_id"], frame[source]):
-                rows = rows_of(doc_id, document)
-                yield pd.DataFrame(rows, columns=_INSPECT_COLUMNS).astype(integers)
-
-    schema = _INSPECT_SCHEMA.format(id_type=docs.schema["doc_id"].dataType.simpleString())
-    return docs.select("doc_id", source).mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields = [("doc_id", batch.schema.field("doc_id").type)]
+            schema = pa.schema(fields + [(name, arrow_type) for name, arrow_type, _ in _INSPECTED])
+            documents = zip(batch.column("doc_id").to_pylist(), batch.column(source))
+            rows = (row for doc_id, document in documents for row in rows_of(doc_id, document.as_py()))
+            yield from _batched(rows, schema)
+
+    ddl = [f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"]
+    ddl += [f"{name} {spark_type}" for name, _, spark_type in _INSPECTED]
+    return docs.select("doc_id", source).mapInArrow(run, ", ".join(ddl))
 
 
 def inspected_pages(inspected: DataFrame) -> DataFrame:

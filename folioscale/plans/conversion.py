@@ -11,39 +11,34 @@ from folioscale.functions.display import format_bytes
 from folioscale.functions.formats import classify_input, format_error, normalize_format
 from folioscale.functions.names import sink_key
 from folioscale.functions.options import convert_options
-from folioscale.operators.geometry import plan_page_size, scan_detection, side_limit
-from folioscale.operators.pages import attach_options, expand_pages
+from folioscale.operators.geometry import plan_page_size, side_limit
+from folioscale.operators.page_table import gather_pages, repeat_copies, requested_pages
+from folioscale.operators.pages import attach_options, valid_pages
 from folioscale.operators.render import Renderer, map_pages
 from folioscale.operators.results import doc_rollup, rounded_ratio
 from folioscale.sinks.images import write_manifest, write_page_files
 
 
 def resolve_documents(docs: DataFrame, options: DataFrame) -> DataFrame:
-    """Documents with the settings of their job filled in. The document's own
-    format wins over the job's."""
-    known = ["format", "target_width", "quality", "webp_quality", "webp_method", "jpeg_quality",
-             "png_compression", "detect_scan"]
-    jobs = options.select("job_id", *[name for name in known if name != "format"])
-    asked = docs.withColumnRenamed("format_raw", "format")
-    return attach_options(asked, jobs).select(
+    """Documents in a supported format with the settings of their job, only
+    those that a page needs. The document's format wins over the job's."""
+    accepted = docs.where(normalize_format("format_raw").isNotNull()).withColumnRenamed("format_raw", "format")
+    resolved = attach_options(accepted, options.drop("format")).withColumn("settings", convert_options())
+    settings = F.col("settings")
+    return resolved.select(
         "doc_id",
         "num_pages",
         "input",
-        F.col("format").alias("format_raw"),
-        convert_options().alias("settings"),
-    )
-
-
-def rejected_documents(docs: DataFrame) -> DataFrame:
-    """Documents whose format is not supported, with the error text."""
-    return docs.where(normalize_format("format_raw").isNull()).select(
-        "doc_id", "format_raw", format_error("format_raw").alias("error")
+        settings["format"].alias("format"),
+        settings["target_width"].alias("target_width"),
+        settings["detect_scan"].alias("detect_scan"),
+        _quality(settings).alias("quality"),
+        settings["webp_method"].alias("webp_method"),
     )
 
 
-def _quality() -> Column:
+def _quality(settings: Column) -> Column:
     """The one encoder setting that the format in question uses."""
-    settings = F.col("settings")
     return (
         F.when(settings["format"] == "webp", settings["webp_quality"])
         .when(settings["format"] == "png", settings["png_compression"])
@@ -51,84 +46,87 @@ def _quality() -> Column:
     )
 
 
-def conversion_plan(
-    docs: DataFrame, requests: DataFrame, objects: DataFrame, geometry: DataFrame, options: DataFrame
-) -> DataFrame:
-    """One row per page to render: size in pixels, encoder settings, target key.
-
-    Documents in unsupported formats are left out before any page exists (see
-    ``rejected_documents``). Pages are brought together with object counts and
-    page sizes by (document, page), so a long document is no bottleneck; pages
-    without a recorded size get the default one.
-    """
-    accepted = resolve_documents(docs.where(normalize_format("format_raw").isNotNull()), options)
-    scans = scan_detection(objects).select("doc_id", "page_num", "is_scan")
-    sizes = geometry.select("doc_id", "page_num", "width_pt", "height_pt")
-    pages = (
-        expand_pages(accepted, requests)
-        .join(scans, ["doc_id", "page_num"], "left")
-        .join(sizes, ["doc_id", "page_num"], "left")
+def rejected_documents(docs: DataFrame) -> DataFrame:
+    """Documents whose format is not supported, with the error text."""
+    return docs.where(normalize_format("format_raw").isNull()).select(
+        "doc_id", "format_raw", format_error("format_raw").alias("error")
     )
-    settings = F.col("settings")
-    scanned = settings["detect_scan"] & F.coalesce(F.col("is_scan"), F.lit(False))
-    prepared = pages.withColumns(
+
+
+def _size_pages(docs: DataFrame, options: DataFrame, pages: DataFrame) -> DataFrame:
+    """Pages (``gather_pages``) that exist in an accepted document, with the
+    document's settings and the size in pixels."""
+    looks_scanned = (F.col("text_objects") == 0) & (F.col("image_objects") > 0)
+    joined = valid_pages(pages.join(resolve_documents(docs, options), "doc_id"))
+    prepared = joined.withColumns(
         {
-            "format": settings["format"],
-            "input_type": classify_input("input"),
-            "quality": _quality(),
-            "as_scan": scanned,
+            "page_num": F.col("page_num").cast("int"),
+            "as_scan": F.col("detect_scan") & looks_scanned,
             "width_pt": F.coalesce(F.col("width_pt"), F.lit(DEFAULT_PAGE_WIDTH_PT).cast("float")),
             "height_pt": F.coalesce(F.col("height_pt"), F.lit(DEFAULT_PAGE_HEIGHT_PT).cast("float")),
         }
     )
-    sized = plan_page_size(
+    return plan_page_size(
         prepared,
         limit=side_limit(F.col("format")),
-        target_width=settings["target_width"],
-        scan_width=settings["scan_width"],
-        max_scale=settings["max_scale"],
+        target_width=F.col("target_width"),
         is_scan="as_scan",
     )
+
+
+def page_plan(
+    docs: DataFrame, requests: DataFrame, objects: DataFrame, geometry: DataFrame, options: DataFrame
+) -> DataFrame:
+    """One row per page to render: size in pixels, encoder settings, target
+    key, and ``copies``, the number of requests for it.
+
+    What is known about pages is gathered by (document, page) first, so that
+    only slim, distinct rows meet the documents; that join AQE can split for a
+    document with very many pages. Documents in unsupported formats are left
+    out (see ``rejected_documents``), pages without a recorded size get the
+    default one.
+    """
+    pages = gather_pages(requested_pages(docs, requests), objects, geometry)
     key_prefix = F.concat(F.lit("pages/"), F.col("doc_id").cast("string"))
-    return sized.select(
+    return _size_pages(docs, options, pages).select(
         "doc_id",
         "page_num",
+        "copies",
         "input",
-        "input_type",
+        classify_input("input").alias("input_type"),
         "format",
         "as_scan",
         "width",
         "height",
         "quality",
-        settings["webp_method"].alias("webp_method"),
+        "webp_method",
         sink_key(key_prefix, "page_num", "format").alias("sink_key"),
     )
 
 
-def conversion_report(plan: DataFrame, results: DataFrame) -> DataFrame:
+def conversion_plan(
+    docs: DataFrame, requests: DataFrame, objects: DataFrame, geometry: DataFrame, options: DataFrame
+) -> DataFrame:
+    """``page_plan`` with one row per request: a page requested twice is there
+    twice."""
+    return repeat_copies(page_plan(docs, requests, objects, geometry, options))
+
+
+def conversion_report(
+    docs: DataFrame,
+    requests: DataFrame,
+    objects: DataFrame,
+    geometry: DataFrame,
+    options: DataFrame,
+    results: DataFrame,
+) -> DataFrame:
     """Per document: what was planned, what came out of it, and what it cost.
-
-    Planned pages without a result count as not rendered; of several results
-    for a page the best one counts. Both sides are reduced to one row per page
-    first, on the keys of the join, so repeated pages do not multiply.
-    """
-    pixels = F.col("width").cast("bigint") * F.col("height")
-    planned = plan.groupBy("doc_id", "page_num").agg(
-        F.count(F.lit(1)).alias("copies"), F.sum(pixels).alias("planned_pixels")
-    )
-    best = F.max(F.struct("success", "size_bytes", "render_ms", "encode_ms"))
-    outcomes = results.groupBy("doc_id", "page_num").agg(best.alias("outcome"))
-    pages = planned.join(outcomes, ["doc_id", "page_num"], "left").select(
-        "doc_id",
-        "copies",
-        "planned_pixels",
-        F.coalesce(F.col("outcome.success"), F.lit(False)).alias("success"),
-        "outcome.size_bytes",
-        "outcome.render_ms",
-        "outcome.encode_ms",
-    )
+    Planned pages without a result count as not rendered."""
+    pages = gather_pages(requested_pages(docs, requests), objects, geometry, results)
+    sized = _size_pages(docs, options, pages).withColumn("success", F.coalesce(F.col("success"), F.lit(False)))
+    pixels = F.col("width").cast("bigint") * F.col("height") * F.col("copies")
     totals = doc_rollup(
-        pages, copies=F.col("copies"), extra={"planned_pixels": F.sum("planned_pixels").cast("bigint")}
+        sized, copies=F.col("copies"), extra={"planned_pixels": F.sum(pixels).cast("bigint")}
     )
     total_ms = F.col("render_ms") + F.col("encode_ms")
     return totals.select(
@@ -151,8 +149,8 @@ def convert_to_files(
     manifest_path: str,
     prefix: str = "page",
 ) -> DataFrame:
-    """Render and write every planned page in one job; returns the saved
-    manifest. Images go straight from the renderer to storage in the same
+    """Render and write every planned page (``page_plan``) in one job; returns
+    the saved manifest. Images go straight from the renderer to storage in the same
     task, they are never shuffled."""
     rendered = map_pages(plan, make_renderer)
     return write_manifest(write_page_files(rendered, directory, prefix), manifest_path)

@@ -6,22 +6,20 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# All are runtime settings, so they can also be applied to a running session.
-RUNTIME_CONF = {
+# Runtime settings, so they can also be applied to a running session.
+ADAPTIVE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # A document, job or request id may hold a large share of the rows: let
     # joins split such partitions even where that costs one more exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 
-def apply_runtime_conf(spark: SparkSession) -> SparkSession:
+def apply_adaptive_conf(spark: SparkSession) -> SparkSession:
     """Set the runtime settings above on an existing session."""
-    for key, value in RUNTIME_CONF.items():
+    for key, value in ADAPTIVE_CONF.items():
         spark.conf.set(key, value)
     return spark
 
@@ -34,9 +32,12 @@ def local_session(cores: int | str = "*", app: str = "folioscale", **conf: str)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        # Source positions in error messages make building plans a third slower.
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
     )
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**ADAPTIVE_CONF, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

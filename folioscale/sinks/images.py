@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -43,30 +43,38 @@ def _discard(store: fs.FileSystem, path: str) -> None:
 
 def _write(results: DataFrame, root: str, target: Column, target_name: str, error_prefix: str) -> DataFrame:
     kept = [name for name in _KEPT if name in results.columns]
-    schema = ", ".join(f"{name} {results.schema[name].dataType.simpleString()}" for name in kept)
-    schema += f", success boolean, error string, {target_name} string, size_bytes bigint"
-
-    def store_page(store: fs.FileSystem, base: str, row: Any, made: set[str]) -> tuple:
-        if not row.success or row.image is None:
-            return row.success, row.error, None, None
+    added = [
+        ("success", pa.bool_(), "boolean"),
+        ("error", pa.string(), "string"),
+        (target_name, pa.string(), "string"),
+        ("size_bytes", pa.int64(), "bigint"),
+    ]
+
+    def store_page(store: fs.FileSystem, base: str, row: dict[str, Any], made: set[str]) -> dict[str, Any]:
+        if not row["success"] or row["image"] is None:
+            return {"success": row["success"], "error": row["error"]}
         try:
-            _put(store, posixpath.join(base, row.target), row.image, row.mime, made)
-            return True, None, row.target, len(row.image)
+            _put(store, posixpath.join(base, row["target"]), row["image"], row["mime"], made)
+            return {"success": True, target_name: row["target"], "size_bytes": len(row["image"])}
         except Exception as problem:  # noqa: BLE001 - one page fails, not the job
-            return False, f"{error_prefix}: {problem}", None, None
+            return {"success": False, "error": f"{error_prefix}: {problem}"}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(root)
         made: set[str] = set()
-        for frame in frames:
-            outcomes = [store_page(store, base, row, made) for row in frame.itertuples(index=False)]
-            written = pd.DataFrame(outcomes, columns=["success", "error", target_name, "size_bytes"])
-            yield pd.concat([frame[kept], written.astype({"size_bytes": "Int64"})], axis=1)
-
+        for batch in batches:
+            schema = pa.schema(
+                [(name, batch.schema.field(name).type) for name in kept] + [(name, kind) for name, kind, _ in added]
+            )
+            rows = [{**{name: row[name] for name in kept}, **store_page(store, base, row, made)} for row in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    ddl = [f"{name} {results.schema[name].dataType.simpleString()}" for name in kept]
+    ddl += [f"{name} {spark_type}" for name, _, spark_type in added]
     ready = results.select(
         *kept, "success", "error", "image", target.alias("target"), format_mime("format").alias("mime")
     )
-    return ready.mapInPandas(run, schema)
+    return ready.mapInArrow(run, ", ".join(ddl))
 
 
 def _folder(results: DataFrame) -> Column:

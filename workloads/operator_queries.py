@@ -36,8 +36,7 @@ from folioscale.operators.results import (
     page_status_rows,
     success_averages,
 )
-from folioscale.functions import normalize_format
-from folioscale.plans.conversion import conversion_plan, conversion_report, rejected_documents
+from folioscale.plans.conversion import conversion_plan, conversion_report, page_plan, rejected_documents
 from folioscale.plans.reports import bench_report, trace_report
 from folioscale.sources.corpus import corpus_listing, doc_info, scan_buffers
 from workloads.column_queries import _times, _units, error_class_sql
@@ -556,20 +555,29 @@ part(
 )
 
 
-def _plan(t):
-    return conversion_plan(t.fx_documents, t.fx_page_requests, t.fx_page_objects, t.fx_page_geometry, t.fx_job_options)
+def _inputs(t):
+    return t.fx_documents, t.fx_page_requests, t.fx_page_objects, t.fx_page_geometry, t.fx_job_options
 
 
-@workload(
-    "conversion_plan",
-    """select doc_id, page_num, input, case when starts_with(input, 'http://') or starts_with(input, 'https://')
+_PLAN_COLUMNS = """input, case when starts_with(input, 'http://') or starts_with(input, 'https://')
               then 'url' else 'file' end as input_type, format, as_scan, width, height, quality, webp_method,
-              'pages/' || doc_id || '/page_' || page_num || '.' || replace(format, 'jpeg', 'jpg') as sink_key
-       from x_plan""",
+              'pages/' || doc_id || '/page_' || page_num || '.' || replace(format, 'jpeg', 'jpg') as sink_key"""
+
+
+@workload(
+    "page_plan",
+    f"""select doc_id, page_num, copies, {_PLAN_COLUMNS}
+        from (select doc_id, page_num, input, format, as_scan, width, height, quality, webp_method, count(*) as copies
+              from x_plan group by all)""",
     ("x_plan",),
 )
 def _(t):
-    return _plan(t)
+    return page_plan(*_inputs(t))
+
+
+@workload("conversion_plan", f"select doc_id, page_num, {_PLAN_COLUMNS} from x_plan", ("x_plan",))
+def _(t):
+    return conversion_plan(*_inputs(t))
 
 
 @workload(
@@ -596,7 +604,7 @@ def _(t):
     ("x_plan", "fx_page_results"),
 )
 def _(t):
-    return conversion_report(_plan(t), t.fx_page_results)
+    return conversion_report(*_inputs(t), t.fx_page_results)
 
 
 class StubRenderer:
@@ -632,7 +640,7 @@ class StubRenderer:
     ("x_plan",),
 )
 def _(t):
-    return map_pages(_plan(t), StubRenderer).drop("image")
+    return map_pages(page_plan(*_inputs(t)), StubRenderer).drop("image")
 
 
 def stub_inspect(content):

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscale.session import apply_adaptive_conf
 from workloads.fixtures import FIXTURES
 
 BASE_TABLES = (
@@ -20,16 +21,20 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self._spark, self._folder = spark, folder.rstrip("/")
+        self._read: dict[str, DataFrame] = {}
 
-    def _path(self, table: str) -> str:
-        return f"{self._folder}/{table}.parquet"
+    def _base(self, table: str) -> DataFrame:
+        if table not in self._read:
+            self._read[table] = self._spark.read.parquet(f"{self._folder}/{table}.parquet")
+        return self._read[table]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in FIXTURES:
-            relations = {table: f"parquet.`{self._path(table)}`" for table in BASE_TABLES}
-            return self._spark.sql(FIXTURES[name].format(**relations))
+            text = FIXTURES[name]
+            used = [table for table in BASE_TABLES if f"{{{table}}}" in text]
+            return self._spark.sql(text, **{table: self._base(table) for table in used})
         if name in BASE_TABLES:
-            return self._spark.read.parquet(self._path(name))
+            return self._base(name)
         raise AttributeError(name)
 
 
@@ -41,7 +46,7 @@ class Workload:
     uses: tuple[str, ...]
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
-        return self.build(Tables(spark, folder))
+        return self.build(Tables(apply_adaptive_conf(spark), folder))
 
 
 WORKLOADS: dict[str, Workload] = {}
