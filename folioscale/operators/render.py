@@ -130,6 +130,7 @@ def map_pages(
     make_renderer: Callable[[], Renderer | None],
     source: str = "input",
     pages_per_group: int = PAGES_PER_GROUP,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Render every planned page: ``doc_id, page_num``, ``format`` if planned,
     the outcome, the image, and ``copies``.
@@ -139,8 +140,11 @@ def map_pages(
     spread by (document, group of ``pages_per_group`` page numbers): a document
     opens once per group, and a huge one still uses many tasks.
     ``make_renderer`` is called on the executors. Only small planned rows are
-    shuffled; documents given by path are read inside the task.
+    shuffled; documents given by path are read inside the task. The number of
+    ``partitions`` (by default that of shuffles) is fixed: planned rows are tiny
+    and rendering is not, so they must not be merged by size.
     """
+    partitions = partitions or int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [name for name in ("doc_id", "page_num", "format") if name in planned.columns]
     plan_columns = [name for name in planned.columns if name != "copies"]
     if "copies" not in planned.columns:
@@ -175,7 +179,7 @@ def map_pages(
     ddl += [f"{name} {spark_type}" for name, _, spark_type in _OUTCOME]
     return (
         planned.withColumn("_group", floor_div(F.col("page_num").cast("bigint") - 1, pages_per_group))
-        .repartition("doc_id", "_group")
+        .repartition(partitions, "doc_id", "_group")
         .sortWithinPartitions("doc_id", "_group", "page_num")
         .mapInArrow(run, ", ".join(ddl))
     )

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscale.functions.display import size_in_mb
@@ -14,16 +18,21 @@ def scan_corpus(spark: SparkSession, path: str, min_bytes: int = 0, recursive: b
     """PDF files under ``path`` (any storage URI), smallest first: ``input,
     file_name, size_bytes``. Only listing data is read; the size filter is
     pushed into the scan."""
-    files = _pdf_files(spark, path, recursive).where(F.col("length") >= min_bytes)
-    return files.select(
-        F.col("path").alias("input"), base_name("path").alias("file_name"), F.col("length").alias("size_bytes")
-    ).orderBy("size_bytes", "input")
+    files = _pdf_files(spark, path, recursive).where(F.col("length") >= min_bytes).select("path", "length")
+    if min_bytes <= 0:
+        files = files.unionByName(_empty_pdfs(spark, path, recursive).select("path", "length"))
+    return _named(files).orderBy("size_bytes", "input")
 
 
 def read_corpus(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """The same files with their bytes in ``content``, for an inspector."""
-    return _pdf_files(spark, path, recursive).select(
-        F.col("path").alias("input"), base_name("path").alias("file_name"), F.col("length").alias("size_bytes"), "content"
+    empty = _empty_pdfs(spark, path, recursive).withColumn("content", F.lit(b""))
+    return _named(_pdf_files(spark, path, recursive).select("path", "length", "content").unionByName(empty), "content")
+
+
+def _named(files: DataFrame, *more: str) -> DataFrame:
+    return files.select(
+        F.col("path").alias("input"), base_name("path").alias("file_name"), F.col("length").alias("size_bytes"), *more
     )
 
 
@@ -36,6 +45,48 @@ def _pdf_files(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
     )
 
 
+def _empty_pdfs(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
+    """Spark's file scans pass over empty files, so those are listed apart:
+    one task lists the folder itself, then each folder in it is one row of
+    work for the cluster."""
+    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("is_folder", pa.bool_())])
+
+    def listing(deep: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for uri in batch.column("path").to_pylist():
+                    store, folder = fs.FileSystem.from_uri(uri)
+                    prefix = uri[: len(uri) - len(folder)] if uri.endswith(folder) else ""
+                    found = store.get_file_info(fs.FileSelector(folder, recursive=deep))
+                    rows = [
+                        {"path": prefix + info.path, "length": info.size, "is_folder": info.type == fs.FileType.Directory}
+                        for info in found
+                    ]
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+
+        return run
+
+    def files_in(entries: DataFrame) -> DataFrame:
+        is_empty = ~F.col("is_folder") & (F.col("length") == 0) & F.lower("path").endswith(".pdf")
+        return entries.where(is_empty).select("path", "length")
+
+    ddl = "path string, length bigint, is_folder boolean"
+    top = spark.createDataFrame([(_qualified(spark, path),)], "path string").mapInArrow(listing(False), ddl)
+    if not recursive:
+        return files_in(top)
+    folders = top.where("is_folder").select("path").repartition("path")
+    return files_in(top).unionByName(files_in(folders.mapInArrow(listing(True), ddl)))
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme it has by default on this cluster."""
+    context = spark.sparkContext
+    hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
+    store = hadoop_path.getFileSystem(context._jsc.hadoopConfiguration())
+    uri = store.makeQualified(hadoop_path).toString()
+    return uri.replace("file:/", "file:///", 1) if not uri.startswith("file://") else uri
+
+
 def scan_buffers(df: DataFrame, doc_id: str, content: Column) -> DataFrame:
     """Documents already held as bytes: ``doc_id, input_type, size_bytes,
     content``."""
