@@ -45,6 +45,11 @@ def block_first_touch(reads: DataFrame) -> DataFrame:
     return blocks_of_read(reads).groupBy("task_id", "block_offset").agg(F.min("seq").alias("first_seq"))
 
 
+def _values(batch: pa.RecordBatch, *names: str) -> list[list]:
+    """Columns as Python lists, by way of numpy: many times faster."""
+    return [batch.column(name).to_numpy(zero_copy_only=False).tolist() for name in names]
+
+
 class _Recency:
     """The blocks an LRU cache holds, least recently used first."""
 
@@ -71,7 +76,7 @@ def _replay(capacity: int) -> Callable[[_Batches], _Batches]:
     def run(batches: _Batches) -> _Batches:
         current, cache = None, _Recency(capacity)
         for batch in batches:
-            columns = [batch.column(name).to_pylist() for name in ("task_id", "chunk", "is_read", "seq", "block")]
+            columns = _values(batch, "task_id", "chunk", "is_read", "seq", "block")
             hits = []
             for task, chunk, is_read, seq, block in zip(*columns):
                 if (task, chunk) != current:
@@ -98,7 +103,7 @@ def _carry(capacity: int) -> Callable[[_Batches], _Batches]:
         task, chunk, cache = None, None, _Recency(capacity)
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
-            columns = [batch.column(name).to_pylist() for name in ("task_id", "chunk", "last_seq", "block")]
+            columns = _values(batch, "task_id", "chunk", "last_seq", "block")
             for row_task, row_chunk, last_seq, block in zip(*columns):
                 if row_task != task:
                     task, chunk, cache = row_task, row_chunk, _Recency(capacity)

@@ -12,6 +12,8 @@ from folioscale.constants import RESPONSE_TIMEOUT_MS
 from folioscale.functions._util import floor_div
 
 _SPAN_TIMEOUTS = 8
+# Stands for a response without a size while rows are matched.
+_NO_SIZE = -1
 
 
 def request_status(ok: Column) -> Column:
@@ -56,7 +58,7 @@ def correlate_requests(
             F.explode(F.sequence(earliest, floor_div(F.col("at"), span))).alias("span"),
             F.lit(True).alias("is_response"),
             "ok",
-            F.when(F.col("ok"), F.col("ok_bytes")).otherwise(F.col("any_bytes")).alias("bytes"),
+            F.coalesce(F.when(F.col("ok"), F.col("ok_bytes")).otherwise(F.col("any_bytes")), F.lit(_NO_SIZE)).alias("bytes"),
         )
     )
 
@@ -65,19 +67,22 @@ def correlate_requests(
         .orderBy(F.desc("at"), F.desc("is_response"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    following = F.when(F.col("is_response"), F.struct("at", "ok", "bytes"))
+
+    def next_response(name: str) -> Column:
+        return F.last(F.when(F.col("is_response"), F.col(name)), ignorenulls=True).over(backward)
+
     matched = (
         asked.unionByName(answered, allowMissingColumns=True)
-        .withColumn("next", F.last(following, ignorenulls=True).over(backward))
+        .withColumns({f"next_{name}": next_response(name) for name in ("at", "ok", "bytes")})
         .where(~F.col("is_response"))
     )
-    in_time = F.col("next.at") <= F.col("at") + timeout_ms
+    in_time = F.col("next_at") <= F.col("at") + timeout_ms
     return matched.select(
         "request_id",
         F.col("at").alias("sent_ms"),
-        F.when(in_time, F.col("next.at")).alias("recv_ms"),
-        F.when(in_time, F.col("next.bytes")).alias("bytes"),
-        request_status(F.when(in_time, F.col("next.ok"))).alias("status"),
+        F.when(in_time, F.col("next_at")).alias("recv_ms"),
+        F.nullif(F.when(in_time, F.col("next_bytes")), F.lit(_NO_SIZE)).alias("bytes"),
+        request_status(F.when(in_time, F.col("next_ok"))).alias("status"),
     )
 
 

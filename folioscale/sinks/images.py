@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from typing import Any
 
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscale.functions.formats import format_mime
 from folioscale.functions.names import sink_key, sink_path
+from folioscale.functions.options import SINK_FIELDS
 
 _KEPT = ("doc_id", "page_num", "format", "copies", "width", "height", "render_ms", "encode_ms")
 
@@ -77,6 +78,15 @@ def _write(results: DataFrame, root: str, target: Column, target_name: str, erro
     return ready.mapInArrow(run, ", ".join(ddl))
 
 
+def check_sink_settings(settings: Mapping[str, str | None], fallback: Mapping[str, str | None] | None = None) -> None:
+    """Raise, before any page is rendered, if a required setting of an object
+    store is missing or empty, also after the fallback."""
+    fallback = fallback or {}
+    missing = [name for name in SINK_FIELDS if not (settings.get(name) or fallback.get(name))]
+    if missing:
+        raise ValueError(f"Sink settings are incomplete: {', '.join(missing)}")
+
+
 def _folder(results: DataFrame) -> Column:
     return F.concat_ws("/", F.col("doc_id").cast("string"), F.col("format"))
 

@@ -16,7 +16,7 @@ from folioscale.operators.render import (
 )
 from folioscale.operators.results import doc_rollup, output_size_rollup
 from folioscale.plans.conversion import convert_to_files
-from folioscale.sinks.images import list_outputs, write_manifest, write_page_files, write_page_objects
+from folioscale.sinks.images import check_sink_settings, list_outputs, write_manifest, write_page_files, write_page_objects
 from folioscale.sources.corpus import read_corpus, scan_buffers, scan_corpus
 
 
@@ -203,3 +203,11 @@ def test_convert_to_files_and_roll_up(spark, tmp_path):
     assert gathered.where("success").count() == 2
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         write_manifest(manifest, manifest_path)
+
+
+def test_sink_settings_are_checked_first():
+    full = {"secret_id": "i", "secret_key": "k", "bucket": "b", "region": "r"}
+    check_sink_settings(full)
+    check_sink_settings({**full, "region": ""}, {"region": "r"})
+    with pytest.raises(ValueError, match="incomplete: bucket, region"):
+        check_sink_settings({**full, "bucket": None, "region": ""})
