@@ -74,9 +74,13 @@ def test_pages_meet_in_one_shuffle(spark, no_broadcast):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_no_query_pairs_rows_without_a_key(spark):
-    for name, query in entry_module.queries().items():
-        plan = initial(query(spark, FOLDER))
+@pytest.fixture(scope="module")
+def plans(spark):
+    return {name: initial(query(spark, FOLDER)) for name, query in entry_module.queries().items()}
+
+
+def test_no_query_pairs_rows_without_a_key(plans):
+    for name, plan in plans.items():
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
 
 
@@ -103,9 +107,8 @@ def test_options_are_broadcast_only_when_small(spark, conf):
     assert "SortMergeJoin" in initial(query(spark, FOLDER))
 
 
-def test_python_runs_only_where_it_must(spark):
+def test_python_runs_only_where_it_must(plans):
     python = {"map_pages", "inspect_documents", "inspected_scan_sizes", "cache_attribution", "stream_stats", "trace_report"}
-    for name, query in entry_module.queries().items():
-        plan = initial(query(spark, FOLDER))
+    for name, plan in plans.items():
         assert ("MapInArrow" in plan) == (name in python), name
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name

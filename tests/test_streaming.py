@@ -1,5 +1,6 @@
 """The streaming match against the batch one on the same logs."""
 
+import uuid
 from collections import Counter
 
 import pytest
@@ -41,7 +42,7 @@ def test_stream_equals_batch(spark, conf, tmp_path, files):
         matched.writeStream.format("memory")
         .queryName("matched")
         .outputMode("append")
-        .option("checkpointLocation", checkpoint_location(spark, tmp_path.name))
+        .option("checkpointLocation", checkpoint_location(spark, f"matched-{uuid.uuid4().hex}"))
         .trigger(availableNow=True)
         .start()
     )
