@@ -35,6 +35,20 @@ RESPONSE_TIMEOUT_MS = 30_000
 # Reports.
 BENCH_MAX_PAGES = 10
 
+# Error texts of failed pages and documents.
+LOAD_FAILED = "Failed to load PDF: "
+NO_RENDERER = "Native renderer not available in worker thread"
+NO_INPUT = "No input provided: filePath or pdfBuffer required"
+RENDER_FAILED = "Render failed"
+UNKNOWN_ERROR = "Unknown error"
+SAVE_FAILED = "File save failed: "
+UPLOAD_FAILED = "Upload failed: "
+INVALID_PAGE = ("Invalid page number: ", " (total: ", ")")
+UNSUPPORTED_FORMAT = ("Unsupported format: ", ". Supported formats: ")
+DOWNLOAD_FAILED = "Failed to download file: "
+SIZE_PROBE_FAILED = "Failed to get file size: "
+NO_CONTENT_LENGTH = "Server did not return Content-Length header"
+
 # How error texts begin, by failure class. First match wins.
 ERROR_PREFIXES = (
     ("load", ("Failed to load PDF", "File not found or not readable")),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from folioscale.constants import DEFAULT_FORMAT, MEDIA_TYPES, SUPPORTED_FORMATS
+from folioscale.constants import DEFAULT_FORMAT, MEDIA_TYPES, SUPPORTED_FORMATS, UNSUPPORTED_FORMAT
 from folioscale.functions._util import ColumnOrName, col
 
 
@@ -24,9 +24,9 @@ def normalize_format(fmt: ColumnOrName) -> Column:
 def format_error(fmt: ColumnOrName) -> Column:
     """Error text for an unsupported format, else NULL."""
     message = F.concat(
-        F.lit("Unsupported format: "),
+        F.lit(UNSUPPORTED_FORMAT[0]),
         col(fmt),
-        F.lit(". Supported formats: " + ", ".join(SUPPORTED_FORMATS)),
+        F.lit(UNSUPPORTED_FORMAT[1] + ", ".join(SUPPORTED_FORMATS)),
     )
     return F.when(normalize_format(fmt).isNull(), message)
 

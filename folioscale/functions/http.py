@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from folioscale.constants import DOWNLOAD_FAILED, NO_CONTENT_LENGTH, SIZE_PROBE_FAILED
 from folioscale.functions._util import ColumnOrName, col
 
 
@@ -21,9 +22,9 @@ def http_error(
     NULL when it succeeded."""
     detail = F.concat(col(status).cast("string"), F.lit(" "), F.coalesce(col(reason), F.lit("")))
     if content_length is None:
-        return F.when(~http_ok(status), F.concat(F.lit("Failed to download file: "), detail))
-    return F.when(~http_ok(status), F.concat(F.lit("Failed to get file size: "), detail)).when(
-        col(content_length).isNull(), F.lit("Server did not return Content-Length header")
+        return F.when(~http_ok(status), F.concat(F.lit(DOWNLOAD_FAILED), detail))
+    return F.when(~http_ok(status), F.concat(F.lit(SIZE_PROBE_FAILED), detail)).when(
+        col(content_length).isNull(), F.lit(NO_CONTENT_LENGTH)
     )
 
 

@@ -27,62 +27,56 @@ def correlate_requests(
     and the status ok / error / timeout.
 
     An as-of match rather than a join on the id: no pair of rows is formed,
-    however often an id occurs. Both logs are first reduced to one row per id
-    and millisecond (before the shuffle), then laid out in time spans per id,
+    however often an id occurs. Both logs are stacked and reduced to one row
+    per id and millisecond (before the shuffle), laid out in time spans per id,
     a response also in the span before when requests there may still wait for
-    it. A span so holds a bounded number of rows, and one backward pass
-    over it gives every request the next response.
+    it. A span so holds a bounded number of rows, and one backward pass over it
+    gives every request the next response.
     """
     span = timeout_ms * _SPAN_TIMEOUTS
 
-    asked = (
-        requests.select("request_id", F.col("sent_ms").alias("at"))
-        .distinct()
-        .withColumns({"span": floor_div(F.col("at"), span), "is_response": F.lit(False)})
+    asked = requests.select(
+        "request_id",
+        F.col("sent_ms").alias("at"),
+        floor_div(F.col("sent_ms"), span).alias("span"),
+        F.lit(True).alias("is_request"),
+    )
+    received = F.col("recv_ms")
+    accepted = F.coalesce(F.col("ok"), F.lit(False))
+    size = F.coalesce(F.col("bytes"), F.lit(_NO_SIZE))
+    answered = responses.select(
+        "request_id",
+        received.alias("at"),
+        F.explode(F.sequence(floor_div(received - timeout_ms, span), floor_div(received, span))).alias("span"),
+        accepted.alias("ok"),
+        size.alias("bytes"),
+        F.when(accepted, size).alias("ok_bytes"),
     )
-
     # Of responses in the same millisecond an accepted one comes first, then
     # the larger one.
-    accepted = F.coalesce(F.col("ok"), F.lit(False))
-    earliest = floor_div(F.col("at") - timeout_ms, span)
-    answered = (
-        responses.groupBy("request_id", F.col("recv_ms").alias("at"))
-        .agg(
-            F.max(accepted).alias("ok"),
-            F.max(F.when(accepted, F.col("bytes"))).alias("ok_bytes"),
-            F.max("bytes").alias("any_bytes"),
-        )
-        .select(
-            "request_id",
-            "at",
-            F.explode(F.sequence(earliest, floor_div(F.col("at"), span))).alias("span"),
-            F.lit(True).alias("is_response"),
-            "ok",
-            F.coalesce(F.when(F.col("ok"), F.col("ok_bytes")).otherwise(F.col("any_bytes")), F.lit(_NO_SIZE)).alias("bytes"),
-        )
+    moments = (
+        asked.unionByName(answered, allowMissingColumns=True)
+        .groupBy("request_id", "span", "at")
+        .agg(*[F.max(name).alias(name) for name in ("is_request", "ok", "bytes", "ok_bytes")])
+        .withColumn("bytes", F.when(F.col("ok"), F.col("ok_bytes")).otherwise(F.col("bytes")))
+        .withColumn("answer_at", F.when(F.col("ok").isNotNull(), F.col("at")))
     )
 
     backward = (
         Window.partitionBy("request_id", "span")
-        .orderBy(F.desc("at"), F.desc("is_response"))
+        .orderBy(F.desc("at"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-
-    def next_response(name: str) -> Column:
-        return F.last(F.when(F.col("is_response"), F.col(name)), ignorenulls=True).over(backward)
-
-    matched = (
-        asked.unionByName(answered, allowMissingColumns=True)
-        .withColumns({f"next_{name}": next_response(name) for name in ("at", "ok", "bytes")})
-        .where(~F.col("is_response"))
-    )
-    in_time = F.col("next_at") <= F.col("at") + timeout_ms
+    # The columns are NULL together, so the last values come from one row.
+    following = {name: F.last(name, ignorenulls=True).over(backward) for name in ("answer_at", "ok", "bytes")}
+    matched = moments.withColumns(following).where(F.col("is_request"))
+    in_time = F.col("answer_at") <= F.col("at") + timeout_ms
     return matched.select(
         "request_id",
         F.col("at").alias("sent_ms"),
-        F.when(in_time, F.col("next_at")).alias("recv_ms"),
-        F.nullif(F.when(in_time, F.col("next_bytes")), F.lit(_NO_SIZE)).alias("bytes"),
-        request_status(F.when(in_time, F.col("next_ok"))).alias("status"),
+        F.when(in_time, F.col("answer_at")).alias("recv_ms"),
+        F.nullif(F.when(in_time, F.col("bytes")), F.lit(_NO_SIZE)).alias("bytes"),
+        request_status(F.when(in_time, F.col("ok"))).alias("status"),
     )
 
 

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscale.operators.pages import explode_range
+from folioscale.session import default_partitions
 
 
 def _count(value: Column) -> Column:
@@ -81,13 +82,14 @@ def repeat_copies(pages: DataFrame, hot_copies: int = 1 << 20) -> DataFrame:
 
     Rows with more than ``hot_copies`` are cut into runs of that many and the
     runs are spread over the cluster before they are unfolded, so no task has
-    to emit an unbounded number of copies.
+    to emit an unbounded number of copies. Their number of partitions is fixed:
+    merged by size, the few rows of runs would end up in one.
     """
     copies = F.col("copies")
     few = explode_range(pages.where(copies <= hot_copies), F.lit(1), copies, "_copy")
     runs = explode_range(
         pages.where(copies > hot_copies), F.lit(0), F.floor((copies - 1) / hot_copies), "_part"
-    ).repartition("doc_id", "page_num", "_part")
+    ).repartition(default_partitions(pages), "doc_id", "page_num", "_part")
     left = copies - F.col("_part") * hot_copies
     many = explode_range(runs, F.lit(1), F.least(left, F.lit(hot_copies)), "_copy")
     return few.drop("_copy", "copies").unionByName(many.drop("_part", "_copy", "copies"))

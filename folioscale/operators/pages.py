@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folioscale.constants import BENCH_FORMATS, BENCH_MAX_PAGES
+from folioscale.constants import BENCH_FORMATS, BENCH_MAX_PAGES, INVALID_PAGE
 from folioscale.functions._util import floor_div
 
 _RUN = 4096
@@ -60,11 +60,11 @@ def invalid_page_audit(docs: DataFrame, requests: DataFrame) -> DataFrame:
     num_pages = F.coalesce(F.col("num_pages"), F.lit(0))
     valid = F.col("page_num").between(F.lit(1), num_pages)
     message = F.concat(
-        F.lit("Invalid page number: "),
+        F.lit(INVALID_PAGE[0]),
         F.col("page_num").cast("string"),
-        F.lit(" (total: "),
+        F.lit(INVALID_PAGE[1]),
         num_pages.cast("string"),
-        F.lit(")"),
+        F.lit(INVALID_PAGE[2]),
     )
     return requests.join(docs.select("doc_id", "num_pages"), "doc_id", "left").select(
         "doc_id",

@@ -12,7 +12,9 @@ from typing import Any, Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from folioscale.constants import LOAD_FAILED, NO_INPUT, NO_RENDERER, UNKNOWN_ERROR
 from folioscale.functions._util import floor_div
+from folioscale.session import default_partitions
 
 PAGES_PER_GROUP = 256
 _FLUSH_ROWS = 256
@@ -75,7 +77,7 @@ def _render_one(renderer: Renderer, document: Any, page: dict[str, Any]) -> dict
             encode_ms=done.encode_ms,
         )
     except Exception as problem:  # noqa: BLE001 - user code may raise anything
-        return _failed(str(problem) or "Unknown error")
+        return _failed(str(problem) or UNKNOWN_ERROR)
 
 
 class _OpenDocument:
@@ -93,14 +95,14 @@ class _OpenDocument:
         self.leave()
         self.group, self.document, self.error = group, None, None
         if self.renderer is None:
-            self.error = "Native renderer not available in worker thread"
+            self.error = NO_RENDERER
         elif row[self.source_column] is None:
-            self.error = "No input provided: filePath or pdfBuffer required"
+            self.error = NO_INPUT
         else:
             try:
                 self.document = self.renderer.open(row[self.source_column])
             except Exception as problem:  # noqa: BLE001
-                self.error = f"Failed to load PDF: {problem}"
+                self.error = f"{LOAD_FAILED}{problem}"
 
     def leave(self) -> None:
         if self.group is not None and self.error is None:
@@ -144,7 +146,7 @@ def map_pages(
     ``partitions`` (by default that of shuffles) is fixed: planned rows are tiny
     and rendering is not, so they must not be merged by size.
     """
-    partitions = partitions or int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or default_partitions(planned)
     keys = [name for name in ("doc_id", "page_num", "format") if name in planned.columns]
     plan_columns = [name for name in planned.columns if name != "copies"]
     if "copies" not in planned.columns:
@@ -218,7 +220,7 @@ def inspect_documents(
         try:
             pages = list(inspect(document))
         except Exception as problem:  # noqa: BLE001
-            return [{"doc_id": doc_id, "error": f"Failed to load PDF: {problem}"}]
+            return [{"doc_id": doc_id, "error": f"{LOAD_FAILED}{problem}"}]
         if not pages:
             return [{"doc_id": doc_id, "num_pages": 0}]
         return [

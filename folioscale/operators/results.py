@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioscale.constants import ERROR_PREFIXES
+from folioscale.constants import ERROR_PREFIXES, RENDER_FAILED
 from folioscale.functions._util import floor_div, int_div, null_if_empty
 
 
@@ -25,7 +25,7 @@ def page_status_rows(raw: DataFrame) -> DataFrame:
 
     render_ms = F.coalesce(F.col("render_ms"), F.lit(0))
     encode_ms = F.when(ok, F.coalesce(F.col("encode_ms"), F.lit(0))).otherwise(F.lit(0))
-    error = F.when(~ok, F.coalesce(null_if_empty(F.col("error")), F.lit("Render failed")))
+    error = F.when(~ok, F.coalesce(null_if_empty(F.col("error")), F.lit(RENDER_FAILED)))
     return raw.select(
         "doc_id",
         "page_num",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings, so they can also be applied to a running session.
 ADAPTIVE_CONF = {
@@ -44,6 +44,12 @@ def local_session(cores: int | str = "*", app: str = "folioscale", **conf: str)
     return spark
 
 
+def default_partitions(df: DataFrame) -> int:
+    """The number of shuffle partitions, for a repartitioning whose rows are
+    small but stand for much work: given a number, AQE does not merge them."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def checkpoint_location(spark: SparkSession, name: str) -> str:
     """Folder for streaming state: under ``spark.checkpoint.dir`` when the
     cluster names one, else a fresh temporary folder (single machine only)."""

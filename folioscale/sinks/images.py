@@ -11,23 +11,30 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from folioscale.constants import SAVE_FAILED, UPLOAD_FAILED
 from folioscale.functions.formats import format_mime
 from folioscale.functions.names import sink_key, sink_path
 from folioscale.functions.options import SINK_FIELDS
+from folioscale.sources.store import open_store
 
 _KEPT = ("doc_id", "page_num", "format", "copies", "width", "height", "render_ms", "encode_ms")
 
 
 def _put(store: fs.FileSystem, path: str, image: bytes, mime: str, made: set[str]) -> None:
-    """Write under a temporary name, then move into place: a retried or
-    speculative task repeats the same content, and readers never see half."""
+    """Write so that readers never see half a file and a retried or speculative
+    task only repeats the same content: in file systems under a temporary name
+    and then moved, while object stores show an object only once complete."""
     folder, name = posixpath.split(path)
+    if store.type_name not in ("local", "hdfs"):
+        with store.open_output_stream(path, metadata={"Content-Type": mime}) as out:
+            out.write(image)
+        return
     if folder not in made:
         store.create_dir(folder, recursive=True)
         made.add(folder)
     draft = posixpath.join(folder, f".{name}.{uuid.uuid4().hex}")
     try:
-        with store.open_output_stream(draft, metadata={"Content-Type": mime}) as out:
+        with store.open_output_stream(draft) as out:
             out.write(image)
         store.move(draft, path)
     except Exception:
@@ -58,10 +65,10 @@ def _write(results: DataFrame, root: str, target: Column, target_name: str, erro
             _put(store, posixpath.join(base, row["target"]), row["image"], row["mime"], made)
             return {"success": True, target_name: row["target"], "size_bytes": len(row["image"])}
         except Exception as problem:  # noqa: BLE001 - one page fails, not the job
-            return {"success": False, "error": f"{error_prefix}: {problem}"}
+            return {"success": False, "error": f"{error_prefix}{problem}"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(root)
+        store, base = open_store(root)
         made: set[str] = set()
         for batch in batches:
             schema = pa.schema(
@@ -104,7 +111,7 @@ def write_page_files(
     """
     folder = _folder(results) if folder is None else folder
     target = sink_path(folder, F.lit(prefix), "page_num", "format")
-    return _write(results, directory, target, "output_path", "File save failed")
+    return _write(results, directory, target, "output_path", SAVE_FAILED)
 
 
 def write_page_objects(results: DataFrame, uri: str, key_prefix: Column | None = None) -> DataFrame:
@@ -115,7 +122,7 @@ def write_page_objects(results: DataFrame, uri: str, key_prefix: Column | None =
     checked = F.when(F.length(key_prefix) > 0, key_prefix).otherwise(
         F.raise_error(F.lit("key_prefix must not be empty"))
     )
-    return _write(results, uri, sink_key(checked, "page_num", "format"), "object_key", "Upload failed")
+    return _write(results, uri, sink_key(checked, "page_num", "format"), "object_key", UPLOAD_FAILED)
 
 
 def write_manifest(results: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscale.functions.display import size_in_mb
 from folioscale.functions.names import base_name
+from folioscale.session import default_partitions
+from folioscale.sources.store import open_store
 
 PDF_GLOB = "*.[pP][dD][fF]"
 
@@ -55,7 +57,7 @@ def _empty_pdfs(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for uri in batch.column("path").to_pylist():
-                    store, folder = fs.FileSystem.from_uri(uri)
+                    store, folder = open_store(uri)
                     prefix = uri[: len(uri) - len(folder)] if uri.endswith(folder) else ""
                     found = store.get_file_info(fs.FileSelector(folder, recursive=deep))
                     rows = [
@@ -71,20 +73,29 @@ def _empty_pdfs(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
         return entries.where(is_empty).select("path", "length")
 
     ddl = "path string, length bigint, is_folder boolean"
-    top = spark.createDataFrame([(_qualified(spark, path),)], "path string").mapInArrow(listing(False), ddl)
+    roots = spark.createDataFrame(_roots(spark, path), ddl)
+    top = roots.where("is_folder").select("path").mapInArrow(listing(False), ddl)
+    found = files_in(roots).unionByName(files_in(top))
     if not recursive:
-        return files_in(top)
-    folders = top.where("is_folder").select("path").repartition("path")
-    return files_in(top).unionByName(files_in(folders.mapInArrow(listing(True), ddl)))
+        return found
+    folders = top.where("is_folder").select("path")
+    folders = folders.repartition(default_partitions(folders), "path")
+    return found.unionByName(files_in(folders.mapInArrow(listing(True), ddl)))
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
-    """The path with the scheme it has by default on this cluster."""
+def _roots(spark: SparkSession, path: str) -> list[tuple[str, int, bool]]:
+    """What the path, which may be a pattern, stands for: URI, length, whether
+    it is a folder. Without a scheme the cluster's default one applies."""
     context = spark.sparkContext
     hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
     store = hadoop_path.getFileSystem(context._jsc.hadoopConfiguration())
-    uri = store.makeQualified(hadoop_path).toString()
-    return uri.replace("file:/", "file:///", 1) if not uri.startswith("file://") else uri
+    roots = []
+    for status in store.globStatus(hadoop_path) or []:
+        uri = status.getPath().toString()
+        if uri.startswith("file:/") and not uri.startswith("file://"):
+            uri = uri.replace("file:/", "file:///", 1)
+        roots.append((uri, status.getLen(), status.isDirectory()))
+    return roots
 
 
 def scan_buffers(df: DataFrame, doc_id: str, content: Column) -> DataFrame:

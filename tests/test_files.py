@@ -55,6 +55,9 @@ def test_scan_corpus_tree(spark, corpus):
     deep = scan_corpus(spark, corpus, recursive=True).collect()
     assert [row["file_name"] for row in deep if row["size_bytes"] < 5] == ["empty.pdf", "none.PDF", "d.pdf"]
     assert len(deep) == 6
+    by_pattern = scan_corpus(spark, f"{corpus}/sub/*").collect()
+    assert [row["file_name"] for row in by_pattern] == ["none.PDF", "d.pdf"]
+    assert [row["size_bytes"] for row in scan_corpus(spark, f"{corpus}/empty.pdf").collect()] == [0]
 
 
 def toy_inspect(content):
