@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_module
 from folioscale.operators.pages import expand_pages
 from folioscale.operators.results import doc_rollup
+from folioscale.plans.conversion import page_plan
 from workloads.registry import Tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -84,20 +85,41 @@ def test_no_query_pairs_rows_without_a_key(plans):
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
 
 
-def test_hot_document_is_split(spark, conf, no_broadcast):
-    """One document with nearly all requests: the join reads its partition in
-    several parts."""
+@pytest.fixture
+def small_skew_limits(conf, no_broadcast):
     conf("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "20000")
     conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20000")
     conf("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "2")
-    ids = spark.range(0, 200_000, 1, 8)
-    requests = ids.select(
+    # Small data would otherwise be merged into one map task, whose output
+    # cannot be split.
+    conf("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1000")
+
+
+def test_hot_document_is_split(spark, small_skew_limits):
+    """One document with two thirds of all requests: the join reads its
+    partition in several parts."""
+    requests = spark.range(0, 200_000, 1, 8).select(
         F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id") % 500).cast("bigint").alias("doc_id"),
         (F.xxhash64("id") % 9).cast("int").alias("page_num"),
     )
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit(5).alias("num_pages"))
-    plan = executed(expand_pages(docs, requests))
-    assert "SortMergeJoin(skew=true)" in plan
+    assert "SortMergeJoin(skew=true)" in executed(expand_pages(docs, requests))
+
+
+def test_hot_document_of_a_plan_is_split(spark, small_skew_limits):
+    """The same for the render plan, where the pages of the document are
+    distinct."""
+    t = Tables(spark, FOLDER)
+    requests = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id") % 500).cast("bigint").alias("doc_id"),
+        F.col("id").cast("int").alias("page_num"),
+    )
+    docs = spark.range(500).select(
+        F.col("id").alias("doc_id"), F.lit("/a.pdf").alias("input"), F.lit(60_000).alias("num_pages"),
+        F.lit("png").alias("format_raw"), F.col("id").alias("job_id"),
+    )
+    plan = page_plan(docs, requests, t.fx_page_objects, t.fx_page_geometry, t.fx_job_options)
+    assert "SortMergeJoin(skew=true)" in executed(plan.select("doc_id", "page_num", "width", "height"))
 
 
 def test_options_are_broadcast_only_when_small(spark, conf):
