@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscale.llm.common import stored, text_hash
+from folioscale.llm.flags import bucket_flags
 from folioscale.llm.words import WordHashes, lower_ascii, mixed, window_hashes, words_of
 
 BLOCKS = 8
@@ -115,37 +116,13 @@ def table_keys(nodes: DataFrame) -> DataFrame:
     return both.select(F.xxhash64("i", "a", "j", "b").alias("key"), "node")
 
 
-def _flags(values: DataFrame) -> np.ndarray:
-    """One byte per bucket (a million), 1 where a value of column ``bucket`` occurs."""
-
-    def mark(group):
-        import pandas as pd
-
-        part = np.zeros(4096, np.uint8)
-        part[group["bucket"].to_numpy() & 4095] = 1
-        return pd.DataFrame({"part": [int(group["bucket"].iloc[0]) >> 12], "bytes": [part.tobytes()]})
-
-    parts = (
-        values.select("bucket")
-        .distinct()
-        .groupBy((F.col("bucket") / 4096).cast("int").alias("part"))
-        .applyInPandas(mark, "part int, bytes binary")
-        .collect()
-    )
-    out = np.zeros(1 << FLAG_BITS, np.uint8)
-    for row in parts:
-        out[row["part"] << 12 : (row["part"] + 1) << 12] = np.frombuffer(row["bytes"], np.uint8)
-    return out
-
-
 def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """The full sets of the given nodes, one row each, from the texts.
 
     A table of one byte per bucket of nodes, the same size for any input, goes
     to all tasks; what it lets through by chance is removed by the join.
     """
-    buckets = nodes.select(F.col("node").bitwiseAND(F.lit((1 << FLAG_BITS) - 1)).cast("int").alias("bucket"))
-    flags = _flags(buckets)
+    flags = bucket_flags(nodes, "node", FLAG_BITS)
 
     def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, mask = WordHashes(), (1 << FLAG_BITS) - 1

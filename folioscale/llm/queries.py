@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioscale.llm.licenses import license_digest, scan_licenses
 from folioscale.llm.neardup import near_duplicates
+from folioscale.llm.pieces import PieceModel, encoded_digest
 from folioscale.llm.pii import find_personal_data, personal_data_digest
 from folioscale.llm.quality import quality_digest, quality_facts
 from folioscale.llm.sharding import assign_shards
+from folioscale.llm.substrings import remove_repeats, repeats_digest
 from folioscale.llm.warc import archive_digest, archive_pages
 from folioscale.session import apply_adaptive_conf
 from pyspark.sql import functions as F
@@ -32,6 +34,10 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_digest(quality_facts(_table(spark, folder, "documents").select("doc_id", "text")))
 
 
+def op6_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return encoded_digest(_table(spark, folder, "documents").select("doc_id", "text"), PieceModel())
+
+
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"), width=4)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -54,9 +60,13 @@ def op9_web_archive(spark: SparkSession, folder: str) -> DataFrame:
     return archive_digest(archive_pages(_table(spark, folder, "pages").select("page_id", "url", "html")))
 
 
+def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats_digest(remove_repeats(_table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
-    for query in (op1_personal_data, op2_license_scan, op4_quality_rules, op7_near_duplicates, op8_sharding, op9_web_archive)
+    for query in (op1_personal_data, op2_license_scan, op4_quality_rules, op6_sentence_pieces, op7_near_duplicates, op8_sharding, op9_web_archive, op10_repeated_passages)
 }
 
 ORACLES: dict[str, str] = {}
