@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscale.llm.decontam import contamination_digest, decontaminate
 from folioscale.llm.licenses import license_digest, scan_licenses
 from folioscale.llm.neardup import near_duplicates
 from folioscale.llm.pieces import PieceModel, encoded_digest
@@ -34,6 +35,11 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_digest(quality_facts(_table(spark, folder, "documents").select("doc_id", "text")))
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    return contamination_digest(decontaminate(docs, benchmark))
+
+
 def op6_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return encoded_digest(_table(spark, folder, "documents").select("doc_id", "text"), PieceModel())
 
@@ -66,7 +72,7 @@ def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
-    for query in (op1_personal_data, op2_license_scan, op4_quality_rules, op6_sentence_pieces, op7_near_duplicates, op8_sharding, op9_web_archive, op10_repeated_passages)
+    for query in (op1_personal_data, op2_license_scan, op4_quality_rules, op5_decontamination, op6_sentence_pieces, op7_near_duplicates, op8_sharding, op9_web_archive, op10_repeated_passages)
 }
 
 ORACLES: dict[str, str] = {}
