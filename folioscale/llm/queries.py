@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioscale.llm.decontam import contamination_digest, decontaminate
 from folioscale.llm.licenses import license_digest, scan_licenses
+from folioscale.llm.line_dedup import line_digest
 from folioscale.llm.neardup import near_duplicates
 from folioscale.llm.pieces import PieceModel, encoded_digest
 from folioscale.llm.pii import find_personal_data, personal_data_digest
@@ -31,6 +32,10 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_digest(scan_licenses(_table(spark, folder, "documents")))
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_digest(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_digest(quality_facts(_table(spark, folder, "documents").select("doc_id", "text")))
 
@@ -72,7 +77,7 @@ def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
-    for query in (op1_personal_data, op2_license_scan, op4_quality_rules, op5_decontamination, op6_sentence_pieces, op7_near_duplicates, op8_sharding, op9_web_archive, op10_repeated_passages)
+    for query in (op1_personal_data, op2_license_scan, op3_line_dedup, op4_quality_rules, op5_decontamination, op6_sentence_pieces, op7_near_duplicates, op8_sharding, op9_web_archive, op10_repeated_passages)
 }
 
 ORACLES: dict[str, str] = {}
