@@ -11,11 +11,11 @@ compute: the number of minhashes is about the square root of what separate
 keys would take.
 
 Equal sets are one node from the start. Within a key, every node is compared
-with the smallest node of the key, not with all others. Only keys whose nodes
-are then still in different components go on to pairs, and of these the
-triangle inequality of the Jaccard distance (both distances to the smallest
-node are known) and the set sizes rule most out. No pair of a key that could
-still be linked is left out.
+with one hub, the node that meets most others, not with all others. Keys whose
+nodes are then still in different components get another hub, a few times. What
+is left after that goes on to pairs, of which the triangle inequality of the
+Jaccard distance (distances to the last hub are known) and the set sizes rule
+most out. No pair of a key that could still be linked is left out.
 
 A null or empty text has no shingles and is linked with nothing. A text with
 fewer words than a shingle is one shingle. Repeated ids: a component's id is
@@ -42,6 +42,7 @@ BLOCKS = 8
 HASHES_PER_BLOCK = 2
 THRESHOLD_PERCENT = 80
 FLAG_BITS = 20
+STAR_ROUNDS = 3
 
 SIGNATURES = (
     "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, left_blocks array<bigint>, right_blocks array<bigint>"
@@ -65,17 +66,20 @@ def _node(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def _block_values(shingles: np.ndarray, count: int, seed: int) -> np.ndarray:
-    """``count`` block hashes: each combines a few minhashes."""
-    out = np.empty(count, np.uint64)
-    for block in range(count):
-        value = np.uint64(seed + block)
-        for number in range(HASHES_PER_BLOCK):
-            salt = np.uint64((seed * 7919 + block * HASHES_PER_BLOCK + number + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-            smallest = mixed(shingles ^ salt).min()
-            value = mixed(np.array([value * np.uint64(31) + smallest]))[0]
-        out[block] = value
-    return out
+_SALTS = mixed(np.arange(1, 2 * BLOCKS * HASHES_PER_BLOCK + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def block_values(shingles: np.ndarray) -> np.ndarray:
+    """Left, then right block hashes; each combines a few minhashes."""
+    if len(shingles) <= 1 << 14:
+        smallest = (shingles[None, :] * _SALTS[:, None]).min(axis=1)
+    else:
+        smallest = np.array([(shingles * salt).min() for salt in _SALTS])
+    blocks = smallest.reshape(-1, HASHES_PER_BLOCK)
+    value = np.arange(1, len(blocks) + 1, dtype=np.uint64)
+    for number in range(HASHES_PER_BLOCK):
+        value = mixed(value * np.uint64(31) + blocks[:, number])
+    return value.view(np.int64)
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -93,8 +97,9 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     nodes.append(None), left.append(None), right.append(None)
                     continue
                 nodes.append(_node(shingles))
-                left.append(_block_values(shingles, BLOCKS, 1).view(np.int64).tolist())
-                right.append(_block_values(shingles, BLOCKS, 101).view(np.int64).tolist())
+                blocks = block_values(shingles).tolist()
+                left.append(blocks[:BLOCKS])
+                right.append(blocks[BLOCKS:])
             columns = [
                 batch.column(0),
                 batch.column(2),
@@ -200,32 +205,48 @@ def near_duplicates(
         )
     )
     keys = table_keys(nodes)
-    shared = keys.groupBy("key").agg(F.min("node").alias("x"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stored(keys.join(shared.select("key", "x"), "key").select("key", "x", F.col("node").alias("y")), "members")
-    stars = members.where("x <> y").select("x", "y").distinct()
-    ends = members.select(F.col("y").alias("node")).distinct()
-    sets = stored(shingle_sets(texts, ends, width), "shingle-sets")
-    tested = stored(similarities(stars, sets), "star-pairs")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = stored(keys.join(shared, "key").select("key", "node", "size"), "members")
+    # A node that meets many others is compared with them first: an original among its copies.
+    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    sets = stored(shingle_sets(texts, degree.select("node"), width), "shingle-sets")
+    sizes = sets.select("node", F.size("shingles").alias("n"))
+    placed = members.join(degree.join(sizes, "node"), "node")
+    active = stored(placed.select("key", "node", "degree", "n", F.lit(0.0).alias("distance"), F.lit(False).alias("hub")), "active")
     linked = F.col("shared") * 100 >= F.col("together") * percent
-    links = tested.where(linked).select("x", "y")
-    labels = components(links)
-
-    # Keys whose nodes are still apart: pairs that neither size nor distance rules out.
-    placed = members.join(labels.withColumnRenamed("node", "y"), "y", "left").select(
-        "key", "x", "y", F.coalesce("label", "y").alias("label")
-    )
-    apart = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    far = tested.select("x", "y", (1 - F.col("shared") / F.col("together")).alias("distance"))
-    sizes = sets.select(F.col("node").alias("y"), F.size("shingles").alias("n"))
-    several = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 2")
-    unsettled = stored(
-        placed.join(apart.join(several, "key").select("key"), "key", "left_semi")
-        .join(far, ["x", "y"], "left")
-        .join(sizes, "y")
-        .select("key", F.col("y").alias("node"), "label", "n", F.coalesce("distance", F.lit(0.0)).alias("distance")),
-        "unsettled",
-    )
-    first, second = unsettled.alias("p"), unsettled.alias("q")
+    links, labels = None, None
+    for _ in range(STAR_ROUNDS):
+        hubs = active.where("not hub").groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("x"), F.count(F.lit(1)).alias("left"))
+        starred = active.join(hubs.where("left > 1").select("key", "x"), "key")
+        stars = starred.where("x <> node and not hub").select("x", F.col("node").alias("y")).distinct()
+        tested = stored(similarities(stars, sets), "star-pairs")
+        found = tested.where(linked).select("x", "y")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        far = tested.select("x", F.col("y").alias("node"), (1 - F.col("shared") / F.col("together")).alias("to_hub"))
+        known = labels.select("node", "label")
+        moved = (
+            starred.join(far, ["x", "node"], "left")
+            .join(known, "node", "left")
+            .select(
+                "key",
+                "node",
+                "degree",
+                "n",
+                F.coalesce("to_hub", F.when(F.col("node") == F.col("x"), F.lit(0.0)), "distance").alias("distance"),
+                (F.col("hub") | (F.col("node") == F.col("x"))).alias("hub"),
+                F.coalesce("label", "node").alias("label"),
+            )
+        )
+        moved = stored(moved, "moved")
+        # A key all of whose nodes are in one component is settled.
+        apart = moved.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        active = stored(moved.join(apart.select("key"), "key", "left_semi").drop("label"), "active")
+
+    # Pairs that neither size nor distance from the last hub rules out. Hubs have met everyone.
+    open_ = active.where("not hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_ = stored(open_, "open-pairs")
+    first, second = open_.alias("p"), open_.alias("q")
     within = 1 - percent / 100 + 1e-9
     rest = (
         first.join(second, F.col("p.key") == F.col("q.key"))
@@ -234,7 +255,6 @@ def near_duplicates(
         .where(F.abs(F.col("p.distance") - F.col("q.distance")) <= within)
         .select(F.col("p.node").alias("x"), F.col("q.node").alias("y"))
         .distinct()
-        .join(stars, ["x", "y"], "left_anti")
     )
     more = stored(similarities(rest, sets).where(linked).select("x", "y"), "other-links")
     if more.limit(1).count():

@@ -8,7 +8,6 @@ import numpy as np
 import xxhash
 
 _NOT_SPACE = re.compile(r"[^\x20\x09-\x0d]+")
-_ASCII_LOWER = {ord(upper): upper.lower() for upper in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _CACHE_LIMIT = 400_000
@@ -19,7 +18,8 @@ def words_of(text: str | None) -> list[str]:
 
 
 def lower_ascii(text: str | None) -> str:
-    return text.translate(_ASCII_LOWER) if text else ""
+    # Of bytes, lower() changes A-Z only.
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") if text else ""
 
 
 class WordHashes(dict):
