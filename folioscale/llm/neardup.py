@@ -13,9 +13,9 @@ keys would take.
 Equal sets are one node from the start. Within a key, every node is compared
 with one hub, the node that meets most others, not with all others. Keys whose
 nodes are then still in different components get another hub, a few times. What
-is left after that goes on to pairs, of which the triangle inequality of the
-Jaccard distance (distances to the last hub are known) and the set sizes rule
-most out. No pair of a key that could still be linked is left out.
+is left after that goes on to pairs, of which the set sizes, the triangle
+inequality of the Jaccard distance (distances to the last hub are known) and
+parity signatures of 1024 bits rule most out. No pair of a key that could still be linked is left out.
 
 A null or empty text has no shingles and is linked with nothing. A text with
 fewer words than a shingle is one shingle. Repeated ids: a component's id is
@@ -47,7 +47,8 @@ STAR_ROUNDS = 3
 SIGNATURES = (
     "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, left_blocks array<bigint>, right_blocks array<bigint>"
 )
-SETS = "node bigint, shingles array<bigint>"
+SETS = "node bigint, parity array<bigint>, shingles array<bigint>"
+PARITY_WORDS = 16
 
 
 def shingle_set(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
@@ -147,13 +148,23 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     sets = docs.select("text").mapInArrow(collect_sets, SETS)
     # Equal sets of different rows are the same row here.
-    return sets.groupBy("node").agg(F.first("shingles").alias("shingles")).join(nodes, "node", "left_semi")
+    once = sets.groupBy("node").agg(F.first("parity").alias("parity"), F.first("shingles").alias("shingles"))
+    return once.join(nodes, "node", "left_semi")
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """1024 bits, of which each shingle flips one: two sets differ in no fewer shingles than bits."""
+    counts = np.bincount((shingles & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
 def _set_batch(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
     offsets = np.concatenate([[0], np.cumsum([len(values) for values in sets])]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
-    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists], ["node", "shingles"])
+    bits = np.concatenate([parity(values.view(np.uint64)) for values in sets])
+    places = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PARITY_WORDS)
+    columns = [pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(places, pa.array(bits)), lists]
+    return pa.RecordBatch.from_arrays(columns, ["node", "parity", "shingles"])
 
 
 def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -210,9 +221,9 @@ def near_duplicates(
     # A node that meets many others is compared with them first: an original among its copies.
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
     sets = stored(shingle_sets(texts, degree.select("node"), width), "shingle-sets")
-    sizes = sets.select("node", F.size("shingles").alias("n"))
+    sizes = sets.select("node", F.size("shingles").alias("n"), "parity")
     placed = members.join(degree.join(sizes, "node"), "node")
-    active = stored(placed.select("key", "node", "degree", "n", F.lit(0.0).alias("distance"), F.lit(False).alias("hub")), "active")
+    active = stored(placed.select("key", "node", "degree", "n", "parity", F.lit(0.0).alias("distance"), F.lit(False).alias("hub")), "active")
     linked = F.col("shared") * 100 >= F.col("together") * percent
     links, labels = None, None
     for _ in range(STAR_ROUNDS):
@@ -233,6 +244,7 @@ def near_duplicates(
                 "node",
                 "degree",
                 "n",
+                "parity",
                 F.coalesce("to_hub", F.when(F.col("node") == F.col("x"), F.lit(0.0)), "distance").alias("distance"),
                 (F.col("hub") | (F.col("node") == F.col("x"))).alias("hub"),
                 F.coalesce("label", "node").alias("label"),
@@ -248,11 +260,15 @@ def near_duplicates(
     open_ = stored(open_, "open-pairs")
     first, second = open_.alias("p"), open_.alias("q")
     within = 1 - percent / 100 + 1e-9
+    bits = [F.bit_count(F.col("p.parity")[at].bitwiseXOR(F.col("q.parity")[at])) for at in range(PARITY_WORDS)]
+    # Similar sets of a and b shingles differ in (100 - percent) / (100 + percent) of a + b at most.
+    alike = sum(bits[1:], bits[0]) * (100 + percent) <= (F.col("p.n") + F.col("q.n")) * (100 - percent)
     rest = (
         first.join(second, F.col("p.key") == F.col("q.key"))
         .where("p.node < q.node and p.label <> q.label")
         .where((F.col("p.n") * 100 >= F.col("q.n") * percent) & (F.col("q.n") * 100 >= F.col("p.n") * percent))
         .where(F.abs(F.col("p.distance") - F.col("q.distance")) <= within)
+        .where(alike)
         .select(F.col("p.node").alias("x"), F.col("q.node").alias("y"))
         .distinct()
     )
