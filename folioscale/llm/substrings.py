@@ -185,13 +185,14 @@ def remove_repeats(
     def locate(key: tuple, texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         np.seterr(over="ignore")
         hashes, automaton = WordHashes(), None
-        wanted = {value for value in known["phrase"] if isinstance(value, str)}
+        is_window = known["phrase"].isna()
+        wanted = set(known["phrase"][~is_window])
         if wanted:
             automaton = ahocorasick.Automaton()
             for value in wanted:
                 automaton.add_word(f" {value} ", len(value) + 2)
             automaton.make_automaton()
-        confirmed = np.unique(np.array([int(value) for value in known["hash"].dropna()], np.int64).view(np.uint64))
+        confirmed = np.unique(known["hash"][is_window].to_numpy(np.int64).view(np.uint64))
         rows = []
         for doc_id, text in zip(texts["doc_id"], texts["text"], strict=True):
             words = words_of(text if isinstance(text, str) else None)
@@ -201,8 +202,8 @@ def remove_repeats(
             rows.append((doc_id, len(words), len(words) - len(kept), _spans(covered), " ".join(kept)))
         return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "spans", "kept_text"], dtype=object)
 
-    # Numbers as text: a null would turn their column into floating point.
-    facts = facts.select("shard", "phrase", F.col("hash").cast("string").alias("hash"))
+    # No nulls among numbers, which would turn their column into floating point.
+    facts = facts.select("shard", "phrase", F.coalesce("hash", F.lit(0)).alias("hash"))
     dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
     return dealt.groupBy("shard").cogroup(facts.groupBy("shard")).applyInPandas(locate, FOUND)
 
