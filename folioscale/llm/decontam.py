@@ -92,23 +92,23 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def weights(features: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weights(features: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of a passage and their TF-IDF weights, of length 1."""
     ids, counts = np.unique(np.asarray(features, np.int64), return_counts=True)
     values = (1 + np.log(counts)) * idf[ids]
     return ids, (values / max(np.linalg.norm(values), 1e-12)).astype(np.float32)
 
 
-def _products(passages: DataFrame, basis: np.ndarray, idf: np.ndarray, small: bool) -> np.ndarray:
+def _products(passages: DataFrame, basis: np.ndarray, numbers: np.ndarray, idf: np.ndarray, small: bool) -> np.ndarray:
     """``A'(A Q)``, or with ``small`` the Gram matrix of ``A Q``, for the passage matrix A."""
-    rows, width = (basis.shape[1] if small else FEATURES), basis.shape[1]
+    rows, width = (basis.shape[1] if small else len(basis)), basis.shape[1]
     block = 1024
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = np.zeros((rows, width), np.float32)
         for batch in batches:
             for features in batch["features"]:
-                ids, values = weights(features, idf)
+                ids, values = weights(numbers[np.asarray(features)], idf)
                 projected = values @ basis[ids]
                 if small:
                     out += np.outer(projected, projected)
@@ -153,20 +153,22 @@ def fit(benchmark: DataFrame, idf: np.ndarray, seed: int = 1) -> LatentSpace:
             yield pd.DataFrame({"features": [[features[word] for word in part] for part in parts]})
 
     passages = stored(benchmark.select("text").mapInPandas(cut, "features array<int>"), "passages")
-    rng = np.random.default_rng(seed)
-    basis = rng.standard_normal((FEATURES, RANK + EXTRA)).astype(np.float32)
+    # Only features of this block have columns: FEATURES at most.
+    used = np.array(sorted(row[0] for row in passages.select(F.explode("features")).distinct().collect()), np.int64)
+    numbers = np.full(FEATURES + 1, len(used), np.int32)
+    numbers[used] = np.arange(len(used))
+    idf = idf[used]
+    width = min(RANK + EXTRA, max(len(used), 1))
+    basis = np.random.default_rng(seed).standard_normal((len(used), width)).astype(np.float32)
     for _ in range(POWER_STEPS + 1):
-        basis = np.linalg.qr(_products(passages, basis, idf, small=False))[0].astype(np.float32)
-    values, turn = np.linalg.eigh(_products(passages, basis, idf, small=True))
+        basis = np.linalg.qr(_products(passages, basis, numbers, idf, small=False))[0].astype(np.float32)
+    values, turn = np.linalg.eigh(_products(passages, basis, numbers, idf, small=True))
     order = np.argsort(-values)[:RANK]
     # Directions that hold nothing of the passages are left out.
     order = order[values[order] > 1e-6 * max(values.max(initial=0.0), 1e-12)]
-    weighted = np.zeros((FEATURES, RANK), np.float32)
-    weighted[:, : len(order)] = (basis @ turn[:, order]) * idf[:, None]
-    used = np.nonzero(np.abs(weighted).max(axis=1) > 1e-4)[0]
-    rows = np.full(FEATURES + 1, len(used), np.int32)
-    rows[used] = np.arange(len(used))
-    return LatentSpace(rows, np.vstack([weighted[used], np.zeros((1, RANK), np.float32)]))
+    weighted = np.zeros((len(used) + 1, RANK), np.float32)
+    weighted[:-1, : len(order)] = (basis @ turn[:, order]) * idf[:, None]
+    return LatentSpace(numbers, weighted)
 
 
 def common_subsequence(first: list[str], second: list[str]) -> int:
