@@ -44,7 +44,8 @@ def correlate_requests(
     received = F.col("recv_ms")
     accepted = F.coalesce(F.col("ok"), F.lit(False))
     size = F.coalesce(F.col("bytes"), F.lit(_NO_SIZE))
-    answered = responses.select(
+    # A response without an id answers nothing.
+    answered = responses.where(F.col("request_id").isNotNull()).select(
         "request_id",
         received.alias("at"),
         F.explode(F.sequence(floor_div(received - timeout_ms, span), floor_div(received, span))).alias("span"),
@@ -85,11 +86,13 @@ def unmatched_responses(
 ) -> DataFrame:
     """Responses nobody was waiting for: unknown id, too late, or after the
     request was already answered. A multiset difference, so when one of
-    several equal rows was the answer, the others remain."""
+    several equal rows was the answer, the others remain. ``ok`` that is not
+    known counts, and is shown, as false."""
     answers = (
         correlate_requests(requests, responses, timeout_ms)
         .where(F.col("status") != "timeout")
         .select("request_id", "recv_ms", (F.col("status") == "ok").alias("ok"), "bytes")
         .distinct()
     )
-    return responses.select("request_id", "recv_ms", "ok", "bytes").exceptAll(answers)
+    ok = F.coalesce(F.col("ok"), F.lit(False)).alias("ok")
+    return responses.select("request_id", "recv_ms", ok, "bytes").exceptAll(answers)

@@ -20,16 +20,31 @@ def _count(value: Column) -> Column:
     return F.coalesce(F.sum(value), F.lit(0))
 
 
+def _largest(*names: str) -> Column:
+    """The largest row of a source as a struct, so that its values belong together."""
+    present = reduce(lambda a, b: a | b, (F.col(name).isNotNull() for name in names))
+    return F.max(F.when(present, F.struct(*names)))
+
+
+def _size() -> Column:
+    return _largest("width_pt", "height_pt")
+
+
+def _outcome() -> Column:
+    # A successful result before a failed one, then by its values.
+    return _largest("success", "size_bytes", "render_ms", "encode_ms")
+
+
 _AGGREGATES = {
     "copies": lambda: _count(F.col("copies")),
     "text_objects": lambda: _count(F.col("text_objects")),
     "image_objects": lambda: _count(F.col("image_objects")),
-    "width_pt": lambda: F.max("width_pt"),
-    "height_pt": lambda: F.max("height_pt"),
-    "success": lambda: F.max("success"),
-    "size_bytes": lambda: F.max(F.when(F.col("success"), F.col("size_bytes"))),
-    "render_ms": lambda: F.max("render_ms"),
-    "encode_ms": lambda: F.max("encode_ms"),
+    "width_pt": lambda: _size()["width_pt"],
+    "height_pt": lambda: _size()["height_pt"],
+    "success": lambda: _outcome()["success"],
+    "size_bytes": lambda: F.when(_outcome()["success"], _outcome()["size_bytes"]),
+    "render_ms": lambda: _outcome()["render_ms"],
+    "encode_ms": lambda: _outcome()["encode_ms"],
 }
 
 
@@ -52,7 +67,7 @@ def gather_pages(
 ) -> DataFrame:
     """One row per requested page: ``copies`` (how often it was requested),
     object counts, size, and the outcome as far as the inputs are given. Of
-    several results for a page a successful one counts."""
+    several results for a page one successful row counts, of several sizes one."""
     key = ["doc_id", F.col("page_num").cast("bigint").alias("page_num")]
 
     def ones(condition: Column) -> Column:

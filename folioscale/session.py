@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings, so they can also be applied to a running session.
@@ -51,9 +49,9 @@ def default_partitions(df: DataFrame) -> int:
 
 
 def checkpoint_location(spark: SparkSession, name: str) -> str:
-    """Folder for streaming state: under ``spark.checkpoint.dir`` when the
-    cluster names one, else a fresh temporary folder (single machine only)."""
+    """Folder for streaming state, under ``spark.checkpoint.dir``: a query can
+    only recover from a folder that all machines share."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}"
-    return tempfile.mkdtemp(prefix=f"{name}-")
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared.rstrip('/')}/{name}"

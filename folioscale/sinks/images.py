@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscale.constants import SAVE_FAILED, UPLOAD_FAILED
 from folioscale.functions.formats import format_mime
-from folioscale.functions.names import sink_key, sink_path
+from folioscale.functions.names import encode_component, sink_key, sink_path
 from folioscale.functions.options import SINK_FIELDS
 from folioscale.sources.store import open_store
 
@@ -62,6 +62,8 @@ def _write(results: DataFrame, root: str, target: Column, target_name: str, erro
         if not row["success"] or row["image"] is None:
             return {"success": row["success"], "error": row["error"]}
         try:
+            if ".." in row["target"].split("/"):
+                raise ValueError(f"a target outside the folder: {row['target']}")
             _put(store, posixpath.join(base, row["target"]), row["image"], row["mime"], made)
             return {"success": True, target_name: row["target"], "size_bytes": len(row["image"])}
         except Exception as problem:  # noqa: BLE001 - one page fails, not the job
@@ -95,7 +97,7 @@ def check_sink_settings(settings: Mapping[str, str | None], fallback: Mapping[st
 
 
 def _folder(results: DataFrame) -> Column:
-    return F.concat_ws("/", F.col("doc_id").cast("string"), F.col("format"))
+    return F.concat_ws("/", encode_component(F.col("doc_id").cast("string")), F.col("format"))
 
 
 def write_page_files(

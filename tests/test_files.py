@@ -17,6 +17,7 @@ from folioscale.operators.render import (
 from folioscale.operators.results import doc_rollup, output_size_rollup
 from folioscale.plans.conversion import convert_to_files
 from folioscale.sinks.images import check_sink_settings, list_outputs, write_manifest, write_page_files, write_page_objects
+from folioscale.sources.store import open_store
 from folioscale.sources.corpus import read_corpus, scan_buffers, scan_corpus
 
 
@@ -214,3 +215,32 @@ def test_sink_settings_are_checked_first():
     check_sink_settings({**full, "region": ""}, {"region": "r"})
     with pytest.raises(ValueError, match="incomplete: bucket, region"):
         check_sink_settings({**full, "bucket": None, "region": ""})
+
+
+@pytest.mark.parametrize("name", ["with space", "日本", "a%20b", "plus+and#hash"])
+def test_folder_names_stand_for_themselves(spark, tmp_path, name):
+    folder = tmp_path / name / "inner"
+    folder.mkdir(parents=True)
+    (folder / "full.pdf").write_bytes(b"%PDF")
+    (folder / "empty.PDF").write_bytes(b"")
+    store, path = open_store(f"file://{folder}")
+    assert path == str(folder) and store.get_file_info(path).type.name == "Directory"
+    assert scan_corpus(spark, f"file://{tmp_path}", recursive=True).count() == 2
+
+
+def test_of_several_results_one_row_counts(spark):
+    requested = spark.createDataFrame([(1, 1, 1)], "doc_id bigint, page_num bigint, copies bigint")
+    geometry = spark.createDataFrame([(1, 1, 100.0, 900.0), (1, 1, 700.0, 50.0)], "doc_id bigint, page_num int, width_pt float, height_pt float")
+    rows = [(1, 1, False, None, 9000, 5), (1, 1, True, 70, 10, 3), (1, 1, None, None, None, None)]
+    results = spark.createDataFrame(rows, "doc_id bigint, page_num int, success boolean, size_bytes bigint, render_ms int, encode_ms int")
+    row = gather_pages(requested, None, geometry, results).first()
+    assert (row["width_pt"], row["height_pt"]) == (700.0, 50.0)
+    assert (row["success"], row["size_bytes"], row["render_ms"], row["encode_ms"]) == (True, 70, 10, 3)
+
+
+def test_target_outside_the_folder_is_a_failed_row(spark, tmp_path):
+    rows = [("../../evil", 1, True, None, b"x", "png"), ("fine", 1, True, None, b"y", "png"), ("..", 2, True, None, b"z", "png")]
+    schema = "doc_id string, page_num int, success boolean, error string, image binary, format string"
+    written = write_page_files(spark.createDataFrame(rows, schema), str(tmp_path / "out")).collect()
+    assert {row["doc_id"]: row["success"] for row in written} == {"../../evil": True, "fine": True, "..": False}
+    assert not (tmp_path / "evil").exists() and not list(tmp_path.glob("*.png"))

@@ -9,7 +9,7 @@ import __spark_entry__ as entry_module
 from folioscale.operators.pages import expand_pages
 from folioscale.operators.results import doc_rollup
 from folioscale.plans.conversion import page_plan
-from workloads.registry import Tables
+from workloads.registry import WORKLOADS, Tables
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -77,7 +77,7 @@ def test_pages_meet_in_one_shuffle(spark, no_broadcast):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: initial(query(spark, FOLDER)) for name, query in entry_module.queries().items()}
+    return {name: initial(item.run(spark, FOLDER)) for name, item in WORKLOADS.items()}
 
 
 def test_no_query_pairs_rows_without_a_key(plans):

@@ -38,6 +38,7 @@ def test_stream_equals_batch(spark, conf, tmp_path, files):
         return reader.parquet(str(tmp_path / name))
 
     matched = correlate_requests_stream(stream(requests, "req"), stream(responses, "resp"))
+    conf("spark.checkpoint.dir", str(tmp_path / "state"))
     query = (
         matched.writeStream.format("memory")
         .queryName("matched")
