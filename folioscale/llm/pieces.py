@@ -9,8 +9,10 @@ The fold follows the model's own rule. For a BPE model that is: merge the
 neighbours whose piece has the highest score, leftmost first, until none is
 left. (A Viterbi fold, which looks for the path with the largest sum of
 scores, gives other ids for such a model; see README.) The state of the fold is
-a bit mask of the cuts still standing. Segments too long for a mask follow the
-same rule in a Python task.
+a bit mask of the cuts still standing. One pass over the edges does: the piece
+table is checked to merge every piece from parts of better scores, so a merge
+never makes an earlier edge possible. Segments too long for a mask, and all
+segments of a model that fails the check, follow the same rule in a Python task.
 
 Frequent segments, a bounded number, are looked up in a broadcast table; all
 others meet their encoding in a shuffle. Nothing is dropped.
@@ -67,9 +69,12 @@ class PieceModel:
         if crossed:
             raise ValueError(f"pieces that cross segment ends: {crossed[:5]}")
         self.longest = max(len(piece) for piece, _, _ in self.pieces)
+        scores = {piece: (number, score) for piece, number, score in self.pieces}
+        # Pieces that, alone, are merged from parts with a worse score than their own.
+        self.late = [piece for piece, _, score in self.pieces if lowest_merge(piece, scores) < score]
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return F.broadcast(spark.createDataFrame(self.pieces, "piece string, id int, score double"))
+        return spark.createDataFrame(self.pieces, "piece string, id int, score double")
 
     def hex_table(self, spark: SparkSession) -> DataFrame:
         return F.broadcast(spark.createDataFrame(self.hex, "id int, hex string"))
@@ -85,6 +90,18 @@ def segments(text: Column) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, parts).otherwise(F.array().cast("array<string>"))
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join with a broadcast table of bounded size: a number as the first key is found faster than a text.
+
+    Texts are still compared in full.
+    """
+    table = table.withColumnRenamed(key, "_key")
+    hashed = F.broadcast(table.withColumn("_hash", F.xxhash64("_key")))
+    # Said as a range, equality of the texts stays a check of what the number finds.
+    same = (F.xxhash64(rows[key]) == F.col("_hash")) & rows[key].between(F.col("_key"), F.col("_key"))
+    return rows.join(hashed, same, "left").drop("_key", "_hash")
+
+
 def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
     """(word, edges): for each word the pieces among its substrings, best first.
 
@@ -96,7 +113,7 @@ def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
     most = F.least(F.lit(model.longest), F.length("word") - F.col("start"))
     spans = starts.select("word", "start", F.explode(F.sequence(F.lit(1), most)).alias("size"))
     parts = spans.select("word", "start", "size", F.substring("word", F.col("start") + 1, F.col("size")).alias("piece"))
-    matched = parts.join(model.table(words.sparkSession), "piece", "left").where("id is not null or size = 1")
+    matched = looked_up(parts, model.table(words.sparkSession), "piece").where("id is not null or size = 1")
 
     def bit(at: Column) -> Column:
         return F.call_function("shiftleft", F.lit(1).cast("long"), at)
@@ -113,25 +130,20 @@ def lattice(words: DataFrame, model: PieceModel) -> DataFrame:
 
 
 def fold(edges: DataFrame, model: PieceModel) -> DataFrame:
-    """(word, ids) from the lattices."""
-    merges = F.filter("edges", lambda edge: edge["inner"] != 0)
-    size = F.length("word")
-    start = F.call_function("shiftleft", F.lit(1).cast("long"), size + 1) - 1
+    """(word, ids) from the lattices.
 
-    def step(state: Column, _: Column) -> Column:
-        def possible(edge: Column) -> Column:
-            ends = state["cuts"].bitwiseAND(edge["ends"]) == edge["ends"]
-            return ends & (F.bit_count(state["cuts"].bitwiseAND(edge["inner"])) == 1)
+    One pass over the edges, best score first: pieces with parts of a worse
+    score than their own (``PieceModel.late``) are not among them.
+    """
+    merges = F.filter("edges", lambda edge: edge["inner"] != 0)
+    uncut = F.call_function("shiftleft", F.lit(1).cast("long"), F.length("word") + 1) - 1
 
-        best = F.get(F.filter("merges", possible), F.lit(0))["inner"]
-        after = F.struct(state["cuts"].bitwiseAND(F.bitwise_not(best)).alias("cuts"), F.lit(False).alias("ended"))
-        moved = F.coalesce(F.when(best.isNotNull(), after), F.struct(state["cuts"].alias("cuts"), F.lit(True).alias("ended")))
-        return F.when(state["ended"], state).otherwise(moved)
+    def step(cuts: Column, edge: Column) -> Column:
+        ends = cuts.bitwiseAND(edge["ends"]) == edge["ends"]
+        joins_two = F.bit_count(cuts.bitwiseAND(edge["inner"])) == 1
+        return F.when(ends & joins_two, cuts.bitwiseAND(F.bitwise_not(edge["inner"]))).otherwise(cuts)
 
-    state = F.struct(start.alias("cuts"), (F.size("merges") == 0).alias("ended"))
-    cuts = F.aggregate(F.sequence(F.lit(1), size), state, step, lambda state: state["cuts"])
-    with_merges = materialised(edges, merges=merges)
-    with_cuts = materialised(with_merges, cuts=cuts)
+    with_cuts = materialised(edges, cuts=F.aggregate(merges, uncut, step))
 
     def stands(edge: Column) -> Column:
         ends = F.col("cuts").bitwiseAND(edge["ends"]) == edge["ends"]
@@ -154,8 +166,8 @@ def fold(edges: DataFrame, model: PieceModel) -> DataFrame:
     return with_path.select("word", ids.alias("ids"))
 
 
-def merged(word: str, scores: dict[str, tuple[int, float]], byte_ids: dict[int, int]) -> list[int]:
-    """The same rule on one long segment."""
+def _merge_steps(word: str, scores: dict[str, tuple[int, float]]) -> tuple[list[tuple[int, int]], list[float]]:
+    """The spans of the pieces of a segment, by the same rule, and the score of each merge in order."""
     before, after = list(range(-1, len(word) - 1)), list(range(1, len(word) + 1))
     stop, alive = list(range(1, len(word) + 1)), [True] * len(word)
     heap: list[tuple[float, int, int]] = []
@@ -168,22 +180,33 @@ def merged(word: str, scores: dict[str, tuple[int, float]], byte_ids: dict[int,
 
     for at in range(len(word) - 1):
         offer(at)
+    done: list[float] = []
     while heap:
-        _, left, end = heapq.heappop(heap)
+        rank, left, end = heapq.heappop(heap)
         right = after[left] if alive[left] else len(word)
         if right >= len(word) or not alive[left] or stop[right] != end:
             continue
+        done.append(-rank)
         alive[right], stop[left], after[left] = False, end, after[right]
         if after[right] < len(word):
             before[after[right]] = left
         offer(before[left])
         offer(left)
+    return [(at, stop[at]) for at in range(len(word)) if alive[at]], done
+
+
+def lowest_merge(piece: str, scores: dict[str, tuple[int, float]]) -> float:
+    """The least score among the merges that make a piece; the most possible where none does."""
+    spans, done = _merge_steps(piece, scores)
+    return min(done, default=float("inf")) if len(spans) == 1 else float("inf")
+
+
+def merged(word: str, scores: dict[str, tuple[int, float]], byte_ids: dict[int, int]) -> list[int]:
+    """The ids of one segment in plain Python."""
     ids: list[int] = []
-    at = 0
-    while at < len(word):
-        found = scores.get(word[at : stop[at]])
-        ids += [found[0]] if found else [byte_ids[value] for value in word[at : stop[at]].encode("utf-8", "surrogatepass")]
-        at = after[at]
+    for start, stop in _merge_steps(word, scores)[0]:
+        found = scores.get(word[start:stop])
+        ids += [found[0]] if found else [byte_ids[value] for value in word[start:stop].encode("utf-8", "surrogatepass")]
     return ids
 
 
@@ -195,8 +218,9 @@ def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"word": batch["word"], "ids": [merged(word, scores, byte_ids) for word in batch["word"]]})
 
-    short = fold(lattice(words.where(F.length("word") <= MASK_CHARS), model), model)
-    rest = words.where(F.length("word") > MASK_CHARS).select("word")
+    most = 0 if model.late else MASK_CHARS
+    short = fold(lattice(words.where(F.length("word") <= most), model), model)
+    rest = words.where(F.length("word") > most).select("word")
     return short.unionByName(rest.mapInPandas(long_words, "word string, ids array<int>"))
 
 
@@ -240,7 +264,7 @@ def encode_documents(docs: DataFrame, model: PieceModel, id_column: str = "doc_i
     seldom = known.where(F.col("places") < least).select("word", "ids", "whole")
     keyed = docs.select(F.col(f"`{id_column}`").alias("doc_id"), text_hash(text).alias("text_hash"), segments(text).alias("_parts"))
     placed = keyed.select("doc_id", "text_hash", F.posexplode("_parts").alias("position", "word"))
-    looked = placed.join(F.broadcast(often), "word", "left")
+    looked = looked_up(placed, often, "word")
     columns = ["doc_id", "text_hash", "position", "ids", "whole"]
     rest = looked.where("ids is null").select("doc_id", "text_hash", "position", "word").join(seldom, "word")
     return looked.where("ids is not null").select(*columns).unionByName(rest.select(*columns))
