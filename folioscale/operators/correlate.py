@@ -26,19 +26,24 @@ def correlate_requests(
     """Each request with its first response in ``sent_ms .. sent_ms + timeout``
     and the status ok / error / timeout.
 
+    A response answers one request: the latest of its id. A request that is
+    repeated before it is answered is superseded, and counts as a timeout.
+    ``ok`` that is not known counts as false; a null id matches nothing.
+
     An as-of match rather than a join on the id: no pair of rows is formed,
     however often an id occurs. Both logs are stacked and reduced to one row
     per id and millisecond (before the shuffle), laid out in time spans per id,
-    a response also in the span before when requests there may still wait for
-    it. A span so holds a bounded number of rows, and one backward pass over it
-    gives every request the next response.
+    a row also in the span before when requests there may still wait for it. A
+    span so holds a bounded number of rows, and one backward pass over it gives
+    every request the next response and the next request.
     """
     span = timeout_ms * _SPAN_TIMEOUTS
 
+    sent = F.col("sent_ms")
     asked = requests.select(
         "request_id",
-        F.col("sent_ms").alias("at"),
-        floor_div(F.col("sent_ms"), span).alias("span"),
+        sent.alias("at"),
+        F.explode(F.sequence(floor_div(sent - timeout_ms, span), floor_div(sent, span))).alias("span"),
         F.lit(True).alias("is_request"),
     )
     received = F.col("recv_ms")
@@ -61,6 +66,7 @@ def correlate_requests(
         .agg(*[F.max(name).alias(name) for name in ("is_request", "ok", "bytes", "ok_bytes")])
         .withColumn("bytes", F.when(F.col("ok"), F.col("ok_bytes")).otherwise(F.col("bytes")))
         .withColumn("answer_at", F.when(F.col("ok").isNotNull(), F.col("at")))
+        .withColumn("asked_at", F.when(F.col("is_request"), F.col("at")))
     )
 
     backward = (
@@ -70,8 +76,12 @@ def correlate_requests(
     )
     # The columns are NULL together, so the last values come from one row.
     following = {name: F.last(name, ignorenulls=True).over(backward) for name in ("answer_at", "ok", "bytes")}
-    matched = moments.withColumns(following).where(F.col("is_request"))
-    in_time = F.col("answer_at") <= F.col("at") + timeout_ms
+    before = backward.rowsBetween(Window.unboundedPreceding, -1)
+    following["next_asked"] = F.last("asked_at", ignorenulls=True).over(before)
+    own = F.col("is_request") & (floor_div(F.col("at"), span) == F.col("span"))
+    matched = moments.withColumns(following).where(own)
+    superseded = F.coalesce(F.col("next_asked") <= F.col("answer_at"), F.lit(False))
+    in_time = (F.col("answer_at") <= F.col("at") + timeout_ms) & ~superseded
     return matched.select(
         "request_id",
         F.col("at").alias("sent_ms"),

@@ -2,10 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from folioscale.constants import RESPONSE_TIMEOUT_MS
-from folioscale.operators.correlate import request_status
+
+_SPAN_TIMEOUTS = 8
+
+
+def _match(moments: list[dict], last_sent: int, timeout_ms: int) -> Iterator[tuple]:
+    """(sent_ms, recv_ms, bytes, status) of the requests up to ``last_sent``, by one backward pass."""
+    answers, asked = {}, set()
+    for row in moments:
+        if row["is_request"]:
+            asked.add(row["at"])
+        else:
+            # Of responses in the same millisecond an accepted one comes first, then the larger one.
+            rank = (row["ok"], -1 if row["bytes"] is None else row["bytes"])
+            answers[row["at"]] = max(rank, answers.get(row["at"], rank))
+    answer = None
+    for at in sorted(asked | answers.keys(), reverse=True):
+        if at in answers:
+            answer = (at, *answers[at])
+        if at in asked:
+            in_time = answer is not None and answer[0] <= at + timeout_ms
+            if at <= last_sent:
+                if in_time:
+                    recv, ok, size = answer
+                    yield at, recv, None if size < 0 else size, "ok" if ok else "error"
+                else:
+                    yield at, None, None, "timeout"
+            answer = None  # what follows belongs to this request, not to an earlier one
 
 
 def correlate_requests_stream(
@@ -16,34 +45,38 @@ def correlate_requests_stream(
 ) -> DataFrame:
     """``correlate_requests`` over two streams, in append mode.
 
-    A request is emitted once the watermark has passed its time limit: with
-    its first response, or as a timeout. The limit bounds the state of the
-    join to one time window of traffic on both sides.
+    The state holds the distinct moments of an id in a time span of eight
+    limits, and no pairs. A span overlaps the next by one limit, so that it
+    sees all that can answer or supersede its requests; they are emitted, with
+    their response or as timeouts, once the watermark has passed it.
     """
-    limit = F.expr(f"INTERVAL {timeout_ms} MILLISECONDS")
-    asked = requests.select(
-        "request_id", "sent_ms", F.timestamp_millis("sent_ms").alias("sent_at")
-    ).withWatermark("sent_at", lateness)
-    answered = responses.select(
-        F.col("request_id").alias("answer_id"),
-        "recv_ms",
-        "ok",
-        "bytes",
-        F.timestamp_millis("recv_ms").alias("recv_at"),
-    ).withWatermark("recv_at", lateness)
-
-    in_time = F.col("recv_at").between(F.col("sent_at"), F.col("sent_at") + limit)
-    pairs = asked.join(answered, (F.col("request_id") == F.col("answer_id")) & in_time, "leftOuter")
-    answer = F.struct(
-        "recv_ms", (~F.col("ok")).alias("failed"), (-F.col("bytes")).alias("neg_bytes")
-    )
-    first = pairs.groupBy("request_id", "sent_ms", "sent_at").agg(
-        F.min(F.when(F.col("answer_id").isNotNull(), answer)).alias("answer")
+    span = timeout_ms * _SPAN_TIMEOUTS
+    no_answer = [F.lit(None).cast("boolean").alias("ok"), F.lit(None).cast("bigint").alias("bytes")]
+    asked = requests.select("request_id", F.col("sent_ms").alias("at"), F.lit(True).alias("is_request"), *no_answer)
+    ok = F.coalesce(F.col("ok"), F.lit(False)).alias("ok")
+    answered = responses.where(F.col("request_id").isNotNull()).select(
+        "request_id", F.col("recv_ms").alias("at"), F.lit(False).alias("is_request"), ok, F.col("bytes").cast("bigint")
     )
-    return first.select(
-        "request_id",
-        "sent_ms",
-        F.col("answer.recv_ms").alias("recv_ms"),
-        (-F.col("answer.neg_bytes")).alias("bytes"),
-        request_status(~F.col("answer.failed")).alias("status"),
+
+    def timed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("event_at", F.timestamp_millis("at")).withWatermark("event_at", lateness)
+
+    spans = F.window("event_at", f"{span + timeout_ms} milliseconds", f"{span} milliseconds")
+    gathered = (
+        timed(asked)
+        .unionByName(timed(answered))
+        .groupBy("request_id", spans.alias("span"))
+        .agg(F.collect_set(F.struct("at", "is_request", "ok", "bytes")).alias("moments"))
+        .select("request_id", (F.unix_millis("span.start") + span - 1).alias("last_sent"), "moments")
     )
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                found = list(_match(row.moments, row.last_sent, timeout_ms))
+                out = pd.DataFrame(found, columns=["sent_ms", "recv_ms", "bytes", "status"], dtype=object)
+                out.insert(0, "request_id", pd.Series([row.request_id] * len(out), dtype=object))
+                yield out.astype({"sent_ms": "Int64", "recv_ms": "Int64", "bytes": "Int64"})
+
+    id_type = requests.schema["request_id"].dataType.simpleString()
+    return gathered.mapInPandas(match, f"request_id {id_type}, sent_ms bigint, recv_ms bigint, bytes bigint, status string")

@@ -14,7 +14,10 @@ def spark(tmp_path_factory):
     session = local_session(
         "*",
         "folioscale-tests",
-        **{"spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))},
+        **{
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+        },
     )
     yield session
     session.stop()

@@ -232,13 +232,15 @@ def test_stream_stats_and_first_touch(spark):
 def correlate_model(requests, responses, timeout):
     by_id = defaultdict(list)
     for request_id, recv, ok, size in responses:
-        by_id[request_id].append((recv, not ok, -size))
+        if request_id is not None:
+            by_id[request_id].append((recv, not ok, 1 if size is None else -size))
     rows = []
     for request_id, sent in set(requests):
         found = [r for r in by_id[request_id] if sent <= r[0] <= sent + timeout]
-        if found:
-            recv, failed, size = min(found)
-            rows.append((request_id, sent, recv, -size, "error" if failed else "ok"))
+        recv, failed, size = min(found, default=(None, None, None))
+        superseded = recv is not None and any(i == request_id and sent < again <= recv for i, again in requests)
+        if recv is not None and not superseded:
+            rows.append((request_id, sent, recv, None if size == 1 else -size, "error" if failed else "ok"))
         else:
             rows.append((request_id, sent, None, None, "timeout"))
     return rows
@@ -249,7 +251,12 @@ def test_correlation_with_hot_id(spark):
     timeout = 300
     requests = [(rng.choice([1, 1, 1, 2, 3, 4]), rng.randrange(0, 30_000)) for _ in range(900)] + [(8, -500)]
     responses = [
-        (rng.choice([1, 1, 1, 2, 3, 5]), rng.randrange(-100, 31_000), rng.random() < 0.7, rng.randrange(5))
+        (
+            rng.choice([1, 1, 1, 2, 3, 5, None]),
+            rng.randrange(-100, 31_000),
+            rng.choice([True, True, True, False, None]),
+            rng.choice([None, 0, 1, 2, 3]),
+        )
         for _ in range(900)
     ] + [(8, -250, True, 3), (8, -250, False, 9), (8, -250, True, 3)]
     asked = spark.createDataFrame(requests, "request_id bigint, sent_ms bigint")
@@ -258,11 +265,20 @@ def test_correlation_with_hot_id(spark):
     assert bag(correlate_requests(asked, answered, timeout)) == Counter(expected)
 
     used = {(i, recv, status == "ok", size) for i, _, recv, size, status in expected if status != "timeout"}
-    left = Counter(responses)
+    left = Counter((i, recv, bool(ok), size) for i, recv, ok, size in responses)
     left.subtract(used)
     assert bag(unmatched_responses(asked, answered, timeout)) == +left
 
 
+def test_one_response_answers_the_latest_request(spark):
+    asked = spark.createDataFrame([(1, 0), (1, 1000), (2, 0), (None, 0)], "request_id bigint, sent_ms bigint")
+    answers = [(1, 2000, True, 5), (2, 9, None, None), (None, 1, True, 1)]
+    answered = spark.createDataFrame(answers, "request_id bigint, recv_ms bigint, ok boolean, bytes bigint")
+    expected = [(1, 0, None, None, "timeout"), (1, 1000, 2000, 5, "ok"), (2, 0, 9, None, "error"), (None, 0, None, None, "timeout")]
+    assert bag(correlate_requests(asked, answered)) == Counter(expected)
+    assert bag(unmatched_responses(asked, answered)) == Counter([(None, 1, True, 1)])
+
+
 # --- results -----------------------------------------------------------------
 
 RESULT = (

@@ -25,20 +25,29 @@ def write_in_order(frame, time_column, folder, files):
     sentinel.coalesce(1).write.mode("append").parquet(str(folder))
 
 
-@pytest.mark.parametrize("files", [3])
-def test_stream_equals_batch(spark, conf, tmp_path, files):
+def logs(spark, case):
+    if case == "tables":
+        tables = Tables(spark, "/root/testdata/sf0.001")
+        return tables.fx_requests, tables.fx_responses
+    requests = spark.range(20_000).selectExpr("5L as request_id", "id * 37 as sent_ms")
+    responses = spark.range(20_000).selectExpr(
+        "5L as request_id", "id * 41 % 800000 as recv_ms", "if(id % 7 = 0, null, id % 3 > 0) as ok", "if(id % 5 = 0, null, id) as bytes"
+    )
+    return requests, responses
+
+
+@pytest.mark.parametrize("case", ["tables", "one hot id"])
+def test_stream_equals_batch(spark, conf, tmp_path, case):
     conf("spark.sql.shuffle.partitions", "4")
-    tables = Tables(spark, "/root/testdata/sf0.001")
-    requests, responses = tables.fx_requests, tables.fx_responses
-    write_in_order(requests, "sent_ms", tmp_path / "req", files)
-    write_in_order(responses, "recv_ms", tmp_path / "resp", files)
+    requests, responses = logs(spark, case)
+    write_in_order(requests, "sent_ms", tmp_path / "req", 3)
+    write_in_order(responses, "recv_ms", tmp_path / "resp", 3)
 
     def stream(frame, name):
         reader = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1)
         return reader.parquet(str(tmp_path / name))
 
     matched = correlate_requests_stream(stream(requests, "req"), stream(responses, "resp"))
-    conf("spark.checkpoint.dir", str(tmp_path / "state"))
     query = (
         matched.writeStream.format("memory")
         .queryName("matched")
@@ -54,3 +63,4 @@ def test_stream_equals_batch(spark, conf, tmp_path, files):
     batch = correlate_requests(requests, responses).select(*columns)
     assert Counter(map(tuple, streamed.collect())) == Counter(map(tuple, batch.collect()))
     assert {row["status"] for row in batch.select("status").distinct().collect()} == {"ok", "error", "timeout"}
+    assert batch.count() == requests.distinct().count()

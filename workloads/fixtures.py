@@ -64,19 +64,21 @@ FIXTURES: dict[str, str] = {
                1 + (event_id * 7919) % 600000 as len, cast(50331648 as bigint) as file_size
         from {events}
     """,
+    # Some ids are asked again before an answer, some after; responses lack ids, verdicts and sizes.
     "fx_requests": """
-        select user_id * 65536 + event_id % 65536 as request_id, event_id * 1000 as sent_ms
-        from {events} where event_type in ('view', 'click')
+        select user_id * 65536 + event_id % 65536 as request_id, event_id * 1000 as sent_ms from {events}
+        union all
+        select user_id * 65536 + event_id % 65536, event_id * 1000 + event_id % 9 * 400 from {events} where event_id % 11 = 0
     """,
     "fx_responses": """
-        select user_id * 65536 + event_id % 65536 as request_id,
+        select case when event_id % 23 = 0 then null else user_id * 65536 + event_id % 65536 end as request_id,
                event_id * 1000 + cast(round(value * 100) as bigint) as recv_ms,
-               event_type <> 'click' or event_id % 7 <> 0 as ok,
-               cast(262144 as bigint) as bytes
-        from {events} where event_type in ('view', 'click') and event_id % 17 <> 0
+               case when event_id % 13 = 0 then null else event_type <> 'click' or event_id % 7 <> 0 end as ok,
+               case when event_id % 19 = 0 then null else cast(262144 as bigint) end as bytes
+        from {events} where event_id % 17 <> 0
         union all
-        select user_id * 65536 + event_id % 65536, event_id * 1000 + cast(round(value * 100) as bigint) + 500, false, cast(0 as bigint)
-        from {events} where event_type in ('view', 'click') and event_id % 5 = 0
+        select user_id * 65536 + event_id % 65536, event_id * 1000 + cast(round(value * 100) as bigint) + 500 * (event_id % 2), false, cast(0 as bigint)
+        from {events} where event_id % 5 = 0
     """,
     "fx_job_options": """
         select p_partkey as job_id,

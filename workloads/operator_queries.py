@@ -497,9 +497,12 @@ part(
     "x_matched",
     """select q.request_id, q.sent_ms, r.recv_ms, r.ok, r.bytes,
               row_number() over (partition by q.request_id, q.sent_ms
-                                 order by r.recv_ms, not r.ok, r.bytes desc) as rn
-       from (select distinct request_id, sent_ms from fx_requests) q left join fx_responses r
-         on r.request_id = q.request_id and r.recv_ms between q.sent_ms and q.sent_ms + 30000""",
+                                 order by r.recv_ms, not r.ok, coalesce(r.bytes, -1) desc) as rn
+       from (select request_id, sent_ms, lead(sent_ms) over (partition by request_id order by sent_ms) as next_ms
+             from (select distinct request_id, sent_ms from fx_requests) once) q
+       left join (select request_id, recv_ms, coalesce(ok, false) as ok, bytes from fx_responses) r
+         on r.request_id = q.request_id and r.recv_ms between q.sent_ms and q.sent_ms + 30000
+            and (q.next_ms is null or r.recv_ms < q.next_ms)""",
     ("fx_requests", "fx_responses"),
 )
 
@@ -517,7 +520,7 @@ def _(t):
 
 @workload(
     "unmatched_responses",
-    """select request_id, recv_ms, ok, bytes from fx_responses except all
+    """select request_id, recv_ms, coalesce(ok, false) as ok, bytes from fx_responses except all
        select distinct request_id, recv_ms, ok, bytes from x_matched where rn = 1 and recv_ms is not null""",
     ("x_matched",),
 )
