@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioscale.constants import RESPONSE_TIMEOUT_MS
 from folioscale.functions._util import floor_div
+from folioscale.functions.blocks import request_task
 
 _SPAN_TIMEOUTS = 8
 # Stands for a response without a size while rows are matched.
@@ -106,3 +107,19 @@ def unmatched_responses(
     )
     ok = F.coalesce(F.col("ok"), F.lit(False)).alias("ok")
     return responses.select("request_id", "recv_ms", ok, "bytes").exceptAll(answers)
+
+
+def request_stats(matched: DataFrame) -> DataFrame:
+    """Per task what became of its requests: counts by status, and the bytes of
+    the accepted answers. Combines before the shuffle."""
+
+    def count(status: str) -> Column:
+        return F.count_if(F.col("status") == status)
+
+    return matched.groupBy(request_task("request_id").alias("task_id")).agg(
+        F.count(F.lit(1)).alias("requests"),
+        count("ok").alias("ok"),
+        count("error").alias("errors"),
+        count("timeout").alias("timeouts"),
+        F.coalesce(F.sum(F.when(F.col("status") == "ok", F.col("bytes"))), F.lit(0)).alias("bytes"),
+    )

@@ -57,6 +57,22 @@ _OUTCOME = [
 ]
 
 
+def _reason(problem: Exception) -> str:
+    """The text of an exception, such that Arrow can hold it."""
+    try:
+        return str(problem).encode("utf-8", "replace").decode("utf-8")
+    except Exception:  # noqa: BLE001 - user exceptions may fail at this, too
+        return type(problem).__name__
+
+
+def _checked(row: dict[str, Any], columns: list[tuple[str, pa.DataType, str]]) -> dict[str, Any]:
+    """The row, if its values fit the columns; raises what Arrow raises else."""
+    for name, arrow_type, _ in columns:
+        if name in row and not isinstance(row[name], bytes):
+            row[name] = pa.scalar(row[name], arrow_type).as_py()
+    return row
+
+
 def _failed(error: str) -> dict[str, Any]:
     return dict(success=False, error=error, width=0, height=0, render_ms=0, encode_ms=0)
 
@@ -66,7 +82,7 @@ def _render_one(renderer: Renderer, document: Any, page: dict[str, Any]) -> dict
     try:
         done = renderer.render(document, page)
         elapsed = int((time.perf_counter() - started) * 1000)
-        return dict(
+        outcome = dict(
             success=True,
             error=None,
             width=done.width,
@@ -76,8 +92,9 @@ def _render_one(renderer: Renderer, document: Any, page: dict[str, Any]) -> dict
             render_ms=elapsed if done.render_ms is None else done.render_ms,
             encode_ms=done.encode_ms,
         )
-    except Exception as problem:  # noqa: BLE001 - user code may raise anything
-        return _failed(str(problem) or UNKNOWN_ERROR)
+        return _checked(outcome, _OUTCOME)
+    except Exception as problem:  # noqa: BLE001 - user code may raise or return anything
+        return _failed(_reason(problem) or UNKNOWN_ERROR)
 
 
 class _OpenDocument:
@@ -102,7 +119,7 @@ class _OpenDocument:
             try:
                 self.document = self.renderer.open(row[self.source_column])
             except Exception as problem:  # noqa: BLE001
-                self.error = f"{LOAD_FAILED}{problem}"
+                self.error = f"{LOAD_FAILED}{_reason(problem)}"
 
     def leave(self) -> None:
         if self.group is not None and self.error is None:
@@ -216,24 +233,17 @@ def inspect_documents(
     row with ``num_pages`` 0. Narrow: documents stay in their partition.
     """
 
+    def page_row(doc_id: Any, number: int, count: int, page: InspectedPage) -> dict[str, Any]:
+        sizes = {"width_pt": page.width_pt, "height_pt": page.height_pt, "object_types": list(page.object_types)}
+        return {"doc_id": doc_id} | _checked({"num_pages": count, "page_num": number} | sizes, _INSPECTED)
+
     def rows_of(doc_id: Any, document: Any) -> list[dict[str, Any]]:
         try:
             pages = list(inspect(document))
-        except Exception as problem:  # noqa: BLE001
-            return [{"doc_id": doc_id, "error": f"{LOAD_FAILED}{problem}"}]
-        if not pages:
-            return [{"doc_id": doc_id, "num_pages": 0}]
-        return [
-            {
-                "doc_id": doc_id,
-                "num_pages": len(pages),
-                "page_num": number,
-                "width_pt": page.width_pt,
-                "height_pt": page.height_pt,
-                "object_types": list(page.object_types),
-            }
-            for number, page in enumerate(pages, start=1)
-        ]
+            rows = [page_row(doc_id, number, len(pages), page) for number, page in enumerate(pages, start=1)]
+        except Exception as problem:  # noqa: BLE001 - user code may raise or return anything
+            return [{"doc_id": doc_id, "error": f"{LOAD_FAILED}{_reason(problem)}"}]
+        return rows or [{"doc_id": doc_id, "num_pages": 0}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,6 +258,12 @@ def inspect_documents(
     return docs.select("doc_id", source).mapInArrow(run, ", ".join(ddl))
 
 
+def inspected_documents(inspected: DataFrame) -> DataFrame:
+    """``doc_id, num_pages, error``, one row per document id: what a plan needs
+    of the documents. Combines before the shuffle."""
+    return inspected.groupBy("doc_id").agg(F.max("num_pages").alias("num_pages"), F.max("error").alias("error"))
+
+
 def inspected_pages(inspected: DataFrame) -> DataFrame:
     """``doc_id, page_num, width_pt, height_pt`` of the pages found."""
     return inspected.where(F.col("page_num").isNotNull()).select("doc_id", "page_num", "width_pt", "height_pt")

@@ -10,6 +10,7 @@ from folioscale.operators.render import (
     InspectedPage,
     RenderedPage,
     inspect_documents,
+    inspected_documents,
     inspected_objects,
     inspected_pages,
     map_pages,
@@ -79,6 +80,34 @@ def test_inspect_documents(spark, corpus):
     assert inspected_pages(found).count() == inspected_objects(found).count() == 4
 
 
+def test_bad_plug_in_output_is_one_error_row(spark):
+    class Odd:
+        def open(self, source):
+            return source
+
+        def render(self, document, page):
+            if page["page_num"] == 1:
+                return RenderedPage(image=b"x", width="wide", height=1)
+            if page["page_num"] == 2:
+                raise ValueError("half a sign: \ud800")
+            return RenderedPage(image=b"x", width=1, height=1)
+
+        def close(self, document):
+            pass
+
+    planned = spark.createDataFrame([(1, n, "a") for n in (1, 2, 3)], "doc_id int, page_num int, input string")
+    assert {row["page_num"]: row["success"] for row in map_pages(planned, Odd).collect()} == {1: False, 2: False, 3: True}
+
+    def odd_inspect(document):
+        kinds = {b"none": (1.0, 2.0, None), b"text": ("wide", 2.0), b"good": (1.0, 2.0, ("text",))}
+        yield InspectedPage(1.0, 2.0)
+        yield InspectedPage(*kinds[bytes(document)])
+
+    docs = spark.createDataFrame([(1, b"none"), (2, b"text"), (3, b"good")], "doc_id int, content binary")
+    found = inspected_documents(inspect_documents(docs, odd_inspect)).collect()
+    assert {row["doc_id"]: (row["num_pages"], row["error"] is None) for row in found} == {1: (None, False), 2: (None, False), 3: (2, True)}
+
+
 def test_scan_buffers(spark):
     frame = spark.createDataFrame([(1, b"abc"), (2, b"")], "id int, body binary")
     rows = scan_buffers(frame, "id", F.col("body")).orderBy("doc_id").collect()

@@ -130,7 +130,7 @@ def test_options_are_broadcast_only_when_small(spark, conf):
 
 
 def test_python_runs_only_where_it_must(plans):
-    python = {"map_pages", "inspect_documents", "inspected_scan_sizes", "cache_attribution", "stream_stats", "trace_report"}
+    python = {"map_pages", "inspect_documents", "inspected_documents", "inspected_scan_sizes", "cache_attribution", "stream_stats", "trace_report"}
     for name, plan in plans.items():
         assert ("MapInArrow" in plan) == (name in python), name
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioscale.operators.bench import bench_pivot, bench_rollup
 from folioscale.operators.cache import block_first_touch, blocks_of_read, cache_attribution, stream_stats
-from folioscale.operators.correlate import correlate_requests, unmatched_responses
+from folioscale.operators.correlate import correlate_requests, request_stats, unmatched_responses
 from folioscale.operators.geometry import plan_page_size, scan_detection, side_limit
 from folioscale.operators.pages import (
     attach_options,
@@ -22,6 +22,7 @@ from folioscale.operators.render import (
     InspectedPage,
     RenderedPage,
     inspect_documents,
+    inspected_documents,
     inspected_objects,
     inspected_pages,
     map_pages,
@@ -528,6 +529,18 @@ def _(t):
     return unmatched_responses(t.fx_requests, t.fx_responses)
 
 
+@workload(
+    "request_stats",
+    """select request_id // 65536 as task_id, count(*) as requests, count(*) filter (ok) as ok,
+              count(*) filter (not ok) as errors, count(*) filter (ok is null) as timeouts,
+              cast(coalesce(sum(bytes) filter (ok), 0) as bigint) as bytes
+       from x_matched where rn = 1 group by request_id // 65536""",
+    ("x_matched",),
+)
+def _(t):
+    return request_stats(correlate_requests(t.fx_requests, t.fx_responses))
+
+
 # --- conversion --------------------------------------------------------------
 
 part(
@@ -689,6 +702,16 @@ def _(t):
     )
 
 
+@workload(
+    "inspected_documents",
+    """select doc_id, case when not broken then num_pages end as num_pages,
+              case when broken then 'Failed to load PDF: FormatError' end as error from x_inspected""",
+    ("x_inspected",),
+)
+def _(t):
+    return inspected_documents(inspect_documents(scan_buffers(t.documents, "doc_id", F.encode("text", "utf-8")), stub_inspect))
+
+
 @workload(
     "inspected_scan_sizes",
     """select doc_id, page_num, cast(1280 as int) as width, cast(round(cast((792 + page_num) * cast(
