@@ -25,32 +25,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscale.llm.common import materialised, split_words, stored, text_hash
+from folioscale.llm.common import materialised, stored, text_hash
 
 RARITY_BUCKETS = 1 << 16
 FLAGS = 1 << 20
 PERCENT = 80
+OTHER_SPACE = r"[\x09\x0B-\x0D]"
 
 ROW = ["doc_id", "text_hash", "line_no"]
 
 
 def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    text = F.col(f"`{text_column}`")
-    keyed = docs.select(F.col(f"`{id_column}`").alias("doc_id"), text_hash(text).alias("text_hash"), F.split(text, "\n").alias("_lines"))
-    return keyed.select("doc_id", "text_hash", F.posexplode("_lines").alias("line_no", "line"))
+    """The lines of every text, with a space for each other white space in them."""
+    text = F.col("text")
+    # Most texts have no other white space: they are only looked through.
+    spaced = F.when(text.rlike(OTHER_SPACE), F.regexp_replace(text, OTHER_SPACE, " ")).otherwise(text)
+    # The parts are made in the generator itself: from a column, a filter on them would be inferred and split texts again.
+    keyed = materialised(docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text")), text_hash=text_hash(F.col("text")))
+    return keyed.select("doc_id", "text_hash", F.posexplode(F.split(spaced, "\n")).alias("line_no", "line"))
 
 
-def _word_hashes(lines: DataFrame) -> DataFrame:
-    """Replace ``line`` by ``hashes``, of its distinct words; lines without words go."""
-    words = F.array_distinct(split_words(F.col("line")))
-    split = materialised(lines, words=words).where(F.size("words") > 0)
-    names = [name for name in lines.columns if name != "line"]
-    return split.select(*names, F.transform("words", lambda word: F.xxhash64(word)).alias("hashes"))
+def _words() -> Column:
+    # One plain character is split at without a regular expression.
+    return F.array_remove(F.split("line", " "), "")
+
+
+def _hashes() -> Column:
+    return F.transform(_words(), lambda word: F.xxhash64(word))
 
 
 def rarity_table(lines: DataFrame) -> bytes:
     """Per bucket of hashed words a class from 0 (rare) to 127, four to a doubling of the count."""
-    words = lines.select(F.explode(split_words(F.col("line"))).alias("word"))
+    words = lines.select(F.explode(_words()).alias("word"))
     bucket = F.pmod(F.xxhash64("word"), F.lit(RARITY_BUCKETS)).cast("int")
     counts = words.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("places"))
     classes = counts.select("bucket", F.least(F.lit(127), F.floor(F.log2(F.col("places") + 1) * 4)).cast("int").alias("class"))
@@ -60,32 +66,32 @@ def rarity_table(lines: DataFrame) -> bytes:
     return bytes(table)
 
 
-def _ordered(hashes: str, table: bytes) -> Column:
-    """The hashes with their class in front, so that numbers sort by rarity."""
-    classes = F.lit(table)
+def _ordered(hashes: Column, table: bytes) -> Column:
+    """The distinct hashes with their class in front, so that numbers sort by rarity."""
+    # Folded into one literal when the query is planned.
+    classes = F.split(F.lit(",".join(str(value << 56) for value in table)), ",").cast("array<bigint>")
 
     def keyed(value: Column) -> Column:
-        at = F.pmod(value, F.lit(RARITY_BUCKETS)).cast("int") + 1
-        rarity = F.ascii(F.substring(classes, at, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(rarity, 56).bitwiseOR(F.shiftrightunsigned(value, 8))
+        rarity = F.get(classes, value.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int"))
+        return rarity.bitwiseOR(F.shiftrightunsigned(value, 8))
 
-    return F.sort_array(F.transform(hashes, keyed))
+    return F.sort_array(F.array_distinct(F.transform(hashes, keyed)))
 
 
-def _parity(hashes: str, half: int) -> Column:
+def _parity(keys: str, half: int) -> Column:
     """Half of 128 bits, of which each word flips one: two lines differ in no more bits than words."""
 
-    def flip(state: Column, value: Column) -> Column:
-        place = F.shiftrightunsigned(value, 20).bitwiseAND(F.lit(127)).cast("int")
-        flipped = state.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place % 64))
-        return F.when((place >= 64) == F.lit(bool(half)), flipped).otherwise(state)
+    def flip(state: Column, key: Column) -> Column:
+        mine = F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(1))
+        mine = mine if half else mine.bitwiseXOR(F.lit(1))
+        return state.bitwiseXOR(F.call_function("shiftleft", mine, key.bitwiseAND(F.lit(63)).cast("int")))
 
-    return F.aggregate(hashes, F.lit(0).cast("long"), flip)
+    return F.aggregate(keys, F.lit(0).cast("long"), flip)
 
 
 def line_sets(lines: DataFrame, table: bytes) -> DataFrame:
     """Per line with words: its place, set, size, prefix of rare words and signature."""
-    hashed = materialised(_word_hashes(lines), ordered=_ordered("hashes", table), hashes=F.col("hashes"))
+    hashed = materialised(lines.select(*ROW, "line"), ordered=_ordered(_hashes(), table)).where(F.size("ordered") > 0)
     size = F.size("ordered")
     short = F.transform(F.slice("ordered", F.lit(1), ((size - size % 5) / 5 + 1).cast("int")), lambda key: key.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     return hashed.select(
@@ -93,8 +99,8 @@ def line_sets(lines: DataFrame, table: bytes) -> DataFrame:
         F.xxhash64("ordered").alias("set_id"),
         size.alias("size"),
         short.alias("prefix"),
-        _parity("hashes", 0).alias("odd_low"),
-        _parity("hashes", 1).alias("odd_high"),
+        _parity("ordered", 0).alias("odd_low"),
+        _parity("ordered", 1).alias("odd_high"),
     )
 
 
@@ -149,7 +155,7 @@ def similar_sets(pairs: DataFrame, sets: DataFrame, lines: DataFrame) -> DataFra
     places = stored(sets.join(wanted, "set_id").select("set_id", "first.*"), "wanted-lines")
     flags = _flag_table(places.select(_row_bucket().alias("bucket")))
     maybe = lines.where(F.substring(flags, _row_bucket() + 1, F.lit(1)) == F.lit(b"\x01"))
-    hashes = _word_hashes(maybe).alias("l").join(
+    hashes = maybe.select(*ROW, F.array_distinct(_hashes()).alias("hashes")).alias("l").join(
         places.alias("p"),
         F.col("l.doc_id").eqNullSafe(F.col("p.doc_id"))
         & (F.col("l.text_hash") == F.col("p.text_hash"))
