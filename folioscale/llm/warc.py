@@ -307,7 +307,8 @@ def _unpacked(content: bytes) -> bytes:
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Pages through ARC into WARC files in the shared folder, and the records read back."""
     spark = pages.sparkSession
-    records = stored(arc_to_warc(pages_to_arc(pages)), "warc-records")
+    # Whole pages: what is written once and read twice is packed more tightly.
+    records = stored(arc_to_warc(pages_to_arc(pages)), "warc-records", "zstd")
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(mark_revisits(records), path)
     return read_warc(spark, path, with_payload=False)
