@@ -8,7 +8,10 @@
    window and a benchmark passage are candidates if their vectors in the latent
    space are close by cosine, and the window has enough of the passage. A bound
    per word, summed over the window, tells most windows apart from all passages
-   before their vectors are needed.
+   before their vectors are needed. The latent space has fewer directions than a
+   block can have passages, so on its own it would miss some; an index of words
+   therefore proposes every window that has enough words of a passage to pass the
+   check. This bound loses nothing that the check accepts.
 4. Check: the longest common subsequence of words. A large share is a copy. A
    middling share is a paraphrase only if the passage's end, its answer, is
    there too.
@@ -48,6 +51,7 @@ LEAST_COSINE = 0.5
 LEAST_CONTAINED = 0.5
 COPY_SHARE = 0.8
 PARAPHRASE_SHARE = 0.5
+FREQUENT_PART = 0.67  # of the words a match needs, how many may be too frequent to be looked up
 ANSWER_SHARE = 0.75
 CHUNK_WORDS = 1 << 16
 
@@ -205,9 +209,45 @@ class Items:
     vectors: dict[int, np.ndarray]
     norms: dict[int, np.ndarray]
     most: dict[int, np.ndarray]  # per feature, the largest part of a passage that the word can be
+    index: dict[int, WordIndex]
+    distinct: dict[int, list[frozenset[str]]]
 
 
-def item_block(rows: list, space: LatentSpace) -> Items:
+@dataclass(frozen=True)
+class WordIndex:
+    """Which passages have a word: those of feature f are ``items[begins[f]:begins[f + 1]]``.
+
+    ``least`` has the words that a place must have in common with each passage.
+    """
+
+    begins: np.ndarray  # FEATURES + 2, none for the feature of no word
+    items: np.ndarray
+    least: np.ndarray
+
+
+def word_index(passages: list[np.ndarray], idf: np.ndarray) -> WordIndex:
+    """The index of passages, given as features.
+
+    A match has ``PARAPHRASE_SHARE`` of a passage's words at least. Up to a part
+    of these may be frequent words; the others must be among the words that
+    the index has, so the most frequent words of a passage are left out of it.
+    """
+    pairs, least = [], []
+    for item, passage in enumerate(passages):
+        needed = max(1, int(np.ceil(PARAPHRASE_SHARE * len(passage) - 1e-9)))
+        found, counts = np.unique(passage, return_counts=True)
+        order = np.argsort(idf[found], kind="stable")
+        left_out = np.cumsum(counts[order])
+        skipped = int(np.searchsorted(left_out, int(needed * FREQUENT_PART), "right"))
+        least.append(needed - (int(left_out[skipped - 1]) if skipped else 0))
+        kept = found[order[skipped:]]
+        pairs.append(np.stack([kept, np.full(len(kept), item)]))
+    features, items = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+    begins = np.concatenate([[0], np.cumsum(np.bincount(features, minlength=FEATURES + 1))])
+    return WordIndex(begins, items[np.argsort(features, kind="stable")], np.array(least, np.int64))
+
+
+def item_block(rows: list, space: LatentSpace, idf: np.ndarray) -> Items:
     features = Features()
     ids, words = {length: [] for length in LENGTHS}, {length: [] for length in LENGTHS}
     for row in rows:
@@ -216,14 +256,17 @@ def item_block(rows: list, space: LatentSpace) -> Items:
                 length = next(length for length in LENGTHS if length >= len(part))
                 ids[length].append(row["item_id"])
                 words[length].append(part)
-    vectors, norms, most = {}, {}, {}
+    vectors, norms, most, index = {}, {}, {}, {}
     for length, parts in words.items():
-        found = [space.of(np.array([features[word] for word in part])) for part in parts]
+        numbers = [np.array([features[word] for word in part], np.int64) for part in parts]
+        index[length] = word_index(numbers, idf)
+        found = [space.of(part) for part in numbers]
         vectors[length] = np.array(found, np.float32).reshape(-1, RANK)
         norms[length] = np.maximum(np.linalg.norm(vectors[length], axis=1), 1e-6)
         share = space.vectors @ (vectors[length] / norms[length][:, None] ** 2).T
         most[length] = np.maximum(share.max(axis=1, initial=0.0), 0.0)[space.rows].astype(np.float32)
-    return Items(ids, words, vectors, norms, most)
+    distinct = {length: [frozenset(part) for part in parts] for length, parts in words.items()}
+    return Items(ids, words, vectors, norms, most, index, distinct)
 
 
 def _candidates(features: np.ndarray, space: LatentSpace, items: Items) -> Iterator[tuple[int, int, int]]:
@@ -246,6 +289,32 @@ def _candidates(features: np.ndarray, space: LatentSpace, items: Items) -> Itera
             yield from zip(starts[at].tolist(), [length] * len(at), item.tolist(), strict=True)
 
 
+def _sharing(features: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
+    """(first word, window length, item) of all windows that, with their margins, have enough words of a passage."""
+    for length in LENGTHS:
+        index, stride, count = items.index[length], length // 4, len(items.ids[length])
+        if not count:
+            continue
+        cells = -(-len(features) // stride)
+        most = max(64, (1 << 21) // count)  # cells at a time, so that memory stays bounded
+        for first in range(0, cells, most):
+            # A place reaches over four cells, and its margins over one more on either side.
+            low, high = max(0, first - 1), min(cells, first + most + 4)
+            part = features[low * stride : high * stride]
+            begins = index.begins[part]
+            sizes = index.begins[part + 1] - begins
+            total = int(sizes.sum())
+            within = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            cell = np.repeat(np.arange(len(part)) // stride + (1 + low - first), sizes)
+            hits = cell * count + index.items[np.repeat(begins, sizes) + within]
+            rows = min(most, cells - first)
+            table = np.bincount(hits, minlength=(rows + 5) * count).astype(np.int16).reshape(-1, count)
+            pairs = table[:-1] + table[1:]
+            sums = pairs[:rows] + pairs[2 : rows + 2] + pairs[4 : rows + 4]
+            at, item = np.nonzero(sums >= index.least)
+            yield from zip(((at + first) * stride).tolist(), [length] * len(at), item.tolist(), strict=True)
+
+
 def _chunks(texts: list[str | None], features: Features) -> Iterator[tuple[list[tuple[int, int, list[str]]], np.ndarray]]:
     """Texts side by side, apart by a window of no words: ((place, text, words)..., features)."""
     placed, parts, size = [], [], 0
@@ -270,19 +339,24 @@ def find_matches(texts: list[str | None], space: LatentSpace, items: Items, feat
     for placed, run in _chunks(texts, features):
         begins = np.array([place for place, _, _ in placed])
         best: dict[tuple[int, int], dict] = {}
-        for begin, end in _pieces(len(run)):
-            for at, length, item in _candidates(run[begin:end], space, items):
-                which = int(np.searchsorted(begins, begin + at, "right")) - 1
-                place, number, words = placed[which]
-                wanted = items.words[length][item]
-                start = max(0, begin + at - place - len(wanted) // 4)
-                stop = min(len(words), begin + at - place + length + len(wanted) // 4)
-                if start >= stop:
-                    continue
-                share, kind = judged(wanted, words[start:stop])
-                key = (number, items.ids[length][item])
-                if kind and (key not in best or share > best[key]["share"]):
-                    best[key] = {"item_id": key[1], "share": share, "kind": kind, "start": start, "stop": stop}
+        close = {
+            (begin + at, length, item)
+            for begin, end in _pieces(len(run))
+            for at, length, item in _candidates(run[begin:end], space, items)
+        }
+        for at, length, item in sorted(close.union(_sharing(run, items))):
+            place, number, words = placed[int(np.searchsorted(begins, at, "right")) - 1]
+            wanted = items.words[length][item]
+            start = max(0, at - place - len(wanted) // 4)
+            stop = min(len(words), at - place + length + len(wanted) // 4)
+            # Each word of the passage counts as often as it has it, which is the most they can have in order.
+            distinct = items.distinct[length][item]
+            if len(distinct.intersection(words[start:stop])) + len(wanted) - len(distinct) < PARAPHRASE_SHARE * len(wanted):
+                continue
+            share, kind = judged(wanted, words[start:stop])
+            key = (number, items.ids[length][item])
+            if kind and (key not in best or share > best[key]["share"]):
+                best[key] = {"item_id": key[1], "share": share, "kind": kind, "start": start, "stop": stop}
         for (number, _), match in sorted(best.items(), key=lambda entry: (entry[0][0], entry[0][1] or 0)):
             out[number].append(match)
     return out
@@ -307,7 +381,7 @@ def decontaminate(
     blocks = max(1, -(-items.count() // ITEMS_PER_BLOCK))
     number = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     parts = [items.where(number == block) for block in range(blocks)]
-    found = [_search(plain, part.collect(), fit(part, idf)) for part in parts]  # a block is bounded
+    found = [_search(plain, part.collect(), fit(part, idf), idf) for part in parts]  # a block is bounded
     merged = found[0]
     if blocks > 1:
         for other in found[1:]:
@@ -320,8 +394,8 @@ def decontaminate(
     return merged.withColumn("contaminated", F.size("matches") > 0)
 
 
-def _search(docs: DataFrame, rows: list, space: LatentSpace) -> DataFrame:
-    items = item_block(rows, space)
+def _search(docs: DataFrame, rows: list, space: LatentSpace, idf: np.ndarray) -> DataFrame:
+    items = item_block(rows, space, idf)
     kind = pa.list_(
         pa.struct(
             [("item_id", pa.int64()), ("share", pa.float64()), ("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]

@@ -1,13 +1,14 @@
 """Text operators against brute force on small tables with nulls, ties, repeats and long texts."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
 
 import pytest
 
-from folioscale.llm.decontam import contamination_digest, decontaminate
+from folioscale.llm.decontam import contamination_digest, decontaminate, judged
 from folioscale.llm.licenses import license_digest, scan_licenses
 from folioscale.llm.line_dedup import drop_repeated_lines, line_digest
 from folioscale.llm.neardup import near_duplicates
@@ -346,3 +347,53 @@ def test_repeated_passages(docs, empty):
         expected[number, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
     assert bag(repeats_digest(remove_repeats(docs)).collect()) == expected
     assert remove_repeats(empty).count() == 0
+
+
+@pytest.mark.parametrize("number", [200, 512])
+def test_decontamination_loses_no_passage_of_a_large_block(spark, number):
+    chance = random.Random(number)
+    spoken = [f"w{n}" for n in range(3000)]
+    often = [1 / (n + 3) for n in range(3000)]
+    speak = lambda size: chance.choices(spoken, often, k=size)
+    items, rows, expected = [], [], set()
+    for item in range(number):
+        words = speak(chance.randint(15, 59))
+        items.append((item, " ".join(words)))
+        # A copy, and a paraphrase with 45 % of the words replaced but its end kept.
+        end = len(words) - max(3, len(words) // 4)
+        changed = list(words)
+        for at in chance.sample(range(end), int(0.45 * len(words))):
+            changed[at] = f"other{chance.randrange(3000)}"
+        for place, planted in enumerate((words, changed)):
+            before, after = speak(chance.randint(20, 80)), speak(chance.randint(20, 80))
+            rows.append((2 * item + place, " ".join(before + planted + after)))
+            if judged(words, planted)[1]:
+                expected.add((2 * item + place, item))
+    assert len(expected) == 2 * number
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    result = decontaminate(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    found = {(row["doc_id"], match["item_id"]): match for row in result for match in row["matches"]}
+    assert not expected - set(found)
+    texts_of, items_of = dict(rows), dict(items)
+    for (doc, item), match in found.items():
+        place = texts_of[doc].split()[match["start"] : match["stop"]]
+        assert judged(items_of[item].split(), place) == (match["share"], match["kind"])
+
+
+def test_decontamination_finds_what_brute_force_finds(spark):
+    chance = random.Random(5)
+    spoken = [f"w{n}" for n in range(40)]
+    items = [(n, " ".join(chance.choices(spoken, k=chance.randint(5, 64)))) for n in range(60)]
+    rows = [(n, " ".join(chance.choices(spoken, k=chance.randint(1, 150)))) for n in range(25)]
+    expected = set()
+    for doc, text in rows:
+        words = text.split()
+        for item, wanted in ((item, wanted.split()) for item, wanted in items):
+            length, margin = next(size for size in (16, 32, 64) if size >= len(wanted)), len(wanted) // 4
+            for at in range(0, len(words), length // 4):
+                if judged(wanted, words[max(0, at - margin) : at + length + margin])[1]:
+                    expected.add((doc, item))
+    result = decontaminate(
+        spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    )
+    assert {(row["doc_id"], match["item_id"]) for row in result.collect() for match in row["matches"]} == expected != set()
