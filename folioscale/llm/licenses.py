@@ -5,7 +5,8 @@ follows from the number of documents that have it. In a document, the places
 of a template's two rarest words give two sets of possible starts; only starts
 in both are looked at, and there the template's mandatory phrase must stand in
 full. The share of the remaining template words found at their positions
-decides whether the place counts.
+decides whether the place counts. Names and identifiers of licences, as in
+"CC BY-NC 4.0" or "MPL-2.0", are templates that are mandatory in full.
 
 Words are runs of letters, digits and characters beyond ASCII, A-Z in lower
 case. A null or empty text has no words and no labels. Every row is judged by
@@ -66,6 +67,48 @@ TEMPLATES = (
     _template("cc", "licensed under a", "creative commons attribution", "license"),
 )
 
+# Names and identifiers that say enough by themselves: all of their words are mandatory.
+_NAMES = {
+    "mit": ("mit licence", "licensed under mit", "under the mit", "identifier mit"),
+    "apache": ("apache licence", "apache 2 0", "licensed under apache", "apache software license"),
+    "gpl": (
+        "general public licence",
+        "gnu gpl",
+        "gplv2",
+        "gplv3",
+        *(f"gpl {version}" for version in ("1 0", "2 0", "3 0", "v2", "v3", "version 2", "version 3", "license", "licence")),
+    ),
+    "lgpl": (
+        *(f"{kind} general public {noun}" for kind in ("lesser", "library") for noun in ("license", "licence")),
+        "gnu lgpl",
+        "lgplv2",
+        "lgplv3",
+        *(f"lgpl {version}" for version in ("2 0", "2 1", "3 0", "v2", "v3", "version 2", "version 3", "license", "licence")),
+    ),
+    "agpl": (
+        "affero general public license",
+        "affero general public licence",
+        "gnu agpl",
+        "agplv3",
+        *(f"agpl {version}" for version in ("1 0", "3 0", "v3", "version 3", "license", "licence")),
+    ),
+    "bsd": ("bsd license", "bsd licence", "bsd style license", *(f"bsd {count} clause" for count in (1, 2, 3, 4)), *(f"{count} clause bsd" for count in (2, 3, 4)), "identifier 0bsd"),
+    "mpl": ("mozilla public license", "mozilla public licence", "mpl 1 0", "mpl 1 1", "mpl 2 0"),
+    "isc": ("isc license", "isc licence", "identifier isc"),
+    "unlicense": ("the unlicense", "identifier unlicense", "unlicense org"),
+    "cc": (
+        "creative commons attribution",
+        "creative commons by",
+        "creative commons license",
+        "creative commons licence",
+        *(f"cc by {rest}" for rest in ("nc", "nd", "sa", "1 0", "2 0", "2 5", "3 0", "4 0", "license", "licence")),
+        *(f"under {article} cc by".replace("  ", " ") for article in ("", "a", "the")),
+        "identifier cc by",
+    ),
+    "cc0": ("cc0 1 0", "cc0 license", "cc0 licence", "under cc0", "creative commons zero"),
+}
+NAMES = tuple(_template(label, "", name, "") for label, names in _NAMES.items() for name in names)
+
 
 def document_frequencies(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """How many rows of ``words`` have each word of the vocabulary (a few dozen counts)."""
@@ -96,6 +139,43 @@ def _share(template: Template, start: Column) -> Column:
     return sum(found[1:], found[0]) / F.lit(float(len(template.words)))
 
 
+def _named(rarest: dict[Template, list[str]]) -> Column:
+    """The places of ``NAMES``; as they are many, they are data of one expression."""
+
+    def entry(name: Template) -> Column:
+        words = rarest[name]
+        return F.struct(
+            F.lit(name.label).alias("label"),
+            F.array(*map(F.lit, name.phrase)).alias("phrase"),
+            *(F.lit(word).alias(column) for column, word in zip(("first", "second"), (words[0], words[-1]), strict=True)),
+            *(F.lit(name.phrase.index(word)).alias(column) for column, word in zip(("first_at", "second_at"), (words[0], words[-1]), strict=True)),
+        )
+
+    def places(name: Column) -> Column:
+        def starts_by(word: str) -> Column:
+            hits = F.filter("rare", lambda hit: hit["word"] == name[word])
+            return F.transform(hits, lambda hit: hit["position"] - name[f"{word}_at"])
+
+        size = F.size(name["phrase"])
+        starts = F.array_intersect(starts_by("first"), starts_by("second"))
+        whole = F.filter(starts, lambda at: (at >= 0) & (F.slice("words", F.greatest(at + 1, F.lit(1)), size) == name["phrase"]))
+        return F.transform(
+            whole,
+            lambda at: F.struct(
+                name["label"].alias("label"),
+                F.lit(False).alias("base"),
+                at.cast("long").alias("start"),
+                size.alias("size"),
+                F.lit(1.0).alias("share"),
+            ),
+        )
+
+    present = F.filter(
+        F.array(*map(entry, NAMES)), lambda name: F.exists("rare", lambda hit: hit["word"] == name["first"])
+    )
+    return F.flatten(F.transform(present, places))
+
+
 def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_words, places, score``.
 
@@ -104,7 +184,7 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     text = ascii_lower(F.col(f"`{text_column}`"))
     plain = docs.select(F.col(f"`{id_column}`").alias("doc_id"), split_words(text, SEPARATOR).alias("words"))
-    vocabulary = sorted({word for template in TEMPLATES for word in template.phrase})
+    vocabulary = sorted({word for template in TEMPLATES + NAMES for word in template.phrase})
     frequency = document_frequencies(plain, vocabulary)
 
     # The two words of each phrase that fewest documents have; ties by name.
@@ -112,14 +192,16 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         once = [word for word in dict.fromkeys(template.phrase) if template.phrase.count(word) == 1]
         return sorted(once, key=lambda word: (frequency[word], word))[:2]
 
-    chosen = {template: rarest(template) for template in TEMPLATES}
+    chosen = {template: rarest(template) for template in TEMPLATES + NAMES}
     anchors = F.array(*map(F.lit, sorted({word for words in chosen.values() for word in words})))
     places = F.array().cast("array<struct<position:int,word:string>>")
     found = F.filter(
         F.transform("words", lambda word, at: F.struct(at.alias("position"), word.alias("word"))),
         lambda hit: F.array_contains(anchors, hit["word"]),
     )
-    rare = F.when(F.arrays_overlap("words", anchors), found).otherwise(places)
+    # A text without the rarest word of any phrase has no phrase.
+    needed = F.array(*map(F.lit, sorted({words[0] for words in chosen.values()})))
+    rare = F.when(F.arrays_overlap("words", needed), found).otherwise(places)
     marked = materialised(materialised(plain, words=F.col("words")), rare=rare)
 
     def of(template: Template) -> Column:
@@ -134,7 +216,7 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
         return F.transform(_places(template, chosen[template]), place)
 
-    some = F.filter(F.concat(*map(of, TEMPLATES)), lambda place: place["base"] | (place["share"] >= LEAST_SHARE))
+    some = F.filter(F.concat(*map(of, TEMPLATES), _named(chosen)), lambda place: place["base"] | (place["share"] >= LEAST_SHARE))
     none = F.array().cast("array<struct<label:string,base:boolean,start:bigint,size:int,share:double>>")
     placed = materialised(marked, places=F.when(F.size("rare") > 0, some).otherwise(none))
     return placed.select(

@@ -153,6 +153,33 @@ def test_license_template(spark):
     assert {r["doc_id"]: r["labels"] for r in license_digest(scan_licenses(rows)).collect()} == {1: "bsd", 2: ""}
 
 
+def test_license_names(spark):
+    notices = {
+        "Licensed under CC BY-NC 4.0.": "cc",
+        "Licensed under CC BY 4.0": "cc",
+        "CC-BY-SA-3.0": "cc",
+        "text under a Creative Commons Attribution-NonCommercial 4.0 International": "cc",
+        "licensed under the GNU Lesser General Public License": "gpl,lgpl",
+        "licensed under the Mozilla Public License v 2.0": "mpl",
+        "GNU Affero General Public License": "agpl,gpl",
+        "SPDX-License-Identifier: MPL-2.0": "mpl",
+        "SPDX-License-Identifier: MIT": "mit",
+        "SPDX-License-Identifier: Apache-2.0 OR BSD-3-Clause": "apache,bsd",
+        "SPDX-License-Identifier: LGPL-2.1-only": "lgpl",
+        "GPLv3": "gpl",
+        "released under the ISC license": "isc",
+        "CC0-1.0": "cc0",
+        "Released under the MIT License.": "mit",
+        "please cc by mail, a public license, clause 3": "",
+    }
+    rows = spark.createDataFrame(list(enumerate(notices)), "doc_id bigint, text string")
+    found = {row["doc_id"]: row for row in license_digest(scan_licenses(rows)).collect()}
+    assert [found[n]["labels"] for n in range(len(notices))] == list(notices.values())
+    assert all((row["score"] == 1.0) == (row["labels"] != "") for row in found.values())
+    # The phrases of the base columns are as they were.
+    assert [n for n, row in found.items() if row["n_base"]] == [4, 6, 14]
+
+
 def test_line_dedup(docs, empty, spark):
     def removed(rows):
         earlier, out = [], {}
