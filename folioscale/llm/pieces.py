@@ -26,14 +26,17 @@ input are not read.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from folioscale.llm.common import materialised, stored, text_hash
 
@@ -270,11 +273,30 @@ def encode_documents(docs: DataFrame, model: PieceModel, id_column: str = "doc_i
     return looked.where("ids is not null").select(*columns).unionByName(rest.select(*columns))
 
 
+def decode_documents(tokens: DataFrame, model: PieceModel) -> DataFrame:
+    """Add ``decoded_sha256`` to rows whose last column, ``ids``, has the ids of a whole document in order."""
+    parts = {number: bytes.fromhex(digits) for number, digits in model.hex}
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for ids in batch.column(batch.num_columns - 1):
+                text = b"".join(map(parts.__getitem__, ids.values.to_pylist())).decode("utf-8", "replace")
+                # The sign that stands before every text is not part of it.
+                found.append(hashlib.sha256(text.replace(SPACE, " ")[1:].encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "decoded_sha256"])
+
+    return tokens.mapInArrow(decode, StructType([*tokens.schema.fields, StructField("decoded_sha256", StringType())]))
+
+
 def encoded_digest(docs: DataFrame, model: PieceModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_segments, n_tokens, ids_sum, round_trip``.
+    """Per row of ``docs``: ``doc_id, n_segments, n_tokens, ids_sum, round_trip, ids, decoded_sha256, same_text``.
 
     ``ids_sum`` adds up a hash of position and ids per segment, so it depends on
-    every id and its place.
+    every id and its place. ``round_trip`` says that each segment's ids give the
+    segment back, as it was encoded. ``ids`` has the document's ids in order,
+    ``decoded_sha256`` the digest of the text that they decode to, and
+    ``same_text`` says whether that is the document's own: not so if it has a U+2581.
     """
     tokens = encode_documents(docs, model, id_column, text_column)
     facts = tokens.groupBy("doc_id", "text_hash").agg(
@@ -282,21 +304,35 @@ def encoded_digest(docs: DataFrame, model: PieceModel, id_column: str = "doc_id"
         F.sum(F.size("ids").cast("long")).alias("n_tokens"),
         F.sum(F.xxhash64("position", "ids").bitwiseAND(F.lit((1 << 31) - 1))).alias("ids_sum"),
         F.min("whole").alias("round_trip"),
+        # A set, as equal rows have the same segments.
+        F.sort_array(F.collect_set(F.struct("position", "ids"))).alias("_parts"),
+    )
+    facts = facts.withColumn("ids", F.flatten(F.transform("_parts", lambda part: part["ids"]))).drop("_parts")
+    facts = decode_documents(facts, model)
+    text = F.col(f"`{text_column}`")
+    rows = docs.select(
+        F.col(f"`{id_column}`").alias("doc_id"),
+        text_hash(text).alias("text_hash"),
+        F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256).alias("_sha256"),
     )
-    rows = docs.select(F.col(f"`{id_column}`").alias("doc_id"), text_hash(F.col(f"`{text_column}`")).alias("text_hash"))
-    rows = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_copies"))
+    rows = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_copies"), F.min("_sha256").alias("_sha256"))
     same = rows["doc_id"].eqNullSafe(facts["doc_id"]) & (rows["text_hash"] == facts["text_hash"])
 
     def each(name: str) -> Column:
         # Equal rows were added up together.
         return F.coalesce((facts[name] / rows["_copies"]).cast("long"), F.lit(0)).alias(name)
 
+    # A text without tokens is decoded to the empty one.
+    decoded = F.coalesce(facts["decoded_sha256"], F.sha2(F.lit(b""), 256))
     joined = rows.join(facts, same, "left").select(
         rows["doc_id"],
         each("n_segments"),
         each("n_tokens"),
         each("ids_sum"),
         F.coalesce(facts["round_trip"], F.lit(True)).alias("round_trip"),
+        F.coalesce(facts["ids"], F.array().cast("array<int>")).alias("ids"),
+        decoded.alias("decoded_sha256"),
+        (decoded == rows["_sha256"]).alias("same_text"),
         F.explode(F.sequence(F.lit(1).cast("long"), rows["_copies"])).alias("_copy"),
     )
     return joined.drop("_copy")

@@ -277,6 +277,20 @@ def test_sentence_pieces(docs, empty, spark):
     assert encoded_digest(empty, model).count() == 0
 
 
+def test_sentence_pieces_of_whole_documents(docs, spark):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    library, model = sentencepiece.SentencePieceProcessor(model_file=MODEL), PieceModel()
+    expected = Counter()
+    for number, text in texts():
+        ids = library.encode(text or "")
+        decoded = library.decode(ids)
+        expected[number, tuple(ids), hashlib.sha256(decoded.encode()).hexdigest(), decoded == (text or "")] += 1
+    result = encoded_digest(docs, model).select("doc_id", "ids", "decoded_sha256", "same_text").collect()
+    assert Counter((row["doc_id"], tuple(row["ids"]), row["decoded_sha256"], row["same_text"]) for row in result) == expected
+    # The one text with a U+2581 does not come back.
+    assert [row["doc_id"] for row in result if not row["same_text"]] == [9]
+
+
 def test_long_segments_follow_the_same_rule():
     sentencepiece = pytest.importorskip("sentencepiece")
     library, model = sentencepiece.SentencePieceProcessor(model_file=MODEL), PieceModel()
