@@ -26,11 +26,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tokenizers
 from pyspark.sql import DataFrame, Window
@@ -38,11 +41,15 @@ from pyspark.sql import functions as F
 
 from folioscale.llm.common import stored
 
-#: Windows that a task remembers; the memory is emptied when it has grown larger.
-REMEMBERED = 200_000
+#: Windows, and parts between spaces, that a task remembers; each memory is
+#: emptied when it has grown larger.
+REMEMBERED = 300_000
 #: Characters that are encoded together.
 BATCH_CHARS = 1 << 18
+#: Rows that are aligned and passed on together.
+ROWS_PER_BATCH = 1024
 SPACE = "▁"
+_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -93,20 +100,26 @@ class Tokenizers:
         return endings(a, b, 0) + endings(b, a, 1)
 
 
-def aligned(a: tuple[int, ...], b: tuple[int, ...], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[str, list[tuple[int, int]]]:
-    """The groups of a window as text, and its links, from its ids alone."""
+def aligned(a: Sequence[int], b: Sequence[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[str, list[tuple[int, int]]]:
+    """The groups of a window as text, and its links, from its ids and the byte
+    counts of all ids. A window ends with both sides, and it is not empty."""
+    if len(a) == 1 or len(b) == 1:
+        return f"{','.join(map(str, a))}|{','.join(map(str, b))}", [(a[-1], b[-1])]
     groups, links = [], []
-    i = j = from_i = from_j = 0
-    a_end = b_end = 0
+    from_i = from_j = i = j = 0
+    ahead = 0  # by how many bytes A is ahead of B
     while i < len(a) or j < len(b):
-        if a_end <= b_end and i < len(a):
-            a_end += len(a_bytes[a[i]])
+        if ahead <= 0:
+            ahead += a_sizes[a[i]]
             i += 1
         else:
-            b_end += len(b_bytes[b[j]])
+            ahead -= b_sizes[b[j]]
             j += 1
-        if a_end == b_end:
-            groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
+        if ahead == 0:
+            if i - from_i == 1 == j - from_j:
+                groups.append(f"{a[from_i]}|{b[from_j]}")
+            else:
+                groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
             links.append((a[i - 1], b[j - 1]))
             from_i, from_j = i, j
     return ";".join(groups), links
@@ -118,47 +131,60 @@ class Aligner:
     def __init__(self, source: Tokenizers, remembered: int = REMEMBERED) -> None:
         self.bpe, self.pieces = source.load()
         self.a_bytes, self.b_bytes = source.token_bytes()
-        self.a_sizes = np.array([len(token) for token in self.a_bytes])
-        self.b_sizes = np.array([len(token) for token in self.b_bytes])
+        self.a_counts, self.b_counts = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.a_sizes, self.b_sizes = np.array(self.a_counts), np.array(self.b_counts)
         self.a_spaced = np.array([token.startswith(b" ") for token in self.a_bytes])
         self.b_spaced = np.array([token.startswith(b" ") for token in self.b_bytes])
         self.remembered = remembered
-        self.known: dict[tuple, tuple[str, list[int]]] = {}
+        self.parts: dict[str, bytes] = {}
+        #: By the window's id tuples, packed: their number of A ids, then all ids.
+        self.known: dict[bytes, tuple[str, bytes]] = {}
         #: A link is one number, ``a * width + b``.
         self.width = len(self.b_bytes)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        a = self.bpe.encode_batch_fast([f" {text}" for text in texts], add_special_tokens=False)
-        return zip((found.ids for found in a), self.pieces.encode(texts, num_threads=1))
-
-    def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, list[int]]:
-        found = self.known.get((a, b))
-        if found is None:
-            if len(self.known) >= self.remembered:
-                self.known.clear()
-            text, links = aligned(a, b, self.a_bytes, self.b_bytes)
-            found = self.known[a, b] = text, [one * self.width + other for one, other in links]
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[int]]]:
+        """All tokens of each text. A's own splitting always ends before a space
+        that stands between two other signs, so what lies between such places
+        is encoded once and remembered."""
+        cut = [_CUT.split(f" {text}") for text in texts]
+        if len(self.parts) >= self.remembered:
+            self.parts.clear()
+        fresh = list({part for parts in cut for part in parts} - self.parts.keys())
+        for part, found in zip(fresh, self.bpe.encode_batch_fast(fresh, add_special_tokens=False)):
+            self.parts[part] = array("i", found.ids).tobytes()
+        a = (np.frombuffer(b"".join(map(self.parts.__getitem__, parts)), np.int32) for parts in cut)
+        return zip(a, self.pieces.encode(texts, num_threads=1))
+
+    def window(self, key: bytes, a: Sequence[int], b: Sequence[int]) -> tuple[str, bytes]:
+        """Groups and packed links of a window that is not known yet."""
+        if len(self.known) >= self.remembered:
+            self.known.clear()
+        text, links = aligned(a, b, self.a_counts, self.b_counts)
+        packed = array("q", [one * self.width + other for one, other in links]).tobytes()
+        found = self.known[key] = text, packed
         return found
 
-    def document(self, text: str, a: list[int], b: list[int]) -> tuple[str, list[int]] | None:
+    def document(self, text: str, a_ids: np.ndarray, b: list[int]) -> tuple[str, np.ndarray] | None:
         """Groups and links of a document; None if the bytes are not its own."""
-        own = b" " + text.encode()
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        if b"".join([a_bytes[n] for n in a]) != own or b"".join([b_bytes[n] for n in b]) != own:
+        own, a = b" " + text.encode(), a_ids.tolist()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != own or b"".join(map(self.b_bytes.__getitem__, b)) != own:
             return None
-        a_ids, b_ids = np.array(a), np.array(b)
+        b_ids = np.array(b, np.int32)
         a_ends, b_ends = self.a_sizes[a_ids].cumsum(), self.b_sizes[b_ids].cumsum()
         # Ends whose next token begins with a space mark, on both sides.
         a_cut = np.flatnonzero(self.a_spaced[a_ids[1:]]) + 1
         b_cut = np.flatnonzero(self.b_spaced[b_ids[1:]]) + 1
         _, a_at, b_at = np.intersect1d(a_ends[a_cut - 1], b_ends[b_cut - 1], assume_unique=True, return_indices=True)
-        a_cuts, b_cuts = [0, *a_cut[a_at].tolist(), len(a)], [0, *b_cut[b_at].tolist(), len(b)]
+        a_packed, b_packed, known = a_ids.tobytes(), b_ids.tobytes(), self.known
         groups, links = [], []
-        for k in range(len(a_cuts) - 1):
-            window = self.window(tuple(a[a_cuts[k] : a_cuts[k + 1]]), tuple(b[b_cuts[k] : b_cuts[k + 1]]))
-            groups.append(window[0])
-            links += window[1]
-        return ";".join(groups), links
+        i = j = 0
+        for next_i, next_j in zip([*a_cut[a_at].tolist(), len(a)], [*b_cut[b_at].tolist(), len(b)]):
+            key = b"%d " % (next_i - i) + a_packed[4 * i : 4 * next_i] + b_packed[4 * j : 4 * next_j]
+            found = known.get(key) or self.window(key, a[i:next_i], b[j:next_j])
+            groups.append(found[0])
+            links.append(found[1])
+            i, j = next_i, next_j
+        return ";".join(groups), np.frombuffer(b"".join(links), np.int64)
 
 
 _FACTS = [
@@ -172,11 +198,11 @@ _FACTS = [
 ]
 
 
-def _batches(texts: list[str | None]) -> Iterator[list[str]]:
+def _batches(texts: list[str]) -> Iterator[list[str]]:
     held, size = [], 0
     for text in texts:
-        held.append(text or "")
-        size += len(held[-1])
+        held.append(text)
+        size += len(text)
         if size >= BATCH_CHARS:
             yield held
             held, size = [], 0
@@ -190,14 +216,15 @@ def align_documents(docs: DataFrame, source: Tokenizers, keep_groups: bool = Fal
     hash of the groups; with ``keep_groups`` the groups themselves, too."""
     context = docs.sparkSession.sparkContext
     sent = context.broadcast(source)  # two vocabulary files
-    facts = _FACTS + ([("groups", pa.string(), "string")] if keep_groups else [])
+    facts = _FACTS + ([("groups", pa.large_string(), "string")] if keep_groups else [])
+    empty = {"links": [], "times": [], "groups_sha256": "", "groups": ""}
 
-    def facts_of(aligner: Aligner, text: str, a: list[int], b: list[int]) -> dict:
+    def facts_of(aligner: Aligner, text: str, a: np.ndarray, b: list[int]) -> dict:
         found = aligner.document(text, a, b) if text else None
         if found is None:
-            return {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "links": [], "times": [], "groups_sha256": "", "groups": ""}
+            return {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, **empty}
         groups, links = found
-        distinct, times = np.unique(np.array(links, np.int64), return_counts=True)
+        distinct, times = np.unique(links, return_counts=True)
         return {
             "n_a": len(a),
             "n_b": len(b),
@@ -212,13 +239,18 @@ def align_documents(docs: DataFrame, source: Tokenizers, keep_groups: bool = Fal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(sent.value)
         for batch in batches:
-            start = 0
-            for texts in _batches(batch.column("text").to_pylist()):
-                rows = [facts_of(aligner, text, a, b) for text, (a, b) in zip(texts, aligner.encode(texts))]
-                arrays = [batch.column("doc_id").slice(start, len(texts))]
-                arrays += [pa.array([row[name] for row in rows], kind) for name, kind, _ in facts]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id"] + [name for name, _, _ in facts])
-                start += len(texts)
+            for start in range(0, batch.num_rows, ROWS_PER_BATCH):
+                yield part_of(aligner, batch.slice(start, ROWS_PER_BATCH))
+
+    def part_of(aligner: Aligner, batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = batch.column("text").dictionary_encode()  # equal texts are aligned once
+        rows = []
+        for texts in _batches(column.dictionary.to_pylist()):
+            rows += [facts_of(aligner, text, a, b) for text, (a, b) in zip(texts, aligner.encode(texts))]
+        rows.append({"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, **empty})
+        at = pc.fill_null(column.indices, len(rows) - 1)
+        columns = [pa.array([row[name] for row in rows], kind).take(at) for name, kind, _ in facts]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id"] + [name for name, _, _ in facts])
 
     rows = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text"))
     ddl = [f"doc_id {rows.schema['doc_id'].dataType.simpleString()}"] + [f"{name} {kind}" for name, _, kind in facts]

@@ -279,6 +279,17 @@ def test_alignment_of_random_bytes_and_a_full_memory(source):
         assert len(aligner.known) <= 3
 
 
+def test_texts_are_encoded_whole_though_parts_are_remembered(source):
+    random.seed(6)
+    aligner = Aligner(source)
+    signs = " \u00a0\u3000\x1c\x85\t\n\r'sté1٣½日😀.,!_-'\u0301"
+    texts = ["".join(random.choice(signs) for _ in range(random.randrange(1, 80))) for _ in range(3000)]
+    texts += [text for text in TEXTS if text] + ["a  b   c ", " a b ", "it's 'quoted' it 's", "x 1 2 ½ ٣ y"]
+    bpe, _ = source.load()
+    for text, (a, _) in zip(texts, aligner.encode(texts)):
+        assert a.tolist() == bpe.encode(f" {text}", add_special_tokens=False).ids, text
+
+
 def test_pairs_are_bounded_by_the_vocabularies(spark, source):
     docs = spark.createDataFrame([(n, text) for n, text in enumerate(TEXTS)], "doc_id bigint, text string")
     a_bytes, b_bytes = source.token_bytes()
