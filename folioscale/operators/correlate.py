@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from folioscale.constants import RESPONSE_TIMEOUT_MS
 from folioscale.functions._util import floor_div
 from folioscale.functions.blocks import request_task
+from folioscale.operators.page_table import repeat_copies
 
 _SPAN_TIMEOUTS = 8
 # Stands for a response without a size while rows are matched.
@@ -96,17 +97,68 @@ def unmatched_responses(
     requests: DataFrame, responses: DataFrame, timeout_ms: int = RESPONSE_TIMEOUT_MS
 ) -> DataFrame:
     """Responses nobody was waiting for: unknown id, too late, or after the
-    request was already answered. A multiset difference, so when one of
-    several equal rows was the answer, the others remain. ``ok`` that is not
-    known counts, and is shown, as false."""
-    answers = (
-        correlate_requests(requests, responses, timeout_ms)
-        .where(F.col("status") != "timeout")
-        .select("request_id", "recv_ms", (F.col("status") == "ok").alias("ok"), "bytes")
-        .distinct()
+    request was already answered. When one of several equal rows was the
+    answer, the others remain. ``ok`` that is not known counts, and is shown,
+    as false.
+
+    A pass over the same time spans, forward: a response was the answer if the
+    latest request of its id is in time and no response came in between. Equal
+    rows are counted before the shuffle and stay one row until the end, where
+    the answer is taken off the count.
+    """
+    span = timeout_ms * _SPAN_TIMEOUTS
+    one = F.lit(1).cast("bigint")
+
+    def spans(at: Column) -> Column:
+        # Its own, and the next if responses there may look back to it.
+        return F.explode(F.sequence(floor_div(at, span), floor_div(at + timeout_ms, span)))
+
+    sent, received = F.col("sent_ms"), F.col("recv_ms")
+    asked = requests.select(
+        "request_id", sent.alias("at"), spans(sent).alias("span"), F.lit(True).alias("is_request"), one.alias("copies")
+    )
+    known = received.isNotNull() & F.col("request_id").isNotNull()
+    answered = responses.where(known).select(
+        "request_id",
+        received.alias("at"),
+        spans(received).alias("span"),
+        F.lit(False).alias("is_request"),
+        F.coalesce(F.col("ok"), F.lit(False)).alias("ok"),
+        "bytes",
+        one.alias("copies"),
+    )
+    moments = (
+        asked.unionByName(answered, allowMissingColumns=True)
+        .groupBy("request_id", "span", "at", "is_request", "ok", "bytes")
+        .agg(F.sum("copies").alias("copies"))
+    )
+    by_time = Window.partitionBy("request_id", "span").orderBy("at")
+    so_far = by_time.rangeBetween(Window.unboundedPreceding, 0)
+    earlier = by_time.rangeBetween(Window.unboundedPreceding, -1)
+    # Of responses in the same millisecond an accepted one comes first, then the larger one.
+    rank = F.row_number().over(
+        Window.partitionBy("request_id", "span", "at", "is_request").orderBy(F.desc("ok"), F.desc_nulls_last("bytes"))
+    )
+    marked = moments.withColumns(
+        {
+            "asked_at": F.max(F.when(F.col("is_request"), F.col("at"))).over(so_far),
+            "answered_at": F.max(F.when(~F.col("is_request"), F.col("at"))).over(earlier),
+            "rank": rank,
+        }
+    )
+    in_time = F.col("asked_at") >= F.col("at") - timeout_ms
+    open_still = F.col("answered_at").isNull() | (F.col("answered_at") < F.col("asked_at"))
+    used = F.coalesce(in_time & open_still & (F.col("rank") == 1), F.lit(False))
+    own = ~F.col("is_request") & (floor_div(F.col("at"), span) == F.col("span"))
+    left = marked.where(own).select(
+        "request_id", F.col("at").alias("recv_ms"), "ok", "bytes", (F.col("copies") - used.cast("bigint")).alias("copies")
+    )
+    # Rows without an id or a time answer nothing; they are not spread over spans.
+    odd = responses.where(~known).select(
+        "request_id", "recv_ms", F.coalesce(F.col("ok"), F.lit(False)).alias("ok"), "bytes", one.alias("copies")
     )
-    ok = F.coalesce(F.col("ok"), F.lit(False)).alias("ok")
-    return responses.select("request_id", "recv_ms", ok, "bytes").exceptAll(answers)
+    odd = odd.groupBy("request_id", "recv_ms", "ok", "bytes").agg(F.sum("copies").alias("copies"))
+    return repeat_copies(left.unionByName(odd).where("copies > 0"), keys=("request_id", "recv_ms"))
 
 
 def request_stats(matched: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ requested over and over nor one with very many objects becomes a hot key.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,31 +21,46 @@ def _count(value: Column) -> Column:
     return F.coalesce(F.sum(value), F.lit(0))
 
 
-def _largest(*names: str) -> Column:
-    """The largest row of a source as a struct, so that its values belong together."""
-    present = reduce(lambda a, b: a | b, (F.col(name).isNotNull() for name in names))
-    return F.max(F.when(present, F.struct(*names)))
+def _one_row(value: str, rank: Column) -> Column:
+    """``value`` of the row with the highest rank. With a number as rank the
+    buffers are of fixed width, so rows are combined in a hash table; a maximum
+    of structs would sort every row first."""
+    return F.max_by(F.col(value), rank)
 
 
-def _size() -> Column:
-    return _largest("width_pt", "height_pt")
+def _size(name: str) -> Column:
+    """From the widest size of a page. Within 1/1024 pt a hash decides, so that
+    width and height always come from one row."""
+    width = F.least(F.greatest(F.col("width_pt") * 1024, F.lit(0.0)), F.lit(float((1 << 31) - 1))).cast("bigint")
+    known = F.col("width_pt").isNotNull() | F.col("height_pt").isNotNull()
+    rank = F.shiftleft(F.coalesce(width, F.lit(0).cast("bigint")), 31) + _hash(31, "width_pt", "height_pt")
+    return _one_row(name, F.when(known, rank))
 
 
-def _outcome() -> Column:
-    # A successful result before a failed one, then by its values.
-    return _largest("success", "size_bytes", "render_ms", "encode_ms")
+def _outcome(name: str) -> Column:
+    """From a successful result before a failed one; among those a hash of the
+    values decides, so that all come from one row."""
+    names = ("success", "size_bytes", "render_ms", "encode_ms")
+    known = reduce(lambda a, b: a | b, (F.col(column).isNotNull() for column in names))
+    success = F.coalesce(F.col("success"), F.lit(False)).cast("bigint")
+    rank = F.shiftleft(success, 60) + _hash(60, *names)
+    return _one_row(name, F.when(known, rank))
+
+
+def _hash(bits: int, *names: str) -> Column:
+    return F.xxhash64(*names).bitwiseAND(F.lit((1 << bits) - 1))
 
 
 _AGGREGATES = {
     "copies": lambda: _count(F.col("copies")),
     "text_objects": lambda: _count(F.col("text_objects")),
     "image_objects": lambda: _count(F.col("image_objects")),
-    "width_pt": lambda: _size()["width_pt"],
-    "height_pt": lambda: _size()["height_pt"],
-    "success": lambda: _outcome()["success"],
-    "size_bytes": lambda: F.when(_outcome()["success"], _outcome()["size_bytes"]),
-    "render_ms": lambda: _outcome()["render_ms"],
-    "encode_ms": lambda: _outcome()["encode_ms"],
+    "width_pt": lambda: _size("width_pt"),
+    "height_pt": lambda: _size("height_pt"),
+    "success": lambda: _outcome("success"),
+    "size_bytes": lambda: F.when(_outcome("success"), _outcome("size_bytes")),
+    "render_ms": lambda: _outcome("render_ms"),
+    "encode_ms": lambda: _outcome("encode_ms"),
 }
 
 
@@ -92,7 +108,9 @@ def gather_pages(
     )
 
 
-def repeat_copies(pages: DataFrame, hot_copies: int = 1 << 20) -> DataFrame:
+def repeat_copies(
+    pages: DataFrame, hot_copies: int = 1 << 20, keys: Sequence[str] = ("doc_id", "page_num")
+) -> DataFrame:
     """One row per request again, from rows that count ``copies``.
 
     Rows with more than ``hot_copies`` are cut into runs of that many and the
@@ -104,7 +122,7 @@ def repeat_copies(pages: DataFrame, hot_copies: int = 1 << 20) -> DataFrame:
     few = explode_range(pages.where(copies <= hot_copies), F.lit(1), copies, "_copy")
     runs = explode_range(
         pages.where(copies > hot_copies), F.lit(0), F.floor((copies - 1) / hot_copies), "_part"
-    ).repartition(default_partitions(pages), "doc_id", "page_num", "_part")
+    ).repartition(default_partitions(pages), *keys, "_part")
     left = copies - F.col("_part") * hot_copies
     many = explode_range(runs, F.lit(1), F.least(left, F.lit(hot_copies)), "_copy")
     return few.drop("_copy", "copies").unionByName(many.drop("_part", "_copy", "copies"))

@@ -10,13 +10,17 @@ from dataclasses import dataclass
 from typing import Any, Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioscale.constants import LOAD_FAILED, NO_INPUT, NO_RENDERER, UNKNOWN_ERROR
 from folioscale.functions._util import floor_div
-from folioscale.session import default_partitions
+from folioscale.session import default_partitions, stored
 
 PAGES_PER_GROUP = 256
+#: With bytes instead of paths a group's images are one Arrow table.
+PAGES_PER_TABLE = 64
+#: About 256 pages of two megapixels.
+PIXELS_PER_TASK = 1 << 29
 _FLUSH_ROWS = 256
 _FLUSH_BYTES = 32 << 20
 
@@ -82,7 +86,7 @@ def _render_one(renderer: Renderer, document: Any, page: dict[str, Any]) -> dict
     try:
         done = renderer.render(document, page)
         elapsed = int((time.perf_counter() - started) * 1000)
-        outcome = dict(
+        return dict(
             success=True,
             error=None,
             width=done.width,
@@ -92,7 +96,6 @@ def _render_one(renderer: Renderer, document: Any, page: dict[str, Any]) -> dict
             render_ms=elapsed if done.render_ms is None else done.render_ms,
             encode_ms=done.encode_ms,
         )
-        return _checked(outcome, _OUTCOME)
     except Exception as problem:  # noqa: BLE001 - user code may raise or return anything
         return _failed(_reason(problem) or UNKNOWN_ERROR)
 
@@ -138,10 +141,106 @@ def _batched(rows: Iterable[dict[str, Any]], schema: pa.Schema) -> Iterator[pa.R
         pending.append(row)
         held += len(row.get("image") or b"")
         if len(pending) >= _FLUSH_ROWS or held >= _FLUSH_BYTES:
-            yield pa.RecordBatch.from_pylist(pending, schema)
+            yield _record_batch(pending, schema)
             pending, held = [], 0
     if pending:
-        yield pa.RecordBatch.from_pylist(pending, schema)
+        yield _record_batch(pending, schema)
+
+
+def _record_batch(rows: list[dict[str, Any]], schema: pa.Schema) -> pa.RecordBatch:
+    """The rows as they are; only if a renderer returned what does not fit are
+    they checked value by value, and the odd ones become failures."""
+    try:
+        return pa.RecordBatch.from_pylist(rows, schema)
+    except Exception:  # noqa: BLE001 - Arrow raises several kinds
+        return pa.RecordBatch.from_pylist([_fitting(row) for row in rows], schema)
+
+
+def _fitting(row: dict[str, Any]) -> dict[str, Any]:
+    try:
+        return _checked(row, _OUTCOME)
+    except Exception as problem:  # noqa: BLE001
+        names = [name for name, _, _ in _OUTCOME if name != "copies"]
+        kept = {name: value for name, value in row.items() if name not in names}
+        return {**kept, **_failed(_reason(problem) or UNKNOWN_ERROR)}
+
+
+class _Stage:
+    """What both ways of rendering share: the columns, and the rows of a page table."""
+
+    def __init__(self, planned: DataFrame, make_renderer: Callable[[], Renderer | None], source: str) -> None:
+        self.keys = [name for name in ("doc_id", "page_num", "format") if name in planned.columns]
+        self.plan_columns = [name for name in planned.columns if name != "copies"]
+        self.make_renderer, self.source = make_renderer, source
+        ddl = [f"{key} {planned.schema[key].dataType.simpleString()}" for key in self.keys]
+        self.ddl = ", ".join(ddl + [f"{name} {spark_type}" for name, _, spark_type in _OUTCOME])
+
+    def schema(self, planned: pa.Schema) -> pa.Schema:
+        fields = [(key, planned.field(key).type) for key in self.keys]
+        return pa.schema(fields + [(name, arrow_type) for name, arrow_type, _ in _OUTCOME])
+
+    def renderer(self) -> Renderer | None:
+        try:
+            return self.make_renderer()
+        except Exception:  # noqa: BLE001 - as good as no renderer
+            return None
+
+    def rows(self, pages: Iterable[dict[str, Any]], opened: _OpenDocument) -> Iterator[dict[str, Any]]:
+        for row in pages:
+            opened.enter((row["doc_id"], row["_group"]), row)
+            if opened.error is not None:
+                outcome = _failed(opened.error)
+            else:
+                outcome = _render_one(opened.renderer, opened.document, {k: row[k] for k in self.plan_columns})
+            yield {**{key: row[key] for key in self.keys}, "copies": row["copies"], **outcome}
+
+
+def _counted(planned: DataFrame) -> DataFrame:
+    """Equal planned rows once, with their number."""
+    if "copies" in planned.columns:
+        return planned
+    return planned.groupBy(*planned.columns).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def _page_group(pages_per_group: int) -> Column:
+    return floor_div(F.col("page_num").cast("bigint") - 1, pages_per_group)
+
+
+def pack_pages(planned: DataFrame, cost: Column, cost_per_task: int, slots: int | None = None) -> tuple[DataFrame, int]:
+    """Add ``_slot``, the task that a page goes to, from the page's ``_group``
+    and its cost; returns the number of slots as well.
+
+    Groups are laid end to end by their running cost and the line is cut into
+    slots of equal cost. Groups are dealt to buckets for that; the totals of
+    the buckets, one row per shuffle partition, say where each bucket begins.
+    A group that alone costs more than a task should is cut between its pages.
+    """
+    price = F.greatest(F.coalesce(cost.cast("bigint"), F.lit(1)), F.lit(1)).alias("_cost")
+    in_group = Window.partitionBy("doc_id", "_group")
+    so_far = F.sum("_cost").over(in_group.orderBy("page_num").rowsBetween(Window.unboundedPreceding, -1))
+    rows = planned.withColumn("_cost", price).withColumns(
+        {"_within": F.coalesce(so_far, F.lit(0)), "_weight": F.sum("_cost").over(in_group)}
+    )
+    rows = stored(rows, "planned")
+    groups = rows.groupBy("doc_id", "_group").agg(F.max("_weight").alias("_weight"))
+    parts = default_partitions(planned)
+    bucket = F.pmod(F.xxhash64("doc_id", "_group"), F.lit(parts))
+    groups = stored(groups.withColumn("_bucket", bucket), "groups")
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = groups.groupBy("_bucket").agg(F.sum("_weight").alias("_sum"))
+    starts = totals.select("_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_begin"))
+    total = groups.agg(F.sum("_weight")).first()[0] or 0
+    slots = slots or max(parts, -(-total // cost_per_task), 1)
+    target = max(total / slots, 1)
+    earlier = Window.partitionBy("_bucket").orderBy("doc_id", "_group").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_begin") + F.coalesce(F.sum("_weight").over(earlier), F.lit(0))
+    placed = groups.join(starts, "_bucket").select("doc_id", "_group", start.alias("_start"))
+    here = F.col("_start") + F.when(F.col("_weight") > cost_per_task, F.col("_within")).otherwise(0)
+    left, right = rows.alias("left"), placed.alias("right")
+    same = F.col("left.doc_id").eqNullSafe(F.col("right.doc_id")) & F.col("left._group").eqNullSafe(F.col("right._group"))
+    slot = F.least(F.floor(here / F.lit(target)), F.lit(slots - 1)).cast("int").alias("_slot")
+    kept = [F.col(f"left.{name}") for name in planned.columns]
+    return left.join(right, same).select(*kept, slot), slots
 
 
 def map_pages(
@@ -150,58 +249,82 @@ def map_pages(
     source: str = "input",
     pages_per_group: int = PAGES_PER_GROUP,
     partitions: int | None = None,
+    pixels_per_task: int = PIXELS_PER_TASK,
 ) -> DataFrame:
     """Render every planned page: ``doc_id, page_num``, ``format`` if planned,
     the outcome, the image, and ``copies``.
 
     Equal planned rows are counted first, unless ``copies`` is planned, and
-    rendered once; ``repeat_copies`` gives a row per request again. Pages are
-    spread by (document, group of ``pages_per_group`` page numbers): a document
-    opens once per group, and a huge one still uses many tasks.
-    ``make_renderer`` is called on the executors. Only small planned rows are
-    shuffled; documents given by path are read inside the task. The number of
-    ``partitions`` (by default that of shuffles) is fixed: planned rows are tiny
-    and rendering is not, so they must not be merged by size.
+    rendered once; ``repeat_copies`` gives a row per request again. A document
+    opens once per group of ``pages_per_group`` page numbers. Groups are packed
+    into tasks by their planned pixels, so that tasks cost alike and their
+    number follows from the work; a plan without sizes is dealt out by hash.
+    Packing stores the plan in the shared folder when called. ``partitions``
+    fixes the number of tasks. ``make_renderer`` is called on the executors.
+    Only small planned rows are shuffled; documents given by path are read
+    inside the task. For documents given as bytes see ``map_contents``.
     """
-    partitions = partitions or default_partitions(planned)
-    keys = [name for name in ("doc_id", "page_num", "format") if name in planned.columns]
-    plan_columns = [name for name in planned.columns if name != "copies"]
-    if "copies" not in planned.columns:
-        planned = planned.groupBy(*plan_columns).agg(F.count(F.lit(1)).alias("copies"))
-
-    def render_rows(batch: pa.RecordBatch, opened: _OpenDocument) -> Iterator[dict[str, Any]]:
-        for row in batch.to_pylist():
-            opened.enter((row["doc_id"], row["_group"]), row)
-            if opened.error is not None:
-                outcome = _failed(opened.error)
-            else:
-                outcome = _render_one(opened.renderer, opened.document, {k: row[k] for k in plan_columns})
-            yield {**{key: row[key] for key in keys}, "copies": row["copies"], **outcome}
+    stage = _Stage(planned, make_renderer, source)
+    pages = _counted(planned).withColumn("_group", _page_group(pages_per_group))
+    if {"width", "height"} <= set(planned.columns):
+        pixels = F.col("width").cast("bigint") * F.col("height")
+        packed, slots = pack_pages(pages, pixels, pixels_per_task, partitions)
+        dealt = packed.repartitionById(slots, "_slot")
+    else:
+        dealt = pages.repartition(partitions or default_partitions(planned), "doc_id", "_group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            renderer = make_renderer()
-        except Exception:  # noqa: BLE001
-            renderer = None
-        opened = _OpenDocument(renderer, source)
+        opened = _OpenDocument(stage.renderer(), source)
         try:
             for batch in batches:
-                schema = pa.schema(
-                    [(key, batch.schema.field(key).type) for key in keys]
-                    + [(name, arrow_type) for name, arrow_type, _ in _OUTCOME]
-                )
-                yield from _batched(render_rows(batch, opened), schema)
+                yield from _batched(stage.rows(batch.to_pylist(), opened), stage.schema(batch.schema))
         finally:
             opened.leave()
 
-    ddl = [f"{key} {planned.schema[key].dataType.simpleString()}" for key in keys]
-    ddl += [f"{name} {spark_type}" for name, _, spark_type in _OUTCOME]
-    return (
-        planned.withColumn("_group", floor_div(F.col("page_num").cast("bigint") - 1, pages_per_group))
-        .repartition(partitions, "doc_id", "_group")
-        .sortWithinPartitions("doc_id", "_group", "page_num")
-        .mapInArrow(run, ", ".join(ddl))
+    return dealt.sortWithinPartitions("doc_id", "_group", "page_num").mapInArrow(run, stage.ddl)
+
+
+def map_contents(
+    planned: DataFrame,
+    documents: DataFrame,
+    make_renderer: Callable[[], Renderer | None],
+    content: str = "content",
+    pages_per_group: int = PAGES_PER_TABLE,
+) -> DataFrame:
+    """``map_pages`` for documents held as bytes (``doc_id`` and ``content``).
+
+    The bytes meet the pages per group, not per page: groups of pages and
+    documents are shuffled apart and brought together in the task, so a
+    document crosses the network once for each group of its pages, and a
+    document of very many pages is rendered by many tasks. ``render`` gets the
+    planned row; a page whose document is missing or null is a failure. Of
+    documents with the same id the least content counts.
+    """
+    stage = _Stage(planned, make_renderer, content)
+    pages = _counted(planned).withColumn("_group", _page_group(pages_per_group))
+    groups = pages.select("doc_id", "_group").distinct()
+    known = documents.select(F.col("doc_id").alias("of_doc"), F.col(content).alias("content"))
+    contents = groups.select(F.col("doc_id").alias("for_doc"), F.col("_group").alias("for_group")).join(
+        known, F.col("for_doc") == F.col("of_doc")
     )
+    made: dict[str, Renderer | None] = {}
+
+    def run(group: pa.Table, document: pa.Table) -> pa.Table:
+        if "renderer" not in made:  # once per task
+            made["renderer"] = stage.renderer()
+        known = [value.as_py() for value in document.column("content") if value.is_valid]
+        opened = _OpenDocument(made["renderer"], content)
+        source = {content: min(known, default=None)}
+        rows = sorted(group.to_pylist(), key=lambda row: row["page_num"])
+        try:
+            batches = list(_batched(stage.rows(({**row, **source} for row in rows), opened), stage.schema(group.schema)))
+        finally:
+            opened.leave()
+        return pa.Table.from_batches(batches, stage.schema(group.schema))
+
+    contents = contents.select("for_doc", "for_group", "content")
+    by_group = pages.groupBy("doc_id", "_group").cogroup(contents.groupBy("for_doc", "for_group"))
+    return by_group.applyInArrow(run, stage.ddl)
 
 
 @dataclass(frozen=True)

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from folioscale.constants import ERROR_PREFIXES, RENDER_FAILED
 from folioscale.functions._util import floor_div, int_div, null_if_empty
+from folioscale.operators.numbering import numbered
+from folioscale.session import default_partitions, stored
 
 
 def page_status_rows(raw: DataFrame) -> DataFrame:
@@ -40,8 +42,15 @@ def page_status_rows(raw: DataFrame) -> DataFrame:
 
 
 def collect_pages(results: DataFrame, payload: str = "image") -> DataFrame:
-    """The in-memory result: pages in order, payload only where successful."""
-    return results.select(
+    """The in-memory result: pages in order, payload only where successful.
+
+    Ranges are found from the keys alone. The results are stored once, so each
+    page is rendered once; a sort of the keys, without payload, gives the
+    borders of as many ranges as a shuffle has partitions, and each page then
+    goes straight to its range. Results of one page are told apart by their
+    row, so they can be spread as well.
+    """
+    shown = results.select(
         "doc_id",
         "page_num",
         "width",
@@ -49,7 +58,22 @@ def collect_pages(results: DataFrame, payload: str = "image") -> DataFrame:
         "success",
         F.when(F.col("success"), F.col(payload)).alias(payload),
         "error",
-    ).orderBy("doc_id", "page_num")
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    pages = stored(shown, "collected")
+    key = F.struct("doc_id", "page_num", "_row")
+    parts = default_partitions(results)
+    ranges = pages.select("doc_id", "page_num", "_row").repartitionByRange(parts, "doc_id", "page_num", "_row")
+    # One row per range: a border, whatever the number of pages.
+    firsts = ranges.groupBy(F.spark_partition_id().alias("range")).agg(F.min(key).alias("first")).orderBy("range")
+    borders = [_literal(row["first"], pages) for row in firsts.collect()[1:]]
+    place = F.size(F.filter(F.array(*borders), lambda border: border <= key)) if borders else F.lit(0)
+    return pages.repartitionById(parts, place).sortWithinPartitions("doc_id", "page_num", "_row").drop("_row")
+
+
+def _literal(row: Row, typed: DataFrame) -> Column:
+    values = row.asDict()
+    return F.struct(*[F.lit(value).cast(typed.schema[name].dataType).alias(name) for name, value in values.items()])
 
 
 def doc_rollup(
@@ -86,18 +110,37 @@ def doc_rollup(
     )
 
 
+_ENTRY = ("page_num", "success", "error", "width", "height", "size_bytes", "render_ms", "encode_ms")
+
+
+def _entries(results: DataFrame) -> DataFrame:
+    """Identical entries once, counted before the shuffle."""
+    return results.groupBy("doc_id", *_ENTRY).agg(F.count(F.lit(1)).alias("copies"))
+
+
 def page_arrays(results: DataFrame, pages_per_row: int = 512) -> DataFrame:
     """The ordered page list of a document as ARRAY<STRUCT>, ``pages_per_row``
-    page numbers to a row, so no row grows with its document. Identical
-    entries are counted (``copies``) before the shuffle instead of repeated.
+    page numbers to a row. Identical entries are counted (``copies``). Where one
+    page has very many different results, see ``result_arrays``.
+    """
+    return (
+        _entries(results)
+        .groupBy("doc_id", floor_div(F.col("page_num").cast("bigint") - 1, pages_per_row).alias("part"))
+        .agg(F.sort_array(F.collect_list(F.struct(*_ENTRY, "copies"))).alias("pages"))
+    )
+
+
+def result_arrays(results: DataFrame, entries_per_row: int = 512) -> DataFrame:
+    """The same cut into equal lengths: ``entries_per_row`` entries to a row,
+    fewer in a document's last, whatever the pages they belong to. No row grows
+    with its document, nor with the results of one page; entries are numbered
+    range by range, not in one task per document.
     """
-    fields = ["page_num", "success", "error", "width", "height", "size_bytes", "render_ms", "encode_ms"]
+    placed = numbered(_entries(results), ["doc_id"], _ENTRY)
     return (
-        results.withColumn("part", floor_div(F.col("page_num").cast("bigint") - 1, pages_per_row))
-        .groupBy("doc_id", "part", *fields)
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .groupBy("doc_id", "part")
-        .agg(F.sort_array(F.collect_list(F.struct(*fields, "copies"))).alias("pages"))
+        placed.groupBy("doc_id", floor_div(F.col("position"), entries_per_row).alias("part"))
+        .agg(F.sort_array(F.collect_list(F.struct("position", *_ENTRY, "copies"))).alias("pages"))
+        .withColumn("pages", F.transform("pages", lambda page: page.dropFields("position")))
     )
 
 
@@ -106,6 +149,11 @@ def rounded_ratio(total: Column, count: Column) -> Column:
     return F.when(count > 0, int_div(total * 2 + count, F.when(count > 0, count * 2)))
 
 
+def rounded_ratio_of(total: int, count: int) -> int | None:
+    """``rounded_ratio`` of two numbers."""
+    return (total * 2 + count) // (count * 2) if count > 0 else None
+
+
 def job_summary(rollup: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Totals over documents (a ``doc_rollup``), and the average time per
     rendered page in whole milliseconds."""

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from folioscale.constants import DEFAULT_PAGE_HEIGHT_PT, DEFAULT_PAGE_WIDTH_PT
+from folioscale.constants import DEFAULT_PAGE_HEIGHT_PT, DEFAULT_PAGE_WIDTH_PT, SAVE_FAILED, UPLOAD_FAILED
 from folioscale.functions.display import format_bytes
 from folioscale.functions.formats import classify_input, format_error, normalize_format
-from folioscale.functions.names import sink_key
+from folioscale.functions.names import encode_component, sink_key, sink_path
 from folioscale.functions.options import convert_options
 from folioscale.operators.geometry import plan_page_size, side_limit
 from folioscale.operators.page_table import gather_pages, repeat_copies, requested_pages
 from folioscale.operators.pages import attach_options, valid_pages
-from folioscale.operators.render import Renderer, map_pages
+from folioscale.operators.render import Renderer, map_contents, map_pages
 from folioscale.operators.results import doc_rollup, rounded_ratio
-from folioscale.sinks.images import write_manifest, write_page_files
+from folioscale.sinks.images import pages_to_do, save_manifest
+from folioscale.sinks.transaction import check_sink_settings, discard_run, open_runs, publish_run, stage_images
+from folioscale.sources.listing import path_exists
 
 
 def resolve_documents(docs: DataFrame, options: DataFrame) -> DataFrame:
@@ -142,15 +146,139 @@ def conversion_report(
     )
 
 
+@dataclass(frozen=True)
+class Conversion:
+    """The saved manifest (all generations) and the totals of this run's pages."""
+
+    manifest: DataFrame
+    summary: dict[str, int | None]
+
+
+def _folder() -> Column:
+    return F.concat_ws("/", encode_component(F.col("doc_id").cast("string")), F.col("format"))
+
+
+def _rendered(plan: DataFrame, make_renderer: Callable[[], Renderer | None], contents: DataFrame | None, how: dict[str, Any]) -> DataFrame:
+    if contents is None:
+        return map_pages(plan, make_renderer, **how)
+    return map_contents(plan, contents, make_renderer, **how)
+
+
+def _convert(
+    rendered: DataFrame,
+    root: str,
+    manifest_path: str,
+    target: Column,
+    target_name: str,
+    error: str,
+    generation: int,
+    settings: Mapping[str, str | None] | None = None,
+) -> Conversion:
+    """Stage, commit, publish, and add the outcomes to the manifest."""
+    spark = rendered.sparkSession
+    marked = rendered.withColumn("generation", F.lit(generation))
+    run = stage_images(marked, root, target, error, settings)
+    return _finish(spark, root, run, manifest_path, target_name, error, marked)
+
+
+def _finish(
+    spark: SparkSession, root: str, run: str, manifest_path: str, target_name: str, error: str, empty: DataFrame | None = None
+) -> Conversion:
+    outcome = publish_run(spark, root, run, target_name, error)
+    if outcome is None:  # nothing was planned
+        columns = [F.lit(None).cast("string").alias(target_name), F.lit(None).cast("bigint").alias("size_bytes")]
+        outcome = empty.drop("image", "size_bytes").where("false").select("*", *columns)
+    manifest, summary = save_manifest(outcome.withColumn("run", F.lit(run)), manifest_path, "append")
+    discard_run(root, run)
+    return Conversion(manifest, summary)
+
+
+def _is_saved(spark: SparkSession, manifest_path: str, run: str) -> bool:
+    """Whether a run's outcomes are in the manifest: its images are in place then."""
+    return path_exists(spark, manifest_path) and not spark.read.parquet(manifest_path).where(F.col("run") == run).isEmpty()
+
+
+def _must_be_new(spark: SparkSession, manifest_path: str) -> None:
+    """A conversion that begins must not find a manifest; checked before any page is rendered."""
+    if path_exists(spark, manifest_path):
+        raise FileExistsError(f"PATH_ALREADY_EXISTS: {manifest_path}; go on with resume_conversion")
+
+
 def convert_to_files(
     plan: DataFrame,
     make_renderer: Callable[[], Renderer | None],
     directory: str,
     manifest_path: str,
     prefix: str = "page",
+    contents: DataFrame | None = None,
+    **how: Any,
+) -> DataFrame:
+    """Render and write every planned page (``page_plan``) of documents given by
+    path, or as bytes in ``contents`` (``doc_id, content``); returns the saved
+    manifest. Images go straight from the renderer to storage in the same task,
+    they are never shuffled. A job that fails leaves no files, one that ends
+    leaves all (``sinks.transaction``); a page that fails is a row. ``how`` goes
+    to ``map_pages``: ``partitions``, ``pages_per_group``, ``pixels_per_task``."""
+    _must_be_new(plan.sparkSession, manifest_path)
+    rendered = _rendered(plan, make_renderer, contents, how)
+    target = sink_path(_folder(), F.lit(prefix), "page_num", "format")
+    return _convert(rendered, directory, manifest_path, target, "output_path", SAVE_FAILED, 1).manifest
+
+
+def convert_to_objects(
+    plan: DataFrame,
+    make_renderer: Callable[[], Renderer | None],
+    uri: str,
+    manifest_path: str,
+    settings: Mapping[str, str | None] | None = None,
+    fallback: Mapping[str, str | None] | None = None,
+    key_prefix: str = "pages",
+    contents: DataFrame | None = None,
+    **how: Any,
 ) -> DataFrame:
-    """Render and write every planned page (``page_plan``) in one job; returns
-    the saved manifest. Images go straight from the renderer to storage in the same
-    task, they are never shuffled."""
-    rendered = map_pages(plan, make_renderer)
-    return write_manifest(write_page_files(rendered, directory, prefix), manifest_path)
+    """The same to an object store: keys are ``key_prefix/<doc>/<format>/page_N.ext``.
+    ``settings``, where the store needs them, and the prefix are checked before
+    any page is rendered, and again when the writer is made."""
+    if not key_prefix:
+        raise ValueError("key_prefix must not be empty")
+    if settings is not None:
+        check_sink_settings(settings, fallback)
+        settings = {**(fallback or {}), **{name: value for name, value in settings.items() if value}}
+    _must_be_new(plan.sparkSession, manifest_path)
+    rendered = _rendered(plan, make_renderer, contents, how)
+    target = sink_key(F.concat_ws("/", F.lit(key_prefix), _folder()), "page_num", "format")
+    return _convert(rendered, uri, manifest_path, target, "object_key", UPLOAD_FAILED, 1, settings).manifest
+
+
+def resume_conversion(
+    plan: DataFrame,
+    make_renderer: Callable[[], Renderer | None],
+    root: str,
+    manifest_path: str,
+    prefix: str = "page",
+    key_prefix: str | None = None,
+    contents: DataFrame | None = None,
+    **how: Any,
+) -> Conversion:
+    """Go on with a conversion: finish or discard what an interrupted run left,
+    then render only the planned pages whose latest outcome is no success, as a
+    new generation of the manifest. With ``key_prefix`` to objects, else to files."""
+    spark = plan.sparkSession
+    to_objects = key_prefix is not None
+    name, error = ("object_key", UPLOAD_FAILED) if to_objects else ("output_path", SAVE_FAILED)
+    for run, committed in open_runs(root).items():
+        if committed and not _is_saved(spark, manifest_path, run):
+            _finish(spark, root, run, manifest_path, name, error)
+        else:
+            discard_run(root, run)
+    generation, left = 1, plan
+    if path_exists(spark, manifest_path):
+        manifest = spark.read.parquet(manifest_path)
+        generation = (manifest.agg(F.max("generation")).first()[0] or 0) + 1
+        left = pages_to_do(plan, manifest)
+    rendered = _rendered(left, make_renderer, contents, how)
+    if to_objects:
+        target = sink_key(F.concat_ws("/", F.lit(key_prefix), _folder()), "page_num", "format")
+    else:
+        target = sink_path(_folder(), F.lit(prefix), "page_num", "format")
+    return _convert(rendered, root, manifest_path, target, name, error, generation)

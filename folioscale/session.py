@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings, so they can also be applied to a running session.
@@ -48,6 +51,33 @@ def default_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    Only a single-machine session may leave it unset; it gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="folioscale-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read again: computed once, and what
+    follows survives lost executors."""
+    place = work_folder(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def checkpoint_location(spark: SparkSession, name: str) -> str:
     """Folder for streaming state, under ``spark.checkpoint.dir``: a query can
     only recover from a folder that all machines share."""

@@ -2,53 +2,25 @@
 
 from __future__ import annotations
 
-import posixpath
-import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from folioscale.constants import SAVE_FAILED, UPLOAD_FAILED
 from folioscale.functions.formats import format_mime
 from folioscale.functions.names import encode_component, sink_key, sink_path
-from folioscale.functions.options import SINK_FIELDS
+from folioscale.operators.results import rounded_ratio_of
+from folioscale.sinks.files import inside, put_file
+from folioscale.sinks.transaction import check_sink_settings
+from folioscale.sources.listing import list_files
 from folioscale.sources.store import open_store
 
 _KEPT = ("doc_id", "page_num", "format", "copies", "width", "height", "render_ms", "encode_ms")
 
 
-def _put(store: fs.FileSystem, path: str, image: bytes, mime: str, made: set[str]) -> None:
-    """Write so that readers never see half a file and a retried or speculative
-    task only repeats the same content: in file systems under a temporary name
-    and then moved, while object stores show an object only once complete."""
-    folder, name = posixpath.split(path)
-    if store.type_name not in ("local", "hdfs"):
-        with store.open_output_stream(path, metadata={"Content-Type": mime}) as out:
-            out.write(image)
-        return
-    if folder not in made:
-        store.create_dir(folder, recursive=True)
-        made.add(folder)
-    draft = posixpath.join(folder, f".{name}.{uuid.uuid4().hex}")
-    try:
-        with store.open_output_stream(draft) as out:
-            out.write(image)
-        store.move(draft, path)
-    except Exception:
-        _discard(store, draft)
-        raise
-
-
-def _discard(store: fs.FileSystem, path: str) -> None:
-    try:
-        store.delete_file(path)
-    except Exception:  # noqa: BLE001 - it may never have been created
-        pass
-
-
 def _write(results: DataFrame, root: str, target: Column, target_name: str, error_prefix: str) -> DataFrame:
     kept = [name for name in _KEPT if name in results.columns]
     added = [
@@ -62,9 +34,7 @@ def _write(results: DataFrame, root: str, target: Column, target_name: str, erro
         if not row["success"] or row["image"] is None:
             return {"success": row["success"], "error": row["error"]}
         try:
-            if ".." in row["target"].split("/"):
-                raise ValueError(f"a target outside the folder: {row['target']}")
-            _put(store, posixpath.join(base, row["target"]), row["image"], row["mime"], made)
+            put_file(store, inside(base, row["target"]), row["image"], row["mime"], made)
             return {"success": True, target_name: row["target"], "size_bytes": len(row["image"])}
         except Exception as problem:  # noqa: BLE001 - one page fails, not the job
             return {"success": False, "error": f"{error_prefix}{problem}"}
@@ -87,15 +57,6 @@ def _write(results: DataFrame, root: str, target: Column, target_name: str, erro
     return ready.mapInArrow(run, ", ".join(ddl))
 
 
-def check_sink_settings(settings: Mapping[str, str | None], fallback: Mapping[str, str | None] | None = None) -> None:
-    """Raise, before any page is rendered, if a required setting of an object
-    store is missing or empty, also after the fallback."""
-    fallback = fallback or {}
-    missing = [name for name in SINK_FIELDS if not (settings.get(name) or fallback.get(name))]
-    if missing:
-        raise ValueError(f"Sink settings are incomplete: {', '.join(missing)}")
-
-
 def _folder(results: DataFrame) -> Column:
     return F.concat_ws("/", encode_component(F.col("doc_id").cast("string")), F.col("format"))
 
@@ -129,16 +90,54 @@ def write_page_objects(results: DataFrame, uri: str, key_prefix: Column | None =
 
 def write_manifest(results: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
     """Save page outcomes by format, without images; returns the saved table."""
-    results.drop("image").write.partitionBy("format").mode(mode).parquet(path)
-    return results.sparkSession.read.parquet(path)
+    return save_manifest(results, path, mode)[0]
+
+
+def save_manifest(results: DataFrame, path: str, mode: str = "errorifexists") -> tuple[DataFrame, dict[str, int | None]]:
+    """The same, with the totals of the pages written (those of ``job_summary``
+    that are sums over pages), observed by the job that writes. Totals of a
+    stage that Spark ran again after a loss may count its rows twice; those of
+    the saved table are exact."""
+    pages = results.drop("image")
+    copies = F.col("copies") if "copies" in pages.columns else F.lit(1)
+    copies = copies.cast("bigint")
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(F.coalesce(value, F.lit(0)) * copies), F.lit(0)).cast("bigint")
+
+    seen = Observation("pages written")
+    observed = pages.observe(
+        seen,
+        total(F.lit(1)).alias("pages"),
+        total(F.when(F.col("success"), 1)).alias("rendered_pages"),
+        total(F.col("size_bytes")).alias("output_bytes"),
+        total(F.coalesce("render_ms", F.lit(0)) + F.coalesce("encode_ms", F.lit(0))).alias("total_ms"),
+    )
+    observed.write.partitionBy("format").mode(mode).parquet(path)
+    summary = dict(seen.get)
+    summary["avg_ms_per_page"] = rounded_ratio_of(summary["total_ms"], summary["rendered_pages"])
+    return results.sparkSession.read.schema(pages.schema).parquet(path), summary
+
+
+def latest_outcomes(manifest: DataFrame, keys: Sequence[str] = ("doc_id", "page_num", "format")) -> DataFrame:
+    """Per page its outcome of the last generation that has one; of several in
+    one generation a success, then by their values."""
+    rest = [name for name in manifest.columns if name not in (*keys, "generation", "success")]
+    latest = F.max(F.struct("generation", "success", *rest)).alias("latest")
+    return manifest.groupBy(*keys).agg(latest).select(*keys, "latest.*")
+
+
+def pages_to_do(plan: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The planned pages whose latest outcome is no success."""
+    keys = ["doc_id", "page_num", "format"]
+    done = latest_outcomes(manifest).where("success").select(*keys)
+    return plan.join(done, keys, "left_anti")
 
 
 def list_outputs(spark: SparkSession, directory: str) -> DataFrame:
     """``doc_id`` (text), ``format``, ``size_bytes`` of every file found under
     ``directory/<doc>/<format>/``, whoever put it there."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory).select("path", "length")
-    )
+    files = list_files(spark, directory, recursive=True)
     parts = F.split("path", "/")
     return files.select(
         F.element_at(parts, -3).alias("doc_id"),

@@ -5,97 +5,64 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscale.functions.display import size_in_mb
 from folioscale.functions.names import base_name
 from folioscale.session import default_partitions
+from folioscale.sources.listing import list_files
 from folioscale.sources.store import open_store
 
-PDF_GLOB = "*.[pP][dD][fF]"
+PDF = ".pdf"
+_BATCH_BYTES = 32 << 20
 
 
 def scan_corpus(spark: SparkSession, path: str, min_bytes: int = 0, recursive: bool = False) -> DataFrame:
-    """PDF files under ``path`` (any storage URI), smallest first: ``input,
-    file_name, size_bytes``. Only listing data is read; the size filter is
-    pushed into the scan."""
-    files = _pdf_files(spark, path, recursive).where(F.col("length") >= min_bytes).select("path", "length")
-    if min_bytes <= 0:
-        files = files.unionByName(_empty_pdfs(spark, path, recursive).select("path", "length"))
-    return _named(files).orderBy("size_bytes", "input")
+    """PDF files under ``path`` (any storage URI, folder or pattern), smallest
+    first: ``input, file_name, size_bytes``. Only folders are read, no files."""
+    return _named(list_files(spark, path, PDF, recursive, min_bytes)).orderBy("size_bytes", "input")
 
 
-def read_corpus(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """The same files with their bytes in ``content``, for an inspector."""
-    empty = _empty_pdfs(spark, path, recursive).withColumn("content", F.lit(b""))
-    return _named(_pdf_files(spark, path, recursive).select("path", "length", "content").unionByName(empty), "content")
+def read_corpus(spark: SparkSession, path: str, min_bytes: int = 0, recursive: bool = False) -> DataFrame:
+    """The same files, in no order, with their bytes in ``content``, for an
+    inspector. A file that cannot be read (any more) has none."""
+    files = list_files(spark, path, PDF, recursive, min_bytes)
+    return read_contents(_named(files))
 
 
-def _named(files: DataFrame, *more: str) -> DataFrame:
+def _named(files: DataFrame) -> DataFrame:
     return files.select(
-        F.col("path").alias("input"), base_name("path").alias("file_name"), F.col("length").alias("size_bytes"), *more
+        F.col("path").alias("input"), base_name("path").alias("file_name"), F.col("length").alias("size_bytes")
     )
 
 
-def _pdf_files(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", PDF_GLOB)
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(path)
-    )
-
-
-def _empty_pdfs(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
-    """Spark's file scans pass over empty files, so those are listed apart:
-    one task lists the folder itself, then each folder in it is one row of
-    work for the cluster."""
-    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("is_folder", pa.bool_())])
-
-    def listing(deep: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for uri in batch.column("path").to_pylist():
-                    store, folder = open_store(uri)
-                    prefix = uri[: len(uri) - len(folder)] if uri.endswith(folder) else ""
-                    found = store.get_file_info(fs.FileSelector(folder, recursive=deep))
-                    rows = [
-                        {"path": prefix + info.path, "length": info.size, "is_folder": info.type == fs.FileType.Directory}
-                        for info in found
-                    ]
-                    yield pa.RecordBatch.from_pylist(rows, schema)
-
-        return run
-
-    def files_in(entries: DataFrame) -> DataFrame:
-        is_empty = ~F.col("is_folder") & (F.col("length") == 0) & F.lower("path").endswith(".pdf")
-        return entries.where(is_empty).select("path", "length")
-
-    ddl = "path string, length bigint, is_folder boolean"
-    roots = spark.createDataFrame(_roots(spark, path), ddl)
-    top = roots.where("is_folder").select("path").mapInArrow(listing(False), ddl)
-    found = files_in(roots).unionByName(files_in(top))
-    if not recursive:
-        return found
-    folders = top.where("is_folder").select("path")
-    folders = folders.repartition(default_partitions(folders), "path")
-    return found.unionByName(files_in(folders.mapInArrow(listing(True), ddl)))
-
-
-def _roots(spark: SparkSession, path: str) -> list[tuple[str, int, bool]]:
-    """What the path, which may be a pattern, stands for: URI, length, whether
-    it is a folder. Without a scheme the cluster's default one applies."""
-    context = spark.sparkContext
-    hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
-    store = hadoop_path.getFileSystem(context._jsc.hadoopConfiguration())
-    roots = []
-    for status in store.globStatus(hadoop_path) or []:
-        uri = status.getPath().toString()
-        if uri.startswith("file:/") and not uri.startswith("file://"):
-            uri = uri.replace("file:/", "file:///", 1)
-        roots.append((uri, status.getLen(), status.isDirectory()))
-    return roots
+def read_contents(files: DataFrame, source: str = "input") -> DataFrame:
+    """Add ``content``, the bytes of the file at ``source``, read in the task
+    that holds the row and passed on in batches of bounded size. Paths are
+    dealt out by hash, so a folder's files go to many tasks."""
+
+    def load(uri: str | None) -> bytes | None:
+        try:
+            store, path = open_store(uri)
+            with store.open_input_stream(path) as file:
+                return file.read()
+        except Exception:  # noqa: BLE001 - one unreadable file is one row without content
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size, start = [], 0, 0
+            for at, uri in enumerate(batch.column(source).to_pylist()):
+                held.append(load(uri))
+                size += len(held[-1] or b"")
+                if size >= _BATCH_BYTES or at == batch.num_rows - 1:
+                    rows = batch.slice(start, len(held))
+                    columns = [*rows.columns, pa.array(held, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "content"])
+                    held, size, start = [], 0, at + 1
+
+    ddl = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in files.schema.fields)
+    return files.repartition(default_partitions(files), source).mapInArrow(run, f"{ddl}, content binary")
 
 
 def scan_buffers(df: DataFrame, doc_id: str, content: Column) -> DataFrame:

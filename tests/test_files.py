@@ -1,5 +1,6 @@
 """Scans, renderers, inspectors and writers on real files."""
 
+import os
 from pathlib import Path
 
 import pytest
@@ -19,7 +20,10 @@ from folioscale.operators.results import doc_rollup, output_size_rollup
 from folioscale.plans.conversion import convert_to_files
 from folioscale.sinks.images import check_sink_settings, list_outputs, write_manifest, write_page_files, write_page_objects
 from folioscale.sources.store import open_store
-from folioscale.sources.corpus import read_corpus, scan_buffers, scan_corpus
+from folioscale.sources import listing
+from folioscale.sources.corpus import read_contents, read_corpus, scan_buffers, scan_corpus
+from folioscale.sources.listing import FolderReader
+from pyspark.sql.datasource import InputPartition
 
 
 @pytest.fixture
@@ -41,10 +45,8 @@ def test_scan_corpus(spark, corpus):
         ("empty.pdf", 0), ("b.PDF", 20), ("c.Pdf", 100), ("a.pdf", 300),
     ]
     assert all(row["input"].startswith("file:/") for row in files.collect())
-    large = scan_corpus(spark, corpus, min_bytes=100)
-    assert large.count() == 2
-    scan = next(line for line in plan_of(large).splitlines() if "FileScan binaryFile" in line)
-    assert "content" not in scan and "GreaterThanOrEqual(length,100)]" in scan
+    assert scan_corpus(spark, corpus, min_bytes=100).count() == 2
+    assert "binaryFile" not in plan_of(files) and "content" not in plan_of(files)
 
 
 def test_scan_corpus_tree(spark, corpus):
@@ -62,6 +64,57 @@ def test_scan_corpus_tree(spark, corpus):
     assert [row["size_bytes"] for row in scan_corpus(spark, f"{corpus}/empty.pdf").collect()] == [0]
 
 
+def test_scan_corpus_patterns(spark, tmp_path):
+    for year in (2020, 2021, 2022):
+        for kind in ("in", "out", "x,y"):
+            folder = tmp_path / str(year) / kind / "deep"
+            folder.mkdir(parents=True)
+            (folder.parent / f"{year}{kind}.pdf").write_bytes(b"1")
+            (folder / "deep.pdf").write_bytes(b"22")
+            (folder / "_hidden.pdf").write_bytes(b"3")
+            (folder.parent / ".draft.pdf").write_bytes(b"3")
+    (tmp_path / "2022" / "loop").symlink_to(tmp_path / "2022")
+    names = lambda pattern, deep=False: [r["file_name"] for r in scan_corpus(spark, f"{tmp_path}/{pattern}", recursive=deep).collect()]
+    assert names("20{20,21}/in") == ["2020in.pdf", "2021in.pdf"]
+    assert names("202[^0]/o*") == ["2021out.pdf", "2022out.pdf"]
+    assert names("202?/in/202[0-1]*.pdf") == ["2020in.pdf", "2021in.pdf"]
+    assert names("2020/x\\,y") == ["2020x,y.pdf"]
+    assert names("*/in", deep=True) == ["2020in.pdf", "2021in.pdf", "2022in.pdf"] + ["deep.pdf"] * 3
+    assert len(names("", deep=True)) == 18
+    with pytest.raises(FileNotFoundError):
+        names("19*")
+    with pytest.raises(Exception, match="does not exist"):
+        names("nowhere")
+
+
+def test_scan_of_one_folder_with_very_many_files(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for number in range(100_000):
+        os.close(os.open(folder / f"{number}.pdf", os.O_CREAT))
+    reader = FolderReader({"frontier": "", "suffix": ".pdf"})
+    monkeypatch.setattr(listing, "_frontier_rows", lambda part: iter([f"file://{folder}"]))
+    sizes = [batch.num_rows for batch in reader.read(InputPartition("any"))]
+    assert sum(sizes) == 100_000 and max(sizes) <= listing.ROWS_PER_BATCH
+    monkeypatch.undo()
+    assert scan_corpus(spark, str(tmp_path), recursive=True).count() == 100_000
+
+
+def test_very_many_folders_are_rows(spark, tmp_path):
+    for number in range(3000):
+        (tmp_path / f"{number % 60}" / f"{number}").mkdir(parents=True)
+        (tmp_path / f"{number % 60}" / f"{number}" / "a.pdf").write_bytes(b"x" * (number % 3))
+    found = scan_corpus(spark, str(tmp_path), recursive=True, min_bytes=1)
+    assert found.count() == 2000 and found.agg(F.sum("size_bytes")).first()[0] == 3000
+
+
+def test_unreadable_file_is_a_row_without_content(spark, corpus):
+    files = scan_corpus(spark, corpus)
+    Path(corpus, "a.pdf").unlink()
+    rows = {row["file_name"]: row["content"] for row in read_contents(files).collect()}
+    assert rows["a.pdf"] is None and rows["empty.pdf"] == b"" and len(rows["c.Pdf"]) == 100
+
+
 def toy_inspect(content):
     """A page per 100 bytes; only contents with a PDF header are documents."""
     if not content.startswith(b"%PDF"):

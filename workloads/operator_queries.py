@@ -8,6 +8,7 @@ from folioscale.operators.bench import bench_pivot, bench_rollup
 from folioscale.operators.cache import block_first_touch, blocks_of_read, cache_attribution, stream_stats
 from folioscale.operators.correlate import correlate_requests, request_stats, unmatched_responses
 from folioscale.operators.geometry import plan_page_size, scan_detection, side_limit
+from folioscale.operators.numbering import numbered
 from folioscale.operators.pages import (
     attach_options,
     expand_pages,
@@ -35,6 +36,7 @@ from folioscale.operators.results import (
     output_size_rollup,
     page_arrays,
     page_status_rows,
+    result_arrays,
     success_averages,
 )
 from folioscale.plans.conversion import conversion_plan, conversion_report, page_plan, rejected_documents
@@ -46,9 +48,18 @@ from workloads.registry import part, workload
 # --- sources and sinks -------------------------------------------------------
 
 
-@workload("corpus_listing", "select doc_id, file_name, size_bytes from fx_documents", ("fx_documents",))
+def _with_place(ordered):
+    """Number the rows as they come, so that SQL can check their order."""
+    return numbered(ordered.withColumn("at", F.monotonically_increasing_id()), [], ["at"], "place").drop("at")
+
+
+@workload(
+    "corpus_listing",
+    "select doc_id, file_name, size_bytes, row_number() over (order by size_bytes, doc_id) - 1 as place from fx_documents",
+    ("fx_documents",),
+)
 def _(t):
-    return corpus_listing(t.fx_documents.select("doc_id", "file_name", "size_bytes"))
+    return _with_place(corpus_listing(t.fx_documents.select("doc_id", "file_name", "size_bytes")))
 
 
 @workload(
@@ -74,12 +85,13 @@ def _(t):
 
 @workload(
     "collect_pages",
-    """select doc_id, page_num, width, height, success, case when success then size_bytes end as size_bytes, error
+    """select doc_id, page_num, width, height, success, case when success then size_bytes end as size_bytes, error,
+              row_number() over (order by doc_id, page_num) - 1 as place
        from fx_page_results""",
     ("fx_page_results",),
 )
 def _(t):
-    return collect_pages(t.fx_page_results, "size_bytes")
+    return _with_place(collect_pages(t.fx_page_results, "size_bytes"))
 
 
 @workload(
@@ -126,11 +138,11 @@ def _(t):
 
 @workload(
     "order_pages",
-    "select doc_id, page_num, success from fx_page_results",
+    "select doc_id, page_num, success, row_number() over (order by doc_id, page_num) - 1 as place from fx_page_results",
     ("fx_page_results",),
 )
 def _(t):
-    return order_pages(t.fx_page_results.select("doc_id", "page_num", "success"))
+    return _with_place(order_pages(t.fx_page_results.select("doc_id", "page_num", "success")))
 
 
 @workload(
@@ -323,6 +335,33 @@ def _(t):
     )
 
 
+_RESULT = "page_num, success, error, width, height, size_bytes, render_ms, encode_ms"
+
+
+@workload(
+    "result_arrays",
+    f"""select doc_id, position // 7 as part, count(*) as entries,
+              string_agg(page_num || ':' || coalesce(size_bytes, -1) || '*' || copies, ',' order by position) as pages
+       from (select *, row_number() over (partition by doc_id order by {', '.join(f'{name} nulls first' for name in _RESULT.split(', '))}) - 1 as position
+             from (select doc_id % 50 as doc_id, {_RESULT}, count(*) as copies from fx_page_results group by all))
+       group by doc_id, position // 7""",
+    ("fx_page_results",),
+)
+def _(t):
+    def shown(page):
+        size = F.coalesce(page["size_bytes"], F.lit(-1)).cast("string")
+        return F.concat(page["page_num"].cast("string"), F.lit(":"), size, F.lit("*"), page["copies"].cast("string"))
+
+    # Documents of very many pages with very many results each.
+    results = t.fx_page_results.withColumn("doc_id", F.col("doc_id") % 50)
+    return result_arrays(results, 7).select(
+        "doc_id",
+        "part",
+        F.size("pages").cast("bigint").alias("entries"),
+        F.array_join(F.transform("pages", shown), ",").alias("pages"),
+    )
+
+
 @workload(
     "job_summary",
     """select format, documents, complete_documents, pages, rendered_pages, output_bytes, total_ms,

@@ -22,6 +22,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self._spark, self._folder = spark, folder.rstrip("/")
         self._read: dict[str, DataFrame] = {}
+        self.spark = spark
 
     def _base(self, table: str) -> DataFrame:
         if table not in self._read:
