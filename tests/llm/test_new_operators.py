@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from folioscale.llm import manifest
-from folioscale.llm.alignment import Aligner, Tokenizers, align_documents, alignment_digest, pair_counts
+from folioscale.llm.alignment import SPACE, Aligner, Tokenizers, align_documents, alignment_digest, pair_counts
 from folioscale.llm.classifier import BINS, classify, estimated_prior, figures_of
 from folioscale.llm.manifest import BLOCK, build_manifest, folded, verified_digest
 from folioscale.llm.queries import BYTE_BPE, PIECE_BPE, QUERIES
@@ -273,10 +273,12 @@ def test_alignment_of_random_bytes_and_a_full_memory(source):
     aligner = Aligner(source, remembered=3)
     texts = ["".join(random.choice("ab é\n☃  .,1") for _ in range(random.randrange(1, 60))) for _ in range(300)]
     bare = brute_alignment(source, texts)
-    for text, (a, b), row in zip(texts, aligner.encode(texts), bare):
-        groups, links = aligner.document(text, a, b)
+    for text, row in zip(texts, bare):
+        a, b, verified = aligner.encode([text])[0]
+        groups, links = aligner.documents([(a, b)])[0]
+        assert verified
         assert (len(a), len(b), len(links), sha(groups)) == (row[0], row[1], row[3], row[6])
-        assert len(aligner.known) <= 3
+        assert len(aligner.known) < 3 + text.count(" ") + 1
 
 
 def test_texts_are_encoded_whole_though_parts_are_remembered(source):
@@ -285,9 +287,12 @@ def test_texts_are_encoded_whole_though_parts_are_remembered(source):
     signs = " \u00a0\u3000\x1c\x85\t\n\r'sté1٣½日😀.,!_-'\u0301"
     texts = ["".join(random.choice(signs) for _ in range(random.randrange(1, 80))) for _ in range(3000)]
     texts += [text for text in TEXTS if text] + ["a  b   c ", " a b ", "it's 'quoted' it 's", "x 1 2 ½ ٣ y"]
-    bpe, _ = source.load()
-    for text, (a, _) in zip(texts, aligner.encode(texts)):
+    bpe, pieces = source.load()
+    assert not aligner.whole_only
+    for text, (a, b, verified) in zip(texts, aligner.encode(texts)):
+        assert verified == (SPACE not in text)
         assert a.tolist() == bpe.encode(f" {text}", add_special_tokens=False).ids, text
+        assert b.tolist() == pieces.encode(text), text
 
 
 def test_pairs_are_bounded_by_the_vocabularies(spark, source):
