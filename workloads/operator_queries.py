@@ -401,6 +401,35 @@ def _(t):
     return error_rollup(t.fx_page_results)
 
 
+# Failures of every kind, by document and page.
+_FAILURES = """case (doc_id + page_num) % 14
+         when 0 then 'Failed to load PDF: FormatError' when 1 then 'File not found or not readable: /a.pdf'
+         when 2 then 'Invalid page number: 9 (total: 3)' when 3 then 'Failed to get page 3: Unknown'
+         when 4 then 'Failed to render page: Unknown' when 5 then 'PNG encoding failed: memory'
+         when 6 then 'WebP encoding failed: memory' when 7 then 'File save failed: disk is full'
+         when 8 then 'Upload failed: timeout' when 9 then 'PDFium library not available'
+         when 10 then 'Native renderer not available in worker thread' when 11 then 'upload failed: other case'
+         when 12 then '' end"""
+
+
+@workload(
+    "error_classes",
+    f"""select case when starts_with(error, 'Failed to load PDF') or starts_with(error, 'File not found or not readable') then 'load'
+                   when starts_with(error, 'Invalid page number') then 'page-range'
+                   when starts_with(error, 'Failed to get page') then 'page-fetch'
+                   when starts_with(error, 'Failed to render page') then 'render'
+                   when starts_with(error, 'PNG encoding failed') or starts_with(error, 'WebP encoding failed') then 'encode'
+                   when starts_with(error, 'File save failed') then 'save'
+                   when starts_with(error, 'Upload failed') then 'upload'
+                   when starts_with(error, 'PDFium library not available') or starts_with(error, 'Native renderer not available') then 'unavailable'
+                   else 'other' end as error_class, count(*) as failures
+        from (select {_FAILURES} as error from fx_page_requests) group by 1""",
+    ("fx_page_requests",),
+)
+def _(t):
+    return error_rollup(t.fx_page_requests.select(F.lit(False).alias("success"), F.expr(_FAILURES).alias("error")))
+
+
 # --- timing tables -----------------------------------------------------------
 
 
@@ -765,6 +794,41 @@ def _(t):
     return plan_page_size(pages, side_limit(F.lit("webp"))).select("doc_id", "page_num", "width", "height")
 
 
+def stub_inspect_scans(content):
+    """A page per 1,500 bytes; every third page holds images only."""
+    return [
+        InspectedPage(500.0 + number, 700.0, ("Image", "Image") if number % 3 == 0 else ("Text", "Image"))
+        for number in range(1, len(content) // 1500 + 2)
+    ]
+
+
+@workload(
+    "inspected_scans",
+    """select doc_id, page_num, as_scan, width, height, text_objects, image_objects
+       from x_inspected_scans""",
+    ("x_inspected_scans",),
+)
+def _(t):
+    found = inspect_documents(scan_buffers(t.documents, "doc_id", F.encode("text", "utf-8")), stub_inspect_scans)
+    scans = scan_detection(inspected_objects(found))
+    pages = inspected_pages(found).join(scans, ["doc_id", "page_num"])
+    sized = plan_page_size(pages, side_limit(F.lit("png")))
+    return sized.select("doc_id", "page_num", F.col("is_scan").alias("as_scan"), "width", "height", "text_objects", "image_objects")
+
+
+part(
+    "x_inspected_scans",
+    "select *, target = 1024 as as_scan from ("
+    + _sized(
+        """select doc_id, page_num, cast(500 + page_num as float) as w, cast(700 as float) as h, 32767 as lim,
+                  case when page_num % 3 = 0 then 1024 else 1280 end as target,
+                  case when page_num % 3 = 0 then 0 else 1 end as text_objects, case when page_num % 3 = 0 then 2 else 1 end as image_objects
+           from (select doc_id, cast(unnest(range(1, strlen(text) // 1500 + 2)) as int) as page_num from documents)"""
+    )
+    + ")",
+)
+
+
 @workload(
     "requested_by_list",
     """select doc_id, page_num from (
