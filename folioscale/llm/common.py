@@ -43,6 +43,18 @@ def materialised(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(struct)))
 
 
+def folded(docs: DataFrame, **added: Column) -> DataFrame:
+    """All columns of ``docs`` as one, ``row``, beside the ``added`` ones: whatever
+    names a table has, they clash with none of an operator's own."""
+    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row")
+    return docs.select(row, *[value.alias(name) for name, value in added.items()])
+
+
+def unfolded(rows: DataFrame, docs: DataFrame, **replaced: Column) -> DataFrame:
+    """The columns of ``docs`` again, some of them replaced."""
+    return rows.select(*[replaced.get(name, F.col("row").getField(name)).alias(name) for name in docs.columns])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

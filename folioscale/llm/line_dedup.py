@@ -7,9 +7,15 @@ order of work.
 
 Words of a line are ordered by rarity. Two similar lines share a word among
 the first fifth of theirs, so only these prefixes are joined. Lengths, the
-positions of the shared word and a parity signature of 128 bits bound the
+positions of the shared word and a parity signature of 64 bits bound the
 overlap from above; what passes is verified on the full sets.
 
+Only whether a line has an earlier similar one is asked, not for all pairs. So
+each set first meets the earliest set of every word of its prefix. In a group
+of lines that nearly equal each other this settles almost all; a settled set
+needs no other partner, it stays the earlier side only. The sets still open
+then meet all earlier ones of their words, which makes the result exact.
+
 Rarity is counted over all lines, in a table of ``RARITY_BUCKETS`` hashed words
 whose size does not depend on the input. Lines with equal sets are one set from
 the start, so a line that occurs very often is joined once. Only the order of
@@ -25,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscale.llm.common import materialised, stored, text_hash
+from folioscale.llm.common import folded, materialised, stored, text_hash, unfolded
 
 RARITY_BUCKETS = 1 << 16
 FLAGS = 1 << 20
@@ -66,50 +72,56 @@ def rarity_table(lines: DataFrame) -> bytes:
     return bytes(table)
 
 
-def _ordered(hashes: Column, table: bytes) -> Column:
-    """The distinct hashes with their class in front, so that numbers sort by rarity."""
+def _ordered(words: Column, table: bytes) -> Column:
+    """Hashes of the distinct words with their class in front, so that numbers sort by rarity."""
     # Folded into one literal when the query is planned.
     classes = F.split(F.lit(",".join(str(value << 56) for value in table)), ",").cast("array<bigint>")
 
-    def keyed(value: Column) -> Column:
+    def keyed(word: Column) -> Column:
+        value = F.xxhash64(word)
         rarity = F.get(classes, value.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int"))
         return rarity.bitwiseOR(F.shiftrightunsigned(value, 8))
 
-    return F.sort_array(F.array_distinct(F.transform(hashes, keyed)))
+    return F.sort_array(F.transform(F.array_distinct(words), keyed))
 
 
-def _parity(keys: str, half: int) -> Column:
-    """Half of 128 bits, of which each word flips one: two lines differ in no more bits than words."""
+def _parity(keys: str) -> Column:
+    """64 bits, of which each word flips one: two lines differ in no more bits than words."""
 
     def flip(state: Column, key: Column) -> Column:
-        mine = F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(1))
-        mine = mine if half else mine.bitwiseXOR(F.lit(1))
-        return state.bitwiseXOR(F.call_function("shiftleft", mine, key.bitwiseAND(F.lit(63)).cast("int")))
+        return state.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63)).cast("int")))
 
     return F.aggregate(keys, F.lit(0).cast("long"), flip)
 
 
 def line_sets(lines: DataFrame, table: bytes) -> DataFrame:
     """Per line with words: its place, set, size, prefix of rare words and signature."""
-    hashed = materialised(lines.select(*ROW, "line"), ordered=_ordered(_hashes(), table)).where(F.size("ordered") > 0)
+    hashed = materialised(lines.select(*ROW, "line"), ordered=_ordered(_words(), table)).where(F.size("ordered") > 0)
     size = F.size("ordered")
     short = F.transform(F.slice("ordered", F.lit(1), ((size - size % 5) / 5 + 1).cast("int")), lambda key: key.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     return hashed.select(
-        *ROW,
-        F.xxhash64("ordered").alias("set_id"),
-        size.alias("size"),
-        short.alias("prefix"),
-        _parity("ordered", 0).alias("odd_low"),
-        _parity("ordered", 1).alias("odd_high"),
+        *ROW, F.xxhash64("ordered").alias("set_id"), size.alias("size"), short.alias("prefix"), _parity("ordered").alias("odd")
+    )
+
+
+def distinct_sets(placed: DataFrame) -> DataFrame:
+    """Each set once, with its ``first`` place and a number ``no`` that ascends with it."""
+    sets = placed.groupBy("set_id").agg(
+        F.min(F.struct(*ROW)).alias("first"), *[F.first(name).alias(name) for name in ("size", "prefix", "odd")]
     )
+    ranges = sets.repartitionByRange("first").sortWithinPartitions("first")
+    return stored(ranges.withColumn("no", F.monotonically_increasing_id()), "distinct-sets")
 
 
-def candidate_pairs(sets: DataFrame) -> DataFrame:
-    """(x, y): sets that may be similar, x the smaller."""
-    entries = sets.select("set_id", "size", "odd_low", "odd_high", F.posexplode("prefix").alias("place", "word"))
+def _entries(sets: DataFrame) -> DataFrame:
+    """A row per set and word of its prefix; ``where`` holds the word's place and the set's size."""
+    entries = sets.select("no", "size", "odd", F.posexplode("prefix").alias("place", "word"))
     packed = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("size").cast("long"))
-    entries = entries.select("word", "set_id", packed.alias("where"), "odd_low", "odd_high")
-    x, y = entries.alias("x"), entries.alias("y")
+    return entries.select("word", "no", packed.alias("where"), "odd")
+
+
+def _may_be_similar(x: str, y: str) -> Column:
+    """Lengths, places and signatures of two entries of a word do not rule out similarity."""
 
     def size(side: str) -> Column:
         return F.col(f"{side}.where").bitwiseAND(F.lit(0xFFFFFFFF))
@@ -117,18 +129,30 @@ def candidate_pairs(sets: DataFrame) -> DataFrame:
     def place(side: str) -> Column:
         return F.shiftright(F.col(f"{side}.where"), 32)
 
-    both = size("x") + size("y")
-    smaller = (size("x") < size("y")) | ((size("x") == size("y")) & (F.col("x.set_id") < F.col("y.set_id")))
-    long_enough = size("x") * 100 >= size("y") * PERCENT
-    differ = F.bit_count(F.col("x.odd_low").bitwiseXOR(F.col("y.odd_low"))) + F.bit_count(
-        F.col("x.odd_high").bitwiseXOR(F.col("y.odd_high"))
-    )
+    long_enough = (size(x) * 100 >= size(y) * PERCENT) & (size(y) * 100 >= size(x) * PERCENT)
+    differ = F.bit_count(F.col(f"{x}.odd").bitwiseXOR(F.col(f"{y}.odd")))
     # With similarity 0.8, sets of a and b words share 4/9 (a+b), and differ in (a+b)/9 at most.
-    alike = differ * 9 <= both
-    most = F.least(place("x"), place("y")) + F.least(size("x") - place("x"), size("y") - place("y"))
-    positions = most * 9 >= both * 4
-    condition = (F.col("x.word") == F.col("y.word")) & smaller & long_enough & alike & positions
-    return x.join(y, condition).select(F.col("x.set_id").alias("x"), F.col("y.set_id").alias("y")).distinct()
+    alike = differ * 9 <= size(x) + size(y)
+    most = F.least(place(x), place(y)) + F.least(size(x) - place(x), size(y) - place(y))
+    return long_enough & alike & (most * 9 >= (size(x) + size(y)) * 4)
+
+
+def hub_pairs(entries: DataFrame) -> DataFrame:
+    """(x, y): each set with the earliest one of every word of its prefix."""
+    hubs = entries.groupBy("word").agg(
+        F.min("no").alias("no"), F.min_by("where", "no").alias("where"), F.min_by("odd", "no").alias("odd"), F.count(F.lit(1)).alias("sets")
+    )
+    x, y = hubs.where("sets > 1").alias("x"), entries.alias("y")
+    near = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.no") < F.col("y.no")) & _may_be_similar("x", "y"))
+    return near.select(F.col("x.no").alias("x"), F.col("y.no").alias("y")).distinct()
+
+
+def open_pairs(entries: DataFrame, settled: DataFrame) -> DataFrame:
+    """(x, y): each set that is not settled with all earlier ones that share a word of the prefix."""
+    left = entries.join(settled.select(F.col("y").alias("no")), "no", "left_anti")
+    x, y = entries.alias("x"), left.alias("y")
+    near = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.no") < F.col("y.no")) & _may_be_similar("x", "y"))
+    return near.select(F.col("x.no").alias("x"), F.col("y.no").alias("y")).distinct()
 
 
 def _flag_table(buckets: DataFrame) -> Column:
@@ -150,9 +174,10 @@ def _row_bucket() -> Column:
 
 
 def similar_sets(pairs: DataFrame, sets: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar; words are read again for the sets of ``pairs`` only."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("set_id")).distinct()
-    places = stored(sets.join(wanted, "set_id").select("set_id", "first.*"), "wanted-lines")
+    """The later sets of the pairs whose full sets are similar, as ``y``; words
+    are read again for the sets of ``pairs`` only."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("no")).distinct()
+    places = stored(sets.select("no", "first").join(wanted, "no").select("no", "first.*"), "wanted-lines")
     flags = _flag_table(places.select(_row_bucket().alias("bucket")))
     maybe = lines.where(F.substring(flags, _row_bucket() + 1, F.lit(1)) == F.lit(b"\x01"))
     hashes = maybe.select(*ROW, F.array_distinct(_hashes()).alias("hashes")).alias("l").join(
@@ -161,64 +186,62 @@ def similar_sets(pairs: DataFrame, sets: DataFrame, lines: DataFrame) -> DataFra
         & (F.col("l.text_hash") == F.col("p.text_hash"))
         & (F.col("l.line_no") == F.col("p.line_no")),
     )
-    full = stored(hashes.groupBy("set_id").agg(F.first("hashes").alias("hashes")), "wanted-sets")
-    left = full.select(F.col("set_id").alias("x"), F.col("hashes").alias("x_set"))
-    right = full.select(F.col("set_id").alias("y"), F.col("hashes").alias("y_set"))
+    full = stored(hashes.groupBy("no").agg(F.first("hashes").alias("hashes")), "wanted-sets")
+    left = full.select(F.col("no").alias("x"), F.col("hashes").alias("x_set"))
+    right = full.select(F.col("no").alias("y"), F.col("hashes").alias("y_set"))
     shared = F.size(F.array_intersect("x_set", "y_set"))
     together = F.size("x_set") + F.size("y_set") - shared
-    return pairs.join(left, "x").join(right, "y").where(shared * 100 >= together * PERCENT).select("x", "y")
+    similar = pairs.join(left, "x").join(right, "y").where(shared * 100 >= together * PERCENT)
+    return stored(similar.select("y").distinct(), "later-sets")
 
 
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document that loses lines: ``doc_id, text_hash, removed``, the line numbers from 0."""
     lines = _lines(docs, id_column, text_column)
-    table = rarity_table(lines)
-    placed = stored(line_sets(lines, table), "line-sets")
-    sets = placed.groupBy("set_id").agg(
-        F.min(F.struct(*ROW)).alias("first"),
-        *[F.first(name).alias(name) for name in ("size", "prefix", "odd_low", "odd_high")],
-    )
-    sets = stored(sets, "distinct-sets")
-    pairs = stored(candidate_pairs(sets), "candidates")
-    similar = similar_sets(pairs, sets, lines)
-    firsts = sets.select("set_id", "first")
-    ordered = similar.join(firsts.select(F.col("set_id").alias("x"), F.col("first").alias("x_first")), "x").join(
-        firsts.select(F.col("set_id").alias("y"), F.col("first").alias("y_first")), "y"
-    )
-    later = ordered.select(F.when(F.col("x_first") < F.col("y_first"), F.col("y")).otherwise(F.col("x")).alias("set_id"))
-    known = firsts.join(later.distinct().withColumn("gone", F.lit(True)), "set_id", "left")
+    placed = stored(line_sets(lines, rarity_table(lines)), "line-sets")
+    sets = distinct_sets(placed)
+    entries = _entries(sets)
+    settled = similar_sets(stored(hub_pairs(entries), "hub-pairs"), sets, lines)
+    others = stored(open_pairs(entries, settled), "open-pairs")
+    later = settled if others.isEmpty() else settled.unionByName(similar_sets(others, sets, lines))
+    gone = later.distinct().select(F.col("y").alias("no"), F.lit(True).alias("later"))
+    known = sets.select("set_id", "no", "first").join(gone, "no", "left")
     decided = placed.select(*ROW, "set_id").join(known, "set_id")
-    gone = F.coalesce("gone", F.lit(False)) | (F.struct(*ROW) > F.col("first"))
-    return decided.where(gone).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    out = F.coalesce("later", F.lit(False)) | (F.struct(*ROW) > F.col("first"))
+    return decided.where(out).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
-def _with_removed(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame, Column]:
-    """Documents with their text hash, the lines removed from them, and what joins the two."""
+def _with_removed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Each row (``row``) with the numbers of the lines removed from it, ``gone``, or null."""
     removed = repeated_lines(docs, id_column, text_column)
-    removed = removed.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("removed").alias("_removed"))
-    same = F.col(f"`{id_column}`").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    keyed = docs.withColumn("_text_hash", text_hash(F.col(f"`{text_column}`")))
-    return keyed, removed, same
+    removed = removed.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("removed").alias("gone"))
+    rows = folded(docs, own_id=F.col(f"`{id_column}`"), own_hash=text_hash(F.col(f"`{text_column}`")))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash"))
+    return rows.join(removed, same, "left")
 
 
 def line_digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_lines, n_removed, removed_lines``."""
-    lines = F.size(F.split(F.coalesce(F.col(f"`{text_column}`"), F.lit("")), "\n")).cast("long")
-    keyed, removed, same = _with_removed(docs, id_column, text_column)
-    slim = keyed.select(F.col(f"`{id_column}`"), "_text_hash", lines.alias("n_lines"))
-    none = F.array().cast("array<int>")
-    return slim.join(removed, same, "left").select(
+    text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
+    line_ends = F.length(text) - F.length(F.translate(text, "\n", ""))
+    # Only ids, hashes and counts meet what is removed, no texts.
+    slim = docs.select(
         F.col(f"`{id_column}`").alias("doc_id"),
-        "n_lines",
-        F.size(F.coalesce("_removed", none)).cast("long").alias("n_removed"),
-        F.array_join(F.coalesce("_removed", none), ",").alias("removed_lines"),
+        (line_ends + 1).cast("long").alias("n_lines"),
+        text_hash(F.col(f"`{text_column}`")).alias("own_hash"),
+    )
+    removed = repeated_lines(docs, id_column, text_column)
+    removed = removed.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("removed").alias("gone"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash"))
+    gone = F.coalesce("gone", F.array().cast("array<int>"))
+    return slim.join(removed, same, "left").select(
+        "doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone, ",").alias("removed_lines")
     )
 
 
 def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with the repeated lines taken out of the text; all rows stay."""
-    keyed, removed, same = _with_removed(docs, id_column, text_column)
-    lines = F.filter(F.split(F.col(f"`{text_column}`"), "\n"), lambda _, at: ~F.array_contains("_removed", at))
-    text = F.when(F.col("_removed").isNull(), F.col(f"`{text_column}`")).otherwise(F.array_join(lines, "\n"))
-    joined = keyed.join(removed, same, "left").withColumn(text_column, text)
-    return joined.select(*[F.col(f"`{name}`") for name in docs.columns])
+    rows = _with_removed(docs, id_column, text_column)
+    text = F.col("row").getField(text_column)
+    lines = F.filter(F.split(text, "\n"), lambda _, at: ~F.array_contains("gone", at))
+    return unfolded(rows, docs, **{text_column: F.when(F.col("gone").isNull(), text).otherwise(F.array_join(lines, "\n"))})
