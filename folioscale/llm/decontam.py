@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscale.llm.common import stored, text_hash
+from folioscale.llm.common import folded, stored, text_hash, unfolded
 
 FEATURES = 1 << 16
 RANK = 128
@@ -373,7 +373,7 @@ def decontaminate(
 ) -> DataFrame:
     """Per row: ``doc_id, text_hash, matches, contaminated``."""
     text = F.col(f"`{text_column}`")
-    plain = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), text_hash(text).alias("text_hash"), text.alias("text"))
+    plain = docs.select(F.col(f"`{id_column}`").alias("doc_id"), text_hash(text).alias("text_hash"), text.alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("text is not null")
     frequency = document_frequencies(plain)
     total = max(plain.count(), 1)
@@ -410,7 +410,8 @@ def _search(docs: DataFrame, rows: list, space: LatentSpace, idf: np.ndarray) ->
                 [batch.column(0), batch.column(1), pa.array(matches, kind)], ["doc_id", "text_hash", "matches"]
             )
 
-    return docs.mapInArrow(search, f"doc_id bigint, text_hash bigint, matches {MATCHES}")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(search, f"doc_id {id_type}, text_hash bigint, matches {MATCHES}")
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:
@@ -424,9 +425,9 @@ def contamination_digest(found: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` without the documents that hold benchmark passages."""
-    bad = decontaminate(docs, benchmark).where("contaminated").select("doc_id", "text_hash").distinct()
-    bad = bad.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (text_hash(docs["text"]) == F.col("_hash"))
-    return docs.join(bad, same, "left_anti")
+    bad = decontaminate(docs, benchmark, id_column, text_column).where("contaminated").select("doc_id", "text_hash").distinct()
+    rows = folded(docs, own_id=F.col(f"`{id_column}`"), own_hash=text_hash(F.col(f"`{text_column}`")))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))
+    return unfolded(rows.join(bad, same, "left_anti"), docs)

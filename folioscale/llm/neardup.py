@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscale.llm.common import stored, text_hash
+from folioscale.llm.common import folded, stored, text_hash, unfolded
 from folioscale.llm.flags import bucket_flags
 from folioscale.llm.words import WordHashes, lower_ascii, mixed, window_hashes, words_of
 
@@ -45,7 +45,7 @@ FLAG_BITS = 20
 STAR_ROUNDS = 3
 
 SIGNATURES = (
-    "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, left_blocks array<bigint>, right_blocks array<bigint>"
+    "doc_id {kind}, text_hash bigint, n_shingles bigint, node bigint, left_blocks array<bigint>, right_blocks array<bigint>"
 )
 SETS = "node bigint, parity array<bigint>, shingles array<bigint>"
 PARITY_WORDS = 16
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             names = ["doc_id", "text_hash", "n_shingles", "node", "left_blocks", "right_blocks"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(sign, SIGNATURES)
+    return docs.mapInArrow(sign, SIGNATURES.format(kind=docs.schema["doc_id"].dataType.simpleString()))
 
 
 def table_keys(nodes: DataFrame) -> DataFrame:
@@ -202,8 +202,9 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = THRESHOLD_PERCENT, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """Per row: ``doc_id, text_hash, n_shingles, component_id, kept``."""
-    texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
+    """Per row: ``doc_id, text_hash, n_shingles, component_id, kept`` and
+    ``component``, a number for the component; null for a text without words."""
+    texts = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
     texts = texts.withColumn("text_hash", text_hash(F.col("text")))
     signed = stored(signatures(texts, width), "signatures")
     nodes = (
@@ -279,7 +280,7 @@ def near_duplicates(
     placed_nodes = nodes.select("node", "doc_id").join(labels, "node", "left")
     placed_nodes = placed_nodes.select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     smallest = placed_nodes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    known = placed_nodes.join(smallest, "label").select("node", "component_id")
+    known = placed_nodes.join(smallest, "label").select("node", "component_id", F.col("label").alias("component"))
     return (
         signed.select("doc_id", "text_hash", "n_shingles", "node")
         .join(known, "node", "left")
@@ -288,14 +289,31 @@ def near_duplicates(
             "text_hash",
             "n_shingles",
             F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+            "component",
         )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id."""
-    facts = near_duplicates(docs, width).where("not kept").select("doc_id", "text_hash").distinct()
-    dropped = facts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (text_hash(docs["text"]) == F.col("_hash"))
-    return docs.join(dropped, same, "left_anti")
+def drop_near_duplicates(docs: DataFrame, width: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest id (a null
+    one comes last), among equal ids with the smallest text hash. Of rows equal
+    in id and text one stays. Rows without words are in no component and stay."""
+    facts = near_duplicates(docs, width, id_column=id_column, text_column=text_column)
+    facts = stored(facts.where("component is not null").select("component", "doc_id", "text_hash"), "component-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    counted = facts.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    survivors = counted.groupBy("component").agg(F.min(place).alias("first"))
+    judged = counted.join(survivors, "component").select(
+        F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), (place == F.col("first")).alias("stays"), "copies"
+    )
+    judged = stored(judged, "judged-rows")
+    rows = folded(docs, own_id=F.col(f"`{id_column}`"), own_hash=text_hash(F.col(f"`{text_column}`")))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash"))
+    left = unfolded(rows.join(judged.where("not stays or copies > 1"), same, "left_anti"), docs)
+    again = judged.where("stays and copies > 1")
+    if again.isEmpty():
+        return left
+    # Equal rows are combined before the shuffle, so a row repeated very often is no hot key.
+    once = rows.join(again, same).groupBy("own_id", "own_hash").agg(F.first("row").alias("row"))
+    return left.unionByName(unfolded(once, docs))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscale.llm.common import WHITE_SPACE, materialised, split_words
+from folioscale.llm.common import WHITE_SPACE, folded, materialised, split_words, unfolded
 
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
@@ -123,5 +123,5 @@ def quality_digest(facts: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """Kept documents, their failing lines removed; the columns stay those of ``docs``."""
-    facts = quality_facts(docs, text_column).where("kept")
-    return facts.withColumn(text_column, F.col("cleaned_text")).select(*[F.col(f"`{name}`") for name in docs.columns])
+    facts = quality_facts(folded(docs, text=F.col(f"`{text_column}`"))).where("kept")
+    return unfolded(facts, docs, **{text_column: F.col("cleaned_text")})

@@ -130,7 +130,9 @@ def converted(fields: list[str], body: bytes) -> dict:
     payload = _payload(body)
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     known = hashlib.sha1(f"{fields[0]} {fields[2]} ".encode() + hashlib.sha1(body).digest()).digest()
-    page = _PAGE.search(body[:2048])
+    head, gap, _ = body.partition(b"\r\n\r\n")
+    # The id stands in the HTTP head; what looks like one in the payload is payload.
+    page = _PAGE.search(head + b"\r\n") if gap and body.startswith(b"HTTP/") else None
     return {
         "record_id": f"<urn:uuid:{uuid.UUID(bytes=known[:16], version=5)}>",
         "record_type": "response" if body.startswith(b"HTTP/") else "resource",
@@ -311,7 +313,9 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     records = stored(arc_to_warc(pages_to_arc(pages)), "warc-records", "zstd")
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(mark_revisits(records), path)
-    return read_warc(spark, path, with_payload=False)
+    # What could not be converted has no place in an archive, but in the result.
+    broken = records.where(F.col("error").isNotNull()).select("error")
+    return read_warc(spark, path, with_payload=False).unionByName(broken, allowMissingColumns=True)
 
 
 def archive_digest(found: DataFrame) -> DataFrame:
