@@ -11,10 +11,10 @@ positions of the shared word and a parity signature of 64 bits bound the
 overlap from above; what passes is verified on the full sets.
 
 Only whether a line has an earlier similar one is asked, not for all pairs. So
-each set first meets the earliest set of every word of its prefix. In a group
-of lines that nearly equal each other this settles almost all; a settled set
-needs no other partner, it stays the earlier side only. The sets still open
-then meet all earlier ones of their words, which makes the result exact.
+where more than ``HOT_SETS`` sets share a word, each first meets the earliest of
+them. In a group of lines that nearly equal each other this settles almost all;
+a settled set needs no other partner, it stays the earlier side only. The sets
+still open then meet all earlier ones of their words, which makes it exact.
 
 Rarity is counted over all lines, in a table of ``RARITY_BUCKETS`` hashed words
 whose size does not depend on the input. Lines with equal sets are one set from
@@ -35,6 +35,9 @@ from folioscale.llm.common import folded, materialised, stored, text_hash, unfol
 
 RARITY_BUCKETS = 1 << 16
 FLAGS = 1 << 20
+#: Words of more sets get a hub; a set meets at most so many others by one of the other words.
+HOT_SETS = 64
+SETTLED = 1 << 62
 PERCENT = 80
 OTHER_SPACE = r"[\x09\x0B-\x0D]"
 
@@ -114,10 +117,11 @@ def distinct_sets(placed: DataFrame) -> DataFrame:
 
 
 def _entries(sets: DataFrame) -> DataFrame:
-    """A row per set and word of its prefix; ``where`` holds the word's place and the set's size."""
-    entries = sets.select("no", "size", "odd", F.posexplode("prefix").alias("place", "word"))
+    """A row per set and word of its prefix; ``where`` holds the set's size, the
+    word's place, and whether the set is settled."""
+    entries = sets.select("no", "size", "odd", "settled", F.posexplode("prefix").alias("place", "word"))
     packed = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("size").cast("long"))
-    return entries.select("word", "no", packed.alias("where"), "odd")
+    return entries.select("word", "no", packed.bitwiseOR(F.when(F.col("settled"), SETTLED).otherwise(0)).alias("where"), "odd")
 
 
 def _may_be_similar(x: str, y: str) -> Column:
@@ -127,7 +131,7 @@ def _may_be_similar(x: str, y: str) -> Column:
         return F.col(f"{side}.where").bitwiseAND(F.lit(0xFFFFFFFF))
 
     def place(side: str) -> Column:
-        return F.shiftright(F.col(f"{side}.where"), 32)
+        return F.shiftright(F.col(f"{side}.where"), 32).bitwiseAND(F.lit(0x3FFFFFFF))
 
     long_enough = (size(x) * 100 >= size(y) * PERCENT) & (size(y) * 100 >= size(x) * PERCENT)
     differ = F.bit_count(F.col(f"{x}.odd").bitwiseXOR(F.col(f"{y}.odd")))
@@ -138,20 +142,23 @@ def _may_be_similar(x: str, y: str) -> Column:
 
 
 def hub_pairs(entries: DataFrame) -> DataFrame:
-    """(x, y): each set with the earliest one of every word of its prefix."""
+    """(x, y): each set with the earliest one of every word that more than
+    ``HOT_SETS`` sets have in their prefix."""
     hubs = entries.groupBy("word").agg(
         F.min("no").alias("no"), F.min_by("where", "no").alias("where"), F.min_by("odd", "no").alias("odd"), F.count(F.lit(1)).alias("sets")
     )
-    x, y = hubs.where("sets > 1").alias("x"), entries.alias("y")
+    # Stored, its size is known to Spark: entries are only shuffled if there are very many such words.
+    hubs = stored(hubs.where(F.col("sets") > HOT_SETS).drop("sets"), "hubs")
+    x, y = hubs.alias("x"), entries.alias("y")
     near = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.no") < F.col("y.no")) & _may_be_similar("x", "y"))
     return near.select(F.col("x.no").alias("x"), F.col("y.no").alias("y")).distinct()
 
 
-def open_pairs(entries: DataFrame, settled: DataFrame) -> DataFrame:
+def open_pairs(entries: DataFrame) -> DataFrame:
     """(x, y): each set that is not settled with all earlier ones that share a word of the prefix."""
-    left = entries.join(settled.select(F.col("y").alias("no")), "no", "left_anti")
-    x, y = entries.alias("x"), left.alias("y")
-    near = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.no") < F.col("y.no")) & _may_be_similar("x", "y"))
+    x, y = entries.alias("x"), entries.alias("y")
+    is_open = F.col("y.where").bitwiseAND(F.lit(SETTLED)) == 0
+    near = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.no") < F.col("y.no")) & is_open & _may_be_similar("x", "y"))
     return near.select(F.col("x.no").alias("x"), F.col("y.no").alias("y")).distinct()
 
 
@@ -200,9 +207,11 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     lines = _lines(docs, id_column, text_column)
     placed = stored(line_sets(lines, rarity_table(lines)), "line-sets")
     sets = distinct_sets(placed)
-    entries = _entries(sets)
-    settled = similar_sets(stored(hub_pairs(entries), "hub-pairs"), sets, lines)
-    others = stored(open_pairs(entries, settled), "open-pairs")
+    nothing = docs.sparkSession.createDataFrame([], "y bigint")
+    hubs = stored(hub_pairs(_entries(sets.withColumn("settled", F.lit(False)))), "hub-pairs")
+    settled = nothing if hubs.isEmpty() else similar_sets(hubs, sets, lines)
+    marked = sets.join(settled.select(F.col("y").alias("no"), F.lit(True).alias("settled")), "no", "left")
+    others = stored(open_pairs(_entries(marked.withColumn("settled", F.coalesce("settled", F.lit(False))))), "open-pairs")
     later = settled if others.isEmpty() else settled.unionByName(similar_sets(others, sets, lines))
     gone = later.distinct().select(F.col("y").alias("no"), F.lit(True).alias("later"))
     known = sets.select("set_id", "no", "first").join(gone, "no", "left")
