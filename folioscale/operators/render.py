@@ -19,8 +19,8 @@ from folioscale.session import default_partitions, stored
 PAGES_PER_GROUP = 256
 #: With bytes instead of paths a group's images are one Arrow table.
 PAGES_PER_TABLE = 64
-#: About 256 pages of two megapixels.
-PIXELS_PER_TASK = 1 << 29
+#: About 4,096 pages of two megapixels: minutes of rendering, against which a task's start is nothing.
+PIXELS_PER_TASK = 1 << 33
 _FLUSH_ROWS = 256
 _FLUSH_BYTES = 32 << 20
 

@@ -90,7 +90,7 @@ def test_a_group_that_is_too_much_is_cut(spark):
 def test_number_of_tasks_follows_from_the_work(spark, tmp_path):
     make = lambda: Tally(tmp_path / "notes")
     few = map_pages(plan(spark), make)
-    many = map_pages(plan(spark, 40, 50).withColumns({"width": F.lit(8000), "height": F.lit(8000)}), make)
+    many = map_pages(plan(spark, 40, 50).withColumns({"width": F.lit(8000), "height": F.lit(8000)}), make, pixels_per_task=1 << 29)
     fixed = map_pages(plan(spark), make, partitions=3)
     partitions = [frame.select(F.spark_partition_id().alias("at"), "doc_id").agg(F.max("at")).first()[0] + 1 for frame in (few, many, fixed)]
     assert partitions[1] > 200 and partitions[0] <= 8 and partitions[2] <= 3
