@@ -144,11 +144,10 @@ def _may_be_similar(x: str, y: str) -> Column:
 def hub_pairs(entries: DataFrame) -> DataFrame:
     """(x, y): each set with the earliest one of every word that more than
     ``HOT_SETS`` sets have in their prefix."""
-    hubs = entries.groupBy("word").agg(
-        F.min("no").alias("no"), F.min_by("where", "no").alias("where"), F.min_by("odd", "no").alias("odd"), F.count(F.lit(1)).alias("sets")
-    )
-    # Stored, its size is known to Spark: entries are only shuffled if there are very many such words.
-    hubs = stored(hubs.where(F.col("sets") > HOT_SETS).drop("sets"), "hubs")
+    # Counts are the slimmest rows to shuffle; the words found are few, and stored, so that Spark knows it.
+    hot = entries.groupBy("word").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > HOT_SETS).select("word")
+    entries = entries.join(stored(hot, "hot-words"), "word")
+    hubs = entries.groupBy("word").agg(F.min("no").alias("no"), F.min_by("where", "no").alias("where"), F.min_by("odd", "no").alias("odd"))
     x, y = hubs.alias("x"), entries.alias("y")
     near = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.no") < F.col("y.no")) & _may_be_similar("x", "y"))
     return near.select(F.col("x.no").alias("x"), F.col("y.no").alias("y")).distinct()
