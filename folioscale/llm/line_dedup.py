@@ -7,7 +7,7 @@ order of work.
 
 Words of a line are ordered by rarity. Two similar lines share a word among
 the first fifth of theirs, so only these prefixes are joined. Lengths, the
-positions of the shared word and a parity signature of 64 bits bound the
+positions of the shared word and a parity signature of 128 bits bound the
 overlap from above; what passes is verified on the full sets.
 
 Only whether a line has an earlier similar one is asked, not for all pairs. So
@@ -88,11 +88,13 @@ def _ordered(words: Column, table: bytes) -> Column:
     return F.sort_array(F.transform(F.array_distinct(words), keyed))
 
 
-def _parity(keys: str) -> Column:
-    """64 bits, of which each word flips one: two lines differ in no more bits than words."""
+def _parity(keys: str, half: int) -> Column:
+    """Half of 128 bits, of which each word flips one: two lines differ in no more bits than words."""
 
     def flip(state: Column, key: Column) -> Column:
-        return state.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63)).cast("int")))
+        mine = F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(1))
+        mine = mine if half else mine.bitwiseXOR(F.lit(1))
+        return state.bitwiseXOR(F.call_function("shiftleft", mine, key.bitwiseAND(F.lit(63)).cast("int")))
 
     return F.aggregate(keys, F.lit(0).cast("long"), flip)
 
@@ -103,14 +105,19 @@ def line_sets(lines: DataFrame, table: bytes) -> DataFrame:
     size = F.size("ordered")
     short = F.transform(F.slice("ordered", F.lit(1), ((size - size % 5) / 5 + 1).cast("int")), lambda key: key.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     return hashed.select(
-        *ROW, F.xxhash64("ordered").alias("set_id"), size.alias("size"), short.alias("prefix"), _parity("ordered").alias("odd")
+        *ROW,
+        F.xxhash64("ordered").alias("set_id"),
+        size.alias("size"),
+        short.alias("prefix"),
+        _parity("ordered", 0).alias("odd_low"),
+        _parity("ordered", 1).alias("odd_high"),
     )
 
 
 def distinct_sets(placed: DataFrame) -> DataFrame:
     """Each set once, with its ``first`` place and a number ``no`` that ascends with it."""
     sets = placed.groupBy("set_id").agg(
-        F.min(F.struct(*ROW)).alias("first"), *[F.first(name).alias(name) for name in ("size", "prefix", "odd")]
+        F.min(F.struct(*ROW)).alias("first"), *[F.first(name).alias(name) for name in ("size", "prefix", "odd_low", "odd_high")]
     )
     ranges = sets.repartitionByRange("first").sortWithinPartitions("first")
     return stored(ranges.withColumn("no", F.monotonically_increasing_id()), "distinct-sets")
@@ -119,9 +126,9 @@ def distinct_sets(placed: DataFrame) -> DataFrame:
 def _entries(sets: DataFrame) -> DataFrame:
     """A row per set and word of its prefix; ``where`` holds the set's size, the
     word's place, and whether the set is settled."""
-    entries = sets.select("no", "size", "odd", "settled", F.posexplode("prefix").alias("place", "word"))
+    entries = sets.select("no", "size", "odd_low", "odd_high", "settled", F.posexplode("prefix").alias("place", "word"))
     packed = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("size").cast("long"))
-    return entries.select("word", "no", packed.bitwiseOR(F.when(F.col("settled"), SETTLED).otherwise(0)).alias("where"), "odd")
+    return entries.select("word", "no", packed.bitwiseOR(F.when(F.col("settled"), SETTLED).otherwise(0)).alias("where"), "odd_low", "odd_high")
 
 
 def _may_be_similar(x: str, y: str) -> Column:
@@ -134,7 +141,7 @@ def _may_be_similar(x: str, y: str) -> Column:
         return F.shiftright(F.col(f"{side}.where"), 32).bitwiseAND(F.lit(0x3FFFFFFF))
 
     long_enough = (size(x) * 100 >= size(y) * PERCENT) & (size(y) * 100 >= size(x) * PERCENT)
-    differ = F.bit_count(F.col(f"{x}.odd").bitwiseXOR(F.col(f"{y}.odd")))
+    differ = sum(F.bit_count(F.col(f"{x}.{odd}").bitwiseXOR(F.col(f"{y}.{odd}"))) for odd in ("odd_low", "odd_high"))
     # With similarity 0.8, sets of a and b words share 4/9 (a+b), and differ in (a+b)/9 at most.
     alike = differ * 9 <= size(x) + size(y)
     most = F.least(place(x), place(y)) + F.least(size(x) - place(x), size(y) - place(y))
@@ -147,7 +154,9 @@ def hub_pairs(entries: DataFrame) -> DataFrame:
     # Counts are the slimmest rows to shuffle; the words found are few, and stored, so that Spark knows it.
     hot = entries.groupBy("word").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > HOT_SETS).select("word")
     entries = entries.join(stored(hot, "hot-words"), "word")
-    hubs = entries.groupBy("word").agg(F.min("no").alias("no"), F.min_by("where", "no").alias("where"), F.min_by("odd", "no").alias("odd"))
+    hubs = entries.groupBy("word").agg(
+        F.min("no").alias("no"), *[F.min_by(name, "no").alias(name) for name in ("where", "odd_low", "odd_high")]
+    )
     x, y = hubs.alias("x"), entries.alias("y")
     near = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.no") < F.col("y.no")) & _may_be_similar("x", "y"))
     return near.select(F.col("x.no").alias("x"), F.col("y.no").alias("y")).distinct()
