@@ -7,6 +7,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from typing import Any, Protocol
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ from folioscale.functions._util import floor_div
 from folioscale.session import default_partitions, stored
 
 PAGES_PER_GROUP = 256
-#: With bytes instead of paths a group's images are one Arrow table.
+#: With bytes instead of paths a group's pages are one row.
 PAGES_PER_TABLE = 64
 #: About 4,096 pages of two megapixels: minutes of rendering, against which a task's start is nothing.
 PIXELS_PER_TASK = 1 << 33
@@ -72,11 +73,23 @@ def _reason(problem: Exception) -> str:
 def _checked(row: dict[str, Any], columns: list[tuple[str, pa.DataType, str]]) -> dict[str, Any]:
     """The row, if its values fit the columns; raises what Arrow raises else."""
     for name, arrow_type, _ in columns:
-        if name in row and not isinstance(row[name], bytes):
+        if name in row and not isinstance(row[name], bytes) and not _fits(row[name], arrow_type):
             row[name] = pa.scalar(row[name], arrow_type).as_py()
     return row
 
 
+def _fits(value: Any, arrow_type: pa.DataType) -> bool:
+    """Whether a value of the usual kind needs no conversion by Arrow to tell that it fits."""
+    kind = type(value)
+    if kind is float:
+        return pa.types.is_floating(arrow_type)
+    if kind is int:
+        return pa.types.is_integer(arrow_type) and -(1 << 31) <= value < 1 << 31
+    if kind is list:
+        return pa.types.is_list(arrow_type) and all(type(entry) is str and entry.isascii() for entry in value)
+    return False
+
+
 def _failed(error: str) -> dict[str, Any]:
     return dict(success=False, error=error, width=0, height=0, render_ms=0, encode_ms=0)
 
@@ -293,38 +306,61 @@ def map_contents(
 ) -> DataFrame:
     """``map_pages`` for documents held as bytes (``doc_id`` and ``content``).
 
-    The bytes meet the pages per group, not per page: groups of pages and
-    documents are shuffled apart and brought together in the task, so a
-    document crosses the network once for each group of its pages, and a
-    document of very many pages is rendered by many tasks. ``render`` gets the
-    planned row; a page whose document is missing or null is a failure. Of
-    documents with the same id the least content counts.
+    The bytes meet the pages per group, not per page: the pages of a group are
+    one row (stored in the shared folder when called), which is joined with the
+    document's bytes by document and group. So a document crosses the network
+    once for each group of its pages, a document of very many pages is rendered
+    by many tasks, and a task streams its groups. ``render`` gets the planned
+    row; a page whose document is missing or null is a failure. Of documents
+    with the same id the least content counts.
     """
     stage = _Stage(planned, make_renderer, content)
-    pages = _counted(planned).withColumn("_group", _page_group(pages_per_group))
-    groups = pages.select("doc_id", "_group").distinct()
+    pages = _counted(planned)
+    whole = F.struct(*[F.col(f"`{name}`") for name in pages.columns])
+    grouped = pages.groupBy("doc_id", _page_group(pages_per_group).alias("_group"))
+    groups = stored(grouped.agg(F.collect_list(whole).alias("_pages")), "groups")
     known = documents.select(F.col("doc_id").alias("of_doc"), F.col(content).alias("content"))
     contents = groups.select(F.col("doc_id").alias("for_doc"), F.col("_group").alias("for_group")).join(
         known, F.col("for_doc") == F.col("of_doc")
     )
-    made: dict[str, Renderer | None] = {}
-
-    def run(group: pa.Table, document: pa.Table) -> pa.Table:
-        if "renderer" not in made:  # once per task
-            made["renderer"] = stage.renderer()
-        known = [value.as_py() for value in document.column("content") if value.is_valid]
-        opened = _OpenDocument(made["renderer"], content)
-        source = {content: min(known, default=None)}
-        rows = sorted(group.to_pylist(), key=lambda row: row["page_num"])
+    contents = contents.select("for_doc", "for_group", "content")
+    # A merge join gives a group's rows, one per document of its id, one after the other.
+    same = (F.col("doc_id") == F.col("for_doc")) & F.col("_group").eqNullSafe(F.col("for_group"))
+    met = groups.join(contents.hint("merge"), same, "left").select("doc_id", "_group", "_pages", "content")
+
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Any, Any, bytes | None]]:
+        """Each group once: its key, its pages, and the least content."""
+        key = pages_of = least = None
+        for batch in batches:
+            names = zip(batch.column("doc_id").to_pylist(), batch.column("_group").to_pylist())
+            for name, group, document in zip(names, batch.column("_pages"), batch.column("content")):
+                if name != key:
+                    if key is not None:
+                        yield key, pages_of.as_py(), least
+                    key, pages_of, least = name, group, None
+                if document.is_valid:
+                    found = document.as_py()
+                    least = found if least is None else min(least, found)
+        if key is not None:
+            yield key, pages_of.as_py(), least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        schema = stage.schema(pa.schema(list(first.schema.field("_pages").type.value_type)))
+        opened = _OpenDocument(stage.renderer(), content)
+        rows = (
+            {**page, "_group": group, content: document}
+            for (_, group), pages, document in one_by_one(chain([first], batches))
+            for page in sorted(pages, key=lambda page: page["page_num"])
+        )
         try:
-            batches = list(_batched(stage.rows(({**row, **source} for row in rows), opened), stage.schema(group.schema)))
+            yield from _batched(stage.rows(rows, opened), schema)
         finally:
             opened.leave()
-        return pa.Table.from_batches(batches, stage.schema(group.schema))
 
-    contents = contents.select("for_doc", "for_group", "content")
-    by_group = pages.groupBy("doc_id", "_group").cogroup(contents.groupBy("for_doc", "for_group"))
-    return by_group.applyInArrow(run, stage.ddl)
+    return met.mapInArrow(run, stage.ddl)
 
 
 @dataclass(frozen=True)

@@ -127,6 +127,29 @@ def test_no_bytes_beside_pages_in_an_exchange(spark, tmp_path, conf):
     assert not any("content" in columns and "page_num" in columns for columns in moved)
 
 
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_groups_of_bytes_are_streamed(spark, tmp_path, conf, threshold):
+    """No call per group: tasks stream; nulls, repeats and copies of a page come out as they are."""
+    conf("spark.sql.autoBroadcastJoinThreshold", threshold)
+    documents = contents(spark, [(doc, b"%d" % (doc * 7 % 10)) for doc in [*range(40), *range(40)]] + [(1, b"0"), (None, b"x"), (2, None)])
+    pages = plan(spark, 40, 9).unionAll(plan(spark, 1, 9).withColumn("format", F.lit("webp")))
+    pages = pages.unionAll(plan(spark, 1, 2).withColumn("doc_id", F.lit(None).cast("int"))).drop("copies")
+    found = map_contents(pages.unionAll(plan(spark, 1, 3).drop("copies")), documents, lambda: Tally(tmp_path / "n"), pages_per_group=2)
+    assert "CoGroup" not in initial(found) and "SortMergeJoin" in initial(found)
+    rows = found.collect()
+    assert len(rows) == 40 * 9 + 9 + 2 and sum(row["copies"] for row in rows) == 374
+    least = {doc: b"%d" % (doc * 7 % 10) for doc in range(40)} | {1: b"0"}
+    for row in rows:
+        assert row["success"] == (row["doc_id"] is not None)
+        assert not row["success"] or bytes(row["image"]) == f"{least[row['doc_id']]}:{row['page_num']}".encode()
+
+
+def test_documents_are_inspected_once(spark):
+    """Three uses of the inspected rows, each planned twice, are one run of the inspector."""
+    frame = WORKLOADS["content_conversion"].run(spark, FOLDER)
+    assert initial(frame).count("MapInArrow") <= 1  # that of the renderer
+
+
 # --- all or nothing ------------------------------------------------------------
 
 

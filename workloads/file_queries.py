@@ -12,7 +12,7 @@ from folioscale.operators.numbering import numbered
 from folioscale.operators.render import RenderedPage, inspect_documents, inspected_documents, inspected_objects, inspected_pages, map_contents
 from folioscale.operators.results import collect_pages, doc_rollup, job_summary, output_size_rollup
 from folioscale.plans.conversion import convert_to_files, convert_to_objects, page_plan, resume_conversion
-from folioscale.session import work_folder
+from folioscale.session import stored, work_folder
 from folioscale.sinks.files import put_file
 from folioscale.sinks.images import latest_outcomes, list_outputs, write_manifest, write_page_files, write_page_objects
 from folioscale.sources.corpus import read_corpus, scan_corpus
@@ -104,7 +104,7 @@ def _contents(t) -> DataFrame:
 
 def _content_plan(t) -> DataFrame:
     """Inspected documents in the formats above, all pages, no job options."""
-    found = inspect_documents(_contents(t), stub_inspect)
+    found = stored(inspect_documents(_contents(t), stub_inspect), "inspected")  # once, not per use of it
     known = inspected_documents(found).where("error is null")
     docs = known.select(
         "doc_id",
