@@ -1,12 +1,13 @@
 """Writing images so that a run leaves all of its files or none.
 
-Tasks write images and their part of the manifest into a folder of the run,
-``_run-<id>`` in the target folder, which listings pass over. If the job ends,
-the driver commits: one file names the parts of the tasks that count. If it
-fails, the driver deletes the folder. A committed run is then published by a
-second job, which moves each image to its place, guided by the manifest;
-repeating it does no harm, so a run that was interrupted there is finished
-later (``recover_runs``).
+Each task writes its images, with their part of the manifest, into one file in
+a folder of the run, ``_run-<id>`` in the target folder, which listings pass
+over. If the job ends, the driver commits: one file names the parts of the
+tasks that count. If it fails, the driver deletes the folder. A committed run is
+then published by a second job, which puts each image in its place; repeating
+it does no harm, so a run that was interrupted there is finished later
+(``resume_conversion``). A run's folder holds a file per task, however many
+images there are, so the driver's deletion does not grow with them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -30,6 +32,9 @@ from folioscale.sources.store import open_store
 
 _RUN = "_run-"
 _PARTS = "_parts.json"
+#: A row group of a part is read at once when its images are put in their places.
+_GROUP_BYTES = 32 << 20
+_STAGED = ("success", "error", "image", "target", "mime")
 _ADDED = [("success", pa.bool_()), ("error", pa.string()), ("target", pa.string()), ("size_bytes", pa.int64())]
 
 
@@ -42,8 +47,7 @@ def check_sink_settings(settings: Mapping[str, str | None], fallback: Mapping[st
 
 
 class PageImages(DataSource):
-    """The sink. Options: ``root``, a URI; ``run``, the run's id; ``error``, how
-    the error text of a page begins that cannot be written; ``settings``, as
+    """The sink. Options: ``root``, a URI; ``run``, the run's id; ``settings``, as
     JSON, if the store needs all of the required ones."""
 
     @classmethod
@@ -62,7 +66,7 @@ class PartWritten(WriterCommitMessage):
 class PageWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]) -> None:
         options = {key.lower(): value for key, value in options.items()}
-        self.root, self.run, self.error = options["root"], options["run"], options["error"]
+        self.root, self.run = options["root"], options["run"]
         if "settings" in options:
             check_sink_settings(json.loads(options["settings"]))
 
@@ -70,31 +74,17 @@ class PageWriter(DataSourceArrowWriter):
         store, base = open_store(self.root)
         run = posixpath.join(base, _RUN + self.run)
         part = f"part-{uuid.uuid4().hex}.parquet"
-        store.create_dir(f"{run}/manifest", recursive=True)
-        made: set[str] = set()
+        store.create_dir(run, recursive=True)
         writer = None
-        with store.open_output_stream(f"{run}/manifest/{part}") as file:
+        with store.open_output_stream(f"{run}/{part}") as file:
             for batch in iterator:
-                kept = [name for name in batch.schema.names if name not in ("image", "mime", "success", "error", "target")]
-                rows = [self._put(store, f"{run}/images", row, made) for row in batch.select(["success", "error", "image", "target", "mime"]).to_pylist()]
-                columns = [batch.column(name) for name in kept]
-                columns += [pa.array([row.get(name) for row in rows], kind) for name, kind in _ADDED]
-                out = pa.RecordBatch.from_arrays(columns, kept + [name for name, _ in _ADDED])
-                writer = writer or pq.ParquetWriter(file, out.schema)
-                writer.write_batch(out)
+                writer = writer or pq.ParquetWriter(file, batch.schema, compression={"image": "none"}, use_dictionary=False)
+                for rows in _row_groups(batch):
+                    writer.write_batch(rows)
             if writer:
                 writer.close()
         return PartWritten(part if writer else "")
 
-    def _put(self, store: fs.FileSystem, images: str, row: dict, made: set[str]) -> dict:
-        if not row["success"] or row["image"] is None:
-            return {"success": row["success"], "error": row["error"]}
-        try:
-            put_file(store, inside(images, row["target"]), row["image"], row["mime"], made)
-            return {"success": True, "target": row["target"], "size_bytes": len(row["image"])}
-        except Exception as problem:  # noqa: BLE001 - one page fails, not the job
-            return {"success": False, "error": f"{self.error}{problem}"}
-
     def commit(self, messages: Sequence[WriterCommitMessage | None]) -> None:
         store, base = open_store(self.root)
         parts = sorted(message.part for message in messages if message is not None and message.part)
@@ -104,6 +94,18 @@ class PageWriter(DataSourceArrowWriter):
         discard_run(self.root, self.run)
 
 
+def _row_groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of bounded size, at least a row each."""
+    start, held = 0, 0
+    for at, size in enumerate(pc.binary_length(batch.column("image")).to_pylist()):
+        if at > start and held + (size or 0) > _GROUP_BYTES:
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size or 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def discard_run(root: str, run: str) -> None:
     """Delete what a run has not published."""
     store, base = open_store(root)
@@ -114,7 +116,7 @@ def discard_run(root: str, run: str) -> None:
 
 
 def stage_images(
-    results: DataFrame, root: str, target: Column, error: str, settings: Mapping[str, str | None] | None = None
+    results: DataFrame, root: str, target: Column, error: str = "", settings: Mapping[str, str | None] | None = None
 ) -> str:
     """Write the images of a rendered table (or of any with ``success, error,
     image, format``) into a run's folder, all or none; returns the run's id.
@@ -124,7 +126,7 @@ def stage_images(
     run = uuid.uuid4().hex
     kept = [name for name in results.columns if name not in ("success", "error", "image", "size_bytes", "target", "mime")]
     ready = results.select(*kept, "success", "error", "image", target.alias("target"), format_mime("format").alias("mime"))
-    options = {"root": root, "run": run, "error": error}
+    options = {"root": root, "run": run}
     if settings is not None:
         options["settings"] = json.dumps(dict(settings))
     ready.write.format(PageImages.name()).options(**options).mode("append").save()
@@ -142,50 +144,48 @@ def _parts(root: str, run: str) -> list[str] | None:
 
 
 def publish_run(spark: SparkSession, root: str, run: str, target_name: str, error: str) -> DataFrame | None:
-    """The outcome of each page of a committed run, with its image moved to its
-    place. Lazy: save it, then ``discard_run``. Repeating it moves what is left."""
+    """The outcome of each page of a committed run, with its image put in its
+    place, a task per part. Lazy: save it, then ``discard_run``. Repeating it
+    puts the same images there again."""
     parts = _parts(root, run)
     if not parts:
         return None
-    staged = spark.read.parquet(*[f"{root.rstrip('/')}/{_RUN}{run}/manifest/{part}" for part in parts])
+    folder = f"{_RUN}{run}"
+    staged = spark.read.parquet(f"{root.rstrip('/')}/{folder}/{parts[0]}").schema
+    kept = [name for name in staged.names if name not in _STAGED]
 
     def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(root)
         made: set[str] = set()
-        for batch in batches:
-            rows = batch.select(["success", "error", "target", "size_bytes"]).to_pylist()
-            for row in rows:
-                if row["target"] is not None:
-                    row.update(_moved(store, f"{base}/{_RUN}{run}/images", base, row, made, error))
-            columns = [batch.column(name) for name in kept]
-            columns += [pa.array([row[name] for row in rows], kind) for name, kind in _ADDED]
-            yield pa.RecordBatch.from_arrays(columns, kept + [name for name, _ in _ADDED])
-
-    kept = [name for name in staged.columns if name not in [name for name, _ in _ADDED]]
-    ddl = [f"{name} {staged.schema[name].dataType.simpleString()}" for name in [*kept, *[name for name, _ in _ADDED]]]
-    return staged.mapInArrow(run_batches, ", ".join(ddl)).withColumnRenamed("target", target_name)
-
-
-def _moved(store: fs.FileSystem, images: str, base: str, row: dict, made: set[str], error: str) -> dict:
-    source, place = inside(images, row["target"]), inside(base, row["target"])
+        for number in (number for batch in batches for number in batch.column("id").to_pylist()):
+            with store.open_input_file(posixpath.join(base, folder, parts[number])) as file:
+                images = pq.ParquetFile(file)
+                for group in range(images.num_row_groups):
+                    for batch in images.read_row_group(group).to_batches():
+                        done = [_put(store, base, row, made, error) for row in _rows(batch)]
+                        columns = [batch.column(name) for name in kept]
+                        columns += [pa.array([row.get(name) for row in done], kind) for name, kind in _ADDED]
+                        yield pa.RecordBatch.from_arrays(columns, kept + [name for name, _ in _ADDED])
+
+    ddl = [f"{name} {staged[name].dataType.simpleString()}" for name in kept]
+    ddl += ["success boolean", "error string", "target string", "size_bytes bigint"]
+    return spark.range(0, len(parts), 1, len(parts)).mapInArrow(run_batches, ", ".join(ddl)).withColumnRenamed("target", target_name)
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The staged columns of each row; one image at a time is copied."""
+    values = [batch.column(name) for name in _STAGED]
+    return ({name: value.as_py() for name, value in zip(_STAGED, row)} for row in zip(*values))
+
+
+def _put(store: fs.FileSystem, base: str, row: dict, made: set[str], error: str) -> dict:
+    if not row["success"] or row["image"] is None:
+        return {"success": row["success"], "error": row["error"]}
     try:
-        folder = posixpath.dirname(place)
-        if folder not in made and store.type_name in ("local", "hdfs"):
-            store.create_dir(folder, recursive=True)
-            made.add(folder)
-        found = store.get_file_info([source, place])
-        if found[0].type == fs.FileType.File:
-            if store.type_name == "hdfs" and found[1].type == fs.FileType.File:
-                store.delete_file(place)  # its rename does not replace
-            try:
-                store.move(source, place)
-            except FileNotFoundError:  # another attempt of this task, or an equal row, was faster
-                pass
-        elif found[1].type != fs.FileType.File:
-            raise FileNotFoundError(f"neither staged nor in place: {row['target']}")
-        return {}
+        put_file(store, inside(base, row["target"]), row["image"], row["mime"], made)
+        return {"success": True, "target": row["target"], "size_bytes": len(row["image"])}
     except Exception as problem:  # noqa: BLE001 - one page fails, not the job
-        return {"success": False, "error": f"{error}{problem}", "target": None, "size_bytes": None}
+        return {"success": False, "error": f"{error}{problem}"}
 
 
 def open_runs(root: str) -> dict[str, bool]:

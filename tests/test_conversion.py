@@ -153,6 +153,19 @@ def test_documents_are_inspected_once(spark):
 # --- all or nothing ------------------------------------------------------------
 
 
+def test_a_run_holds_a_file_per_task(spark, tmp_path):
+    """However many images there are: the driver deletes the run's files one by one."""
+    out = str(tmp_path / "out")
+    rendered = map_pages(plan(spark, 100, 9), lambda: Tally(tmp_path / "n", failing=(4,)), partitions=3).withColumn("generation", F.lit(1))
+    run = stage_images(rendered, out, F.concat_ws("/", "doc_id", "page_num"), "File save failed: ")
+    assert len(files_under(out)) <= 4
+    published = publish_run(spark, out, run, "output_path", "File save failed: ")
+    for _ in range(2):  # repeating it does no harm
+        assert published.where("success and size_bytes > 0").count() == 800
+    assert published.where("error = 'Failed to render page: x' and output_path is null").count() == 100
+    assert Path(out, "7", "3").read_bytes() == b"doc7:3"
+
+
 def test_a_job_that_dies_leaves_nothing(spark, tmp_path):
     out, manifest = tmp_path / "out", tmp_path / "manifest"
     with pytest.raises(Exception):
