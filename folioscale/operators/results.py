@@ -67,10 +67,22 @@ def collect_pages(results: DataFrame, payload: str = "image") -> DataFrame:
     # One row per range: a border, whatever the number of pages.
     firsts = ranges.groupBy(F.spark_partition_id().alias("range")).agg(F.min(key).alias("first")).orderBy("range")
     borders = [_literal(row["first"], pages) for row in firsts.collect()[1:]]
-    place = F.size(F.filter(F.array(*borders), lambda border: border <= key)) if borders else F.lit(0)
+    place = _borders_up_to(key, borders) if borders else F.lit(0)
     return pages.repartitionById(parts, place).sortWithinPartitions("doc_id", "page_num", "_row").drop("_row")
 
 
+def _borders_up_to(key: Column, borders: Sequence[Column]) -> Column:
+    """How many of the ascending borders are not above the key, by halving:
+    the cost of a row grows with the logarithm of the number of ranges."""
+    table = F.array(*borders)
+    steps = [1 << power for power in reversed(range(len(borders).bit_length()))]
+
+    def halve(found: Column, step: Column) -> Column:
+        return F.when(F.get(table, found + step - 1) <= key, found + step).otherwise(found)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), halve)
+
+
 def _literal(row: Row, typed: DataFrame) -> Column:
     values = row.asDict()
     return F.struct(*[F.lit(value).cast(typed.schema[name].dataType).alias(name) for name, value in values.items()])

@@ -329,3 +329,18 @@ def test_values_of_a_page_come_from_one_row(spark):
     for row in rows:
         assert row["width_pt"] == 102.0 and row["height_pt"] in (2.0, 5.0, 8.0)
         assert row["success"] and row["render_ms"] == row["size_bytes"] + 10 and row["encode_ms"] == row["size_bytes"] + 20
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3, 8, 9, 100])
+def test_ranges_are_found_by_halving(spark, conf, parts):
+    """A row is not held against the border of every range."""
+    conf("spark.sql.shuffle.partitions", str(parts))
+    rows = [(n * 37 % 101 if n % 9 else None, n % 7, True, 1, 1, b"i", None) for n in range(700)]
+    results = spark.createDataFrame(rows, "doc_id int, page_num int, success boolean, width int, height int, image binary, error string").repartition(5)
+    ordered = collect_pages(results)
+    assert "filter(" not in initial(ordered)
+    got = [(row["doc_id"], row["page_num"]) for row in ordered.collect()]
+    key = lambda pair: (pair[0] is not None, pair[0] or 0, pair[1])
+    assert got == sorted(((doc, page) for doc, page, *_ in rows), key=key)
+    counts = [row["count"] for row in ordered.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(counts) <= 4 * len(rows) / parts + 8
