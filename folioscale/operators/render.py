@@ -90,6 +90,20 @@ def _fits(value: Any, arrow_type: pa.DataType) -> bool:
     return False
 
 
+def _as_dicts(batch: pa.RecordBatch) -> Iterator[dict[str, Any]]:
+    """The rows of ``to_pylist``; texts, and numbers without nulls, are converted as whole columns."""
+    whole = (pa.types.is_integer, pa.types.is_float64, pa.types.is_boolean)
+
+    def values(column: pa.Array) -> list[Any]:
+        kind = column.type
+        if pa.types.is_string(kind) or (column.null_count == 0 and any(is_kind(kind) for is_kind in whole)):
+            return column.to_numpy(zero_copy_only=False).tolist()
+        return column.to_pylist()
+
+    names = batch.schema.names
+    return (dict(zip(names, row)) for row in zip(*map(values, batch.columns)))
+
+
 def _failed(error: str) -> dict[str, Any]:
     return dict(success=False, error=error, width=0, height=0, render_ms=0, encode_ms=0)
 
@@ -290,7 +304,7 @@ def map_pages(
         opened = _OpenDocument(stage.renderer(), source)
         try:
             for batch in batches:
-                yield from _batched(stage.rows(batch.to_pylist(), opened), stage.schema(batch.schema))
+                yield from _batched(stage.rows(_as_dicts(batch), opened), stage.schema(batch.schema))
         finally:
             opened.leave()
 

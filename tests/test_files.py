@@ -3,11 +3,13 @@
 import os
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from folioscale.operators.page_table import gather_pages
 from folioscale.operators.render import (
+    _as_dicts,
     InspectedPage,
     RenderedPage,
     inspect_documents,
@@ -326,3 +328,16 @@ def test_target_outside_the_folder_is_a_failed_row(spark, tmp_path):
     written = write_page_files(spark.createDataFrame(rows, schema), str(tmp_path / "out")).collect()
     assert {row["doc_id"]: row["success"] for row in written} == {"../../evil": True, "fine": True, "..": False}
     assert not (tmp_path / "evil").exists() and not list(tmp_path.glob("*.png"))
+
+
+def test_rows_of_a_batch_are_those_of_arrow():
+    columns = {
+        "whole": pa.array([1, 2, 3], pa.int32()), "holes": pa.array([1, None, (1 << 60) + 1]), "text": ["a", None, "日"],
+        "sure": [True, False, True], "unsure": [True, None, False], "real": [0.5, 1.5, 2.5], "single": pa.array([0.1, 0.2, 0.3], pa.float32()),
+        "bytes": [b"a", None, b""], "list": [["a"], None, []], "none": pa.nulls(3, pa.string()),
+    }
+    batch = pa.RecordBatch.from_pydict(columns)
+    for part in (batch, batch.slice(1, 2), batch.slice(0, 0)):
+        found = list(_as_dicts(part))
+        assert found == part.to_pylist()
+        assert [[type(value) for value in row.values()] for row in found] == [[type(value) for value in row.values()] for row in part.to_pylist()]
