@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+import time
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
@@ -74,7 +75,6 @@ class PageWriter(DataSourceArrowWriter):
         store, base = open_store(self.root)
         run = posixpath.join(base, _RUN + self.run)
         part = f"part-{uuid.uuid4().hex}.parquet"
-        store.create_dir(run, recursive=True)
         writer = None
         with store.open_output_stream(f"{run}/{part}") as file:
             for batch in iterator:
@@ -107,12 +107,20 @@ def _row_groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def discard_run(root: str, run: str) -> None:
-    """Delete what a run has not published."""
+    """Delete what a run has not published; again if a task of it that is
+    being ended began a file meanwhile."""
     store, base = open_store(root)
-    try:
-        store.delete_dir(posixpath.join(base, _RUN + run))
-    except FileNotFoundError:
-        pass
+    for attempt in range(10):
+        try:
+            store.delete_dir(posixpath.join(base, _RUN + run))
+        except FileNotFoundError:
+            return
+        except OSError:
+            if attempt == 9:
+                raise
+            time.sleep(0.1)
+        else:
+            return
 
 
 def stage_images(
@@ -124,6 +132,9 @@ def stage_images(
     spark = results.sparkSession
     spark.dataSource.register(PageImages)
     run = uuid.uuid4().hex
+    # Here and not in the tasks: one that still runs when its job is aborted must not make it anew.
+    store, base = open_store(root)
+    store.create_dir(posixpath.join(base, _RUN + run), recursive=True)
     kept = [name for name in results.columns if name not in ("success", "error", "image", "size_bytes", "target", "mime")]
     ready = results.select(*kept, "success", "error", "image", target.alias("target"), format_mime("format").alias("mime"))
     options = {"root": root, "run": run}
