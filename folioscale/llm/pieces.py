@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into segments that no piece crosses, and each distinct segment is
-encoded once. Its substrings of at most the longest piece's length are joined
-with the piece table; what matches are the edges of its lattice, which are
-grouped by segment and folded with a higher-order ``aggregate``.
+Texts are cut into segments that no piece crosses. The most frequent ones make
+a dictionary: their substrings of at most the longest piece's length are joined
+with the piece table; what matches are the edges of a segment's lattice, which
+are grouped by segment and folded with a higher-order ``aggregate``.
 
 The fold follows the model's own rule. For a BPE model that is: merge the
 neighbours whose piece has the highest score, leftmost first, until none is
@@ -14,8 +14,10 @@ table is checked to merge every piece from parts of better scores, so a merge
 never makes an earlier edge possible. Segments too long for a mask, and all
 segments of a model that fails the check, follow the same rule in a Python task.
 
-Frequent segments, a bounded number, are looked up in a broadcast table; all
-others meet their encoding in a shuffle. Nothing is dropped.
+The dictionary, of bounded size, goes to all tasks. Other segments, most of which
+occur once, would cost a shuffled row each to meet an encoding that nobody else
+needs; the task that reads the text builds and folds their lattices itself, by the
+same rule. Only counts of segments are shuffled. Nothing is dropped.
 
 A space becomes the sign U+2581, as does the start of a text. Characters that
 no piece has are encoded as bytes. Decoding gives the text back, except that a
@@ -28,25 +30,33 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
+import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from folioscale.llm.common import materialised, stored, text_hash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MASK_CHARS = 62
-FREQUENT = 1 << 18
+FREQUENT = 1 << 16
+REMEMBERED = 200_000  # segments that a task keeps beside its texts
+ROWS_AT_ONCE = 1024
 
 # Where segments end: at a space, around line ends and tabs, between a letter and a mark.
-CUT = rf"(?<=[^{SPACE}])(?={SPACE})|(?<=[\n\t])|(?=[\n\t])|(?<=\p{{L}})(?=[.,!?;:])"
+_MARK = re.compile(r"[\n\t.,!?;:]")
+_AT_SPACES = re.compile(rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _CUT_IN_PIECE = regex.compile(rf"[^{SPACE}]{SPACE}|.[\n\t]|[\n\t].|\p{{L}}[.,!?;:]")
 
 
@@ -86,11 +96,27 @@ class PieceModel:
         return F.array(*[F.lit(self.byte_ids[value]) for value in range(256)])
 
 
-def segments(text: Column) -> Column:
-    """The segments of a text, in order."""
-    escaped = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-    parts = F.array_remove(F.split(escaped, CUT), "")
-    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, parts).otherwise(F.array().cast("array<string>"))
+def between_spaces(text: str | None) -> list[str]:
+    """A text's parts, cut before its runs of spaces; each begins with one or more as U+2581."""
+    if not text:
+        return []
+    if "  " in text or SPACE in text or text[0] == " ":
+        return _AT_SPACES.findall(SPACE + text.replace(" ", SPACE))
+    return (SPACE + text.replace(" ", f" {SPACE}")).split(" ")
+
+
+def segments(part: str) -> list[str]:
+    """The segments of a part of ``between_spaces``, in order."""
+    cuts = [0]
+    for found in _MARK.finditer(part):
+        at = found.start()
+        if part[at] in "\n\t":
+            cuts += [at, at + 1]
+        elif part[at - 1].isalpha():
+            cuts.append(at)
+    if len(cuts) == 1:
+        return [part]
+    return [part[start:stop] for start, stop in itertools.pairwise([*cuts, len(part)]) if stop > start]
 
 
 def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
@@ -234,15 +260,30 @@ def decode_ids(tokens: DataFrame, model: PieceModel, keys: list[str]) -> DataFra
     return parts.groupBy(*keys).agg(F.decode(F.unhex(hexes), "UTF-8").alias("decoded"))
 
 
+def segment_counts(texts: DataFrame) -> DataFrame:
+    """(word, places) of the segments in parts that are found twice or more in a batch of texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                parts.update(between_spaces(text))
+            counts: Counter = Counter()
+            for part, places in parts.items():
+                if places > 1:
+                    for word in segments(part):
+                        counts[word] += places
+            words, places = list(counts), list(counts.values())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(places, pa.int64())], ["word", "places"])
+
+    return texts.mapInArrow(count, "word string, places bigint").groupBy("word").agg(F.sum("places").alias("places"))
+
+
 def dictionary(docs: DataFrame, model: PieceModel, text_column: str = "text") -> DataFrame:
-    """(word, places, ids, whole) of all distinct segments; ``whole`` if decoding gives the word back."""
-    words = docs.select(F.explode(segments(F.col(f"`{text_column}`"))).alias("word"))
-    counted = stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("places")), "segments")
-    encoded = stored(encode_words(counted.select("word").distinct(), model), "encoded-segments")
-    decoded = decode_ids(encoded, model, ["word"])
-    return counted.join(encoded, "word").join(decoded, "word", "left").select(
-        "word", "places", "ids", F.coalesce(F.col("decoded") == F.col("word"), F.lit(False)).alias("whole")
-    )
+    """(word, ids) of the most frequent segments, ``FREQUENT`` at most."""
+    counted = stored(segment_counts(docs.select(F.col(f"`{text_column}`"))), "segments")
+    often = counted.where(F.col("places") >= _frequent_from(counted)).select("word")
+    return stored(encode_words(often.repartition("word"), model), "dictionary")
 
 
 def _frequent_from(known: DataFrame) -> int:
@@ -258,35 +299,164 @@ def _frequent_from(known: DataFrame) -> int:
     return least
 
 
-def encode_documents(docs: DataFrame, model: PieceModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, text_hash, position, ids, whole): one row per segment of every text."""
+class Encodings(dict):
+    """(ids, decoded bytes, whether these are the segment's own) per segment.
+
+    Segments of the dictionary have their ids from it. Others go through the same
+    lattice and fold when they are met, and are remembered up to a limit.
+    """
+
+    def __init__(self, known: pd.DataFrame, model: PieceModel) -> None:
+        super().__init__()
+        self.scores = {piece: (number, score) for piece, number, score in model.pieces}
+        self.byte_ids = model.byte_ids
+        # Where pieces end, and what begins a longer one.
+        self.tree: dict[str, tuple[float, int] | None] = {piece[:end]: None for piece, _, _ in model.pieces for end in range(1, len(piece))}
+        self.tree |= {piece: (-score, number) for piece, number, score in model.pieces}
+        self.most = 0 if model.late else MASK_CHARS
+        self.raw = {number: bytes.fromhex(digits) for number, digits in model.hex}
+        self.frequent = {word: list(ids) for word, ids in zip(known["word"], known["ids"], strict=True)}
+
+    def __missing__(self, word: str) -> tuple[list[int], bytes, bool]:
+        if len(self) > REMEMBERED:
+            self.clear()
+        ids = self.frequent.get(word)
+        if ids is None:
+            ids = self._folded(word) if len(word) <= self.most else merged(word, self.scores, self.byte_ids)
+        decoded = b"".join(map(self.raw.__getitem__, ids))
+        found = self[word] = (ids, decoded, decoded == word.encode())
+        return found
+
+    def _folded(self, word: str) -> list[int]:
+        """What ``lattice`` and ``fold`` do, for one segment."""
+        size, tree, edges = len(word), self.tree, []
+        for start in range(size - 1):
+            for stop in range(start + 2, size + 1):
+                found = tree.get(word[start:stop], 0)
+                if found:
+                    edges.append((found[0], start, stop))
+                elif found == 0:  # begins no longer piece
+                    break
+        edges.sort()
+        cuts = (1 << size + 1) - 1
+        for _, start, stop in edges:
+            ends, inner = 1 << start | 1 << stop, (1 << stop) - (2 << start)
+            cut = cuts & inner
+            # One cut is left between two pieces that both stand.
+            if cut and not cut & cut - 1 and cuts & ends == ends:
+                cuts ^= cut
+        places = [at for at in range(size + 1) if cuts >> at & 1]
+        ids: list[int] = []
+        for start, stop in itertools.pairwise(places):
+            piece = word[start:stop]
+            found = tree.get(piece)
+            ids += [found[1]] if found else map(self.byte_ids.__getitem__, piece.encode())
+        return ids
+
+
+@dataclass(frozen=True)
+class Encoded:
+    """Texts side by side: where their segments and ids end, and what these are."""
+
+    segments: np.ndarray  # texts + 1 places
+    ends: np.ndarray  # segments + 1 places among the ids
+    ids: np.ndarray
+    whole: np.ndarray  # per segment
+    decoded: list[str]
+
+
+def _runs(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of ``values``, one after the other."""
+    stops = np.cumsum(sizes)
+    return values[np.repeat(begins - (stops - sizes), sizes) + np.arange(int(sizes.sum()))]
+
+
+def _places(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
+def encoded_texts(texts: list[str | None], encodings: Encodings) -> Encoded:
+    split = [between_spaces(text) for text in texts]
+    borders = _places(np.fromiter(map(len, split), np.int64, len(split)))
+    coded = pa.array(itertools.chain.from_iterable(split), pa.string()).dictionary_encode()
+    at = coded.indices.to_numpy()
+    words = [segments(part) for part in coded.dictionary.to_pylist()]
+    count = np.fromiter(map(len, words), np.int64, len(words))
+    found = [encodings[word] for word in itertools.chain.from_iterable(words)]
+    sizes = np.fromiter([len(ids) for ids, _, _ in found], np.int64, len(found))
+    whole = np.fromiter([same for _, _, same in found], bool, len(found))
+    ends = _places(sizes)
+    ids = np.fromiter(itertools.chain.from_iterable([ids for ids, _, _ in found]), np.int32, int(ends[-1]))
+    stops = _places(count)
+    begins, length = ends[stops[:-1]], np.diff(ends[stops])
+    first = stops[:-1][at]
+    bytes_of = [decoded for _, decoded, _ in found]
+    raw = [b"".join(bytes_of[start:stop]) for start, stop in itertools.pairwise(stops.tolist())]
+    places = at.tolist()
+    joined = (b"".join(map(raw.__getitem__, places[start:stop])) for start, stop in itertools.pairwise(borders.tolist()))
+    return Encoded(
+        _places(count[at])[borders],
+        _places(_runs(sizes, first, count[at])),
+        _runs(ids, begins[at], length[at]),
+        _runs(whole, first, count[at]),
+        # The sign that stands before every text is not part of it.
+        [text.decode("utf-8", "replace").replace(SPACE, " ")[1:] for text in joined],
+    )
+
+
+def _hashed(values: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """XXH64 of 32-bit integers, as SQL's ``xxhash64`` has it."""
+    out = seeds + np.uint64(0x27D4EB2F165667C5 + 4)
+    out ^= values.astype(np.uint32).astype(np.uint64) * np.uint64(0x9E3779B185EBCA87)
+    out = (out << np.uint64(23) | out >> np.uint64(41)) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9)
+    out = (out ^ out >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    out = (out ^ out >> np.uint64(29)) * np.uint64(0x165667B19E3779F9)
+    return out ^ out >> np.uint64(32)
+
+
+def _place_hashes(found: Encoded) -> np.ndarray:
+    """31 bits of ``xxhash64(position, ids)`` for each segment."""
+    counts, sizes = np.diff(found.segments), np.diff(found.ends)
+    position = np.arange(len(sizes)) - np.repeat(found.segments[:-1], counts)
+    out = _hashed(position, np.full(len(sizes), 42, np.uint64))
+    active = np.arange(len(sizes))
+    for number in range(int(sizes.max(initial=0))):
+        active = active[sizes[active] > number]
+        out[active] = _hashed(found.ids[found.ends[active] + number], out[active])
+    return (out & np.uint64((1 << 31) - 1)).astype(np.int64)
+
+
+def _encoded_rows(docs: DataFrame, model: PieceModel, id_column: str, text_column: str, columns, schema: str) -> DataFrame:
+    """(doc_id, text_hash, ...): ``columns`` makes rows of a batch's keys and its encoded texts.
+
+    Rows stay where they are: no segment is shuffled.
+    """
     text = F.col(f"`{text_column}`")
-    known = stored(dictionary(docs, model, text_column), "dictionary")
-    least = _frequent_from(known)
-    often = known.where(F.col("places") >= least).select("word", "ids", "whole")
-    seldom = known.where(F.col("places") < least).select("word", "ids", "whole")
-    keyed = docs.select(F.col(f"`{id_column}`").alias("doc_id"), text_hash(text).alias("text_hash"), segments(text).alias("_parts"))
-    placed = keyed.select("doc_id", "text_hash", F.posexplode("_parts").alias("position", "word"))
-    looked = looked_up(placed, often, "word")
-    columns = ["doc_id", "text_hash", "position", "ids", "whole"]
-    rest = looked.where("ids is null").select("doc_id", "text_hash", "position", "word").join(seldom, "word")
-    return looked.where("ids is not null").select(*columns).unionByName(rest.select(*columns))
-
-
-def decode_documents(tokens: DataFrame, model: PieceModel) -> DataFrame:
-    """Add ``decoded_sha256`` to rows whose last column, ``ids``, has the ids of a whole document in order."""
-    parts = {number: bytes.fromhex(digits) for number, digits in model.hex}
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known, at_once = dictionary(docs, model, text_column).toPandas(), ROWS_AT_ONCE  # FREQUENT rows at most
+    rows = docs.select(F.col(f"`{id_column}`").alias("doc_id"), text_hash(text).alias("text_hash"), text.alias("text"))
+    out = StructType([*rows.schema.fields[:2], *StructType.fromDDL(schema).fields])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        encodings = Encodings(known, model)
         for batch in batches:
-            found = []
-            for ids in batch.column(batch.num_columns - 1):
-                text = b"".join(map(parts.__getitem__, ids.values.to_pylist())).decode("utf-8", "replace")
-                # The sign that stands before every text is not part of it.
-                found.append(hashlib.sha256(text.replace(SPACE, " ")[1:].encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "decoded_sha256"])
+            for first in range(0, batch.num_rows, at_once):
+                part = batch.slice(first, at_once)
+                yield pa.RecordBatch.from_arrays(columns(part, encoded_texts(part.column(2).to_pylist(), encodings)), out.names)
+
+    return rows.mapInArrow(encode, out)
 
-    return tokens.mapInArrow(decode, StructType([*tokens.schema.fields, StructField("decoded_sha256", StringType())]))
+
+def encode_documents(docs: DataFrame, model: PieceModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, text_hash, position, ids, whole): one row per segment of every text."""
+
+    def columns(batch: pa.RecordBatch, found: Encoded) -> list[pa.Array]:
+        rows = np.repeat(np.arange(batch.num_rows), np.diff(found.segments))
+        position = np.arange(len(rows)) - found.segments[rows]
+        keys = [batch.column(at).take(pa.array(rows)) for at in (0, 1)]
+        return [*keys, pa.array(position, pa.int32()), pa.ListArray.from_arrays(found.ends, found.ids), pa.array(found.whole)]
+
+    return _encoded_rows(docs, model, id_column, text_column, columns, "position int, ids array<int>, whole boolean")
 
 
 def encoded_digest(docs: DataFrame, model: PieceModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -298,41 +468,25 @@ def encoded_digest(docs: DataFrame, model: PieceModel, id_column: str = "doc_id"
     ``decoded_sha256`` the digest of the text that they decode to, and
     ``same_text`` says whether that is the document's own: not so if it has a U+2581.
     """
-    tokens = encode_documents(docs, model, id_column, text_column)
-    facts = tokens.groupBy("doc_id", "text_hash").agg(
-        F.count(F.lit(1)).alias("n_segments"),
-        F.sum(F.size("ids").cast("long")).alias("n_tokens"),
-        F.sum(F.xxhash64("position", "ids").bitwiseAND(F.lit((1 << 31) - 1))).alias("ids_sum"),
-        F.min("whole").alias("round_trip"),
-        # A set, as equal rows have the same segments.
-        F.sort_array(F.collect_set(F.struct("position", "ids"))).alias("_parts"),
-    )
-    facts = facts.withColumn("ids", F.flatten(F.transform("_parts", lambda part: part["ids"]))).drop("_parts")
-    facts = decode_documents(facts, model)
-    text = F.col(f"`{text_column}`")
-    rows = docs.select(
-        F.col(f"`{id_column}`").alias("doc_id"),
-        text_hash(text).alias("text_hash"),
-        F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256).alias("_sha256"),
-    )
-    rows = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_copies"), F.min("_sha256").alias("_sha256"))
-    same = rows["doc_id"].eqNullSafe(facts["doc_id"]) & (rows["text_hash"] == facts["text_hash"])
-
-    def each(name: str) -> Column:
-        # Equal rows were added up together.
-        return F.coalesce((facts[name] / rows["_copies"]).cast("long"), F.lit(0)).alias(name)
-
-    # A text without tokens is decoded to the empty one.
-    decoded = F.coalesce(facts["decoded_sha256"], F.sha2(F.lit(b""), 256))
-    joined = rows.join(facts, same, "left").select(
-        rows["doc_id"],
-        each("n_segments"),
-        each("n_tokens"),
-        each("ids_sum"),
-        F.coalesce(facts["round_trip"], F.lit(True)).alias("round_trip"),
-        F.coalesce(facts["ids"], F.array().cast("array<int>")).alias("ids"),
-        decoded.alias("decoded_sha256"),
-        (decoded == rows["_sha256"]).alias("same_text"),
-        F.explode(F.sequence(F.lit(1).cast("long"), rows["_copies"])).alias("_copy"),
-    )
-    return joined.drop("_copy")
+
+    def columns(batch: pa.RecordBatch, found: Encoded) -> list[pa.Array]:
+        def total(values: np.ndarray) -> np.ndarray:
+            return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[found.segments])
+
+        tokens = found.ends[found.segments]
+        digests = [hashlib.sha256(text.encode()).hexdigest() for text in found.decoded]
+        same = [text == (own or "") for text, own in zip(found.decoded, batch.column(2).to_pylist(), strict=True)]
+        return [
+            batch.column(0),
+            batch.column(1),
+            pa.array(np.diff(found.segments).astype(np.int64)),
+            pa.array(np.diff(tokens).astype(np.int64)),
+            pa.array(total(_place_hashes(found))),
+            pa.array(total(~found.whole) == 0),
+            pa.ListArray.from_arrays(tokens, found.ids),
+            pa.array(digests, pa.string()),
+            pa.array(same, pa.bool_()),
+        ]
+
+    schema = "n_segments bigint, n_tokens bigint, ids_sum bigint, round_trip boolean, ids array<int>, decoded_sha256 string, same_text boolean"
+    return _encoded_rows(docs, model, id_column, text_column, columns, schema).drop("text_hash")

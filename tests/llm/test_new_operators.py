@@ -9,11 +9,12 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from folioscale.llm import manifest
+from folioscale.llm import manifest, pieces
 from folioscale.llm.alignment import SPACE, Aligner, Tokenizers, align_documents, alignment_digest, pair_counts
 from folioscale.llm.classifier import BINS, classify, estimated_prior, figures_of
 from folioscale.llm.manifest import BLOCK, build_manifest, folded, verified_digest
 from folioscale.llm.queries import BYTE_BPE, PIECE_BPE, QUERIES
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -304,3 +305,21 @@ def test_pairs_are_bounded_by_the_vocabularies(spark, source):
         assert one.endswith(other) or other.endswith(one)
     assert source.most_pairs() < 1_000_000
     assert all(sha(row["groups"]) == row["groups_sha256"] for row in found.where("n_links > 0").collect())
+
+
+def test_pieces_do_not_shuffle_segments(spark, monkeypatch):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    library, model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.PieceModel()
+    rows = [(n, f"A word{n}, and  anoth\u00e9r:\n\tthe {'x' * n} \u65e5\u672c \u2581 end.{n} ") for n in range(90)] + [(90, None), (90, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    results = []
+    for most in (1 << 16, 0):  # with and without a dictionary
+        monkeypatch.setattr(pieces, "FREQUENT", most)
+        result = pieces.encoded_digest(docs, model)
+        assert "Exchange" not in result._jdf.queryExecution().executedPlan().toString()
+        results.append(sorted(result.collect()))
+    assert results[0] == results[1]
+    assert [list(row["ids"]) for row in results[0]] == [library.encode(text or "") for _, text in rows]
+    parts = pieces.encode_documents(docs, model)
+    sums = parts.groupBy("doc_id").agg(F.sum(F.xxhash64("position", "ids").bitwiseAND(F.lit((1 << 31) - 1))).alias("sum"))
+    assert {tuple(row) for row in sums.collect()} == {(row["doc_id"], row["ids_sum"]) for row in results[0][:90]}
