@@ -10,6 +10,7 @@ import xxhash
 _NOT_SPACE = re.compile(r"[^\x20\x09-\x0d]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_WORD = (1 << 64) - 1
 _CACHE_LIMIT = 400_000
 
 
@@ -45,9 +46,15 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     count = len(hashes) - width + 1
     if count <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(count, np.uint64)
-    for offset in range(width):
-        out = out * _ODD + hashes[offset : offset + count]
+    # A window's sum from those of its halves: doubled along the bits of the width.
+    out, done, power = np.zeros(len(hashes), np.uint64), 0, 1
+    for bit in f"{width:b}":
+        if done:
+            out, done = out[: len(out) - done] * np.uint64(power) + out[done:], done * 2
+            power = power * power & _WORD
+        if bit == "1":
+            out, done = (out[: len(hashes) - done] * _ODD + hashes[done:], done + 1) if done else (hashes, 1)
+            power = power * int(_ODD) & _WORD
     return mixed(out)
 
 
