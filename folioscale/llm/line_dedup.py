@@ -11,10 +11,11 @@ positions of the shared word and a parity signature of 128 bits bound the
 overlap from above; what passes is verified on the full sets.
 
 Only whether a line has an earlier similar one is asked, not for all pairs. So
-where more than ``HOT_SETS`` sets share a word, each first meets the earliest of
-them. In a group of lines that nearly equal each other this settles almost all;
-a settled set needs no other partner, it stays the earlier side only. The sets
-still open then meet all earlier ones of their words, which makes it exact.
+each set first meets the earliest one of every word of its prefix, if both have
+several of these words in common. In a group of lines that nearly equal each
+other this settles almost all, however large or small the group; a settled set
+needs no other partner, it stays the earlier side only. The sets still open then
+meet all earlier ones of their words, which makes it exact.
 
 Rarity is counted over all lines, in a table of ``RARITY_BUCKETS`` hashed words
 whose size does not depend on the input. Lines with equal sets are one set from
@@ -28,15 +29,15 @@ removed from all. Other columns of the input are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscale.llm.common import folded, materialised, stored, text_hash, unfolded
 
 RARITY_BUCKETS = 1 << 16
 FLAGS = 1 << 20
-#: Words of more sets get a hub; a set meets at most so many others by one of the other words.
-HOT_SETS = 64
+#: Of the words of its prefix, how many a set has in common with a hub that it meets.
+HUB_SHARE = 1 / 3
 SETTLED = 1 << 62
 PERCENT = 80
 OTHER_SPACE = r"[\x09\x0B-\x0D]"
@@ -85,7 +86,11 @@ def _ordered(words: Column, table: bytes) -> Column:
         rarity = F.get(classes, value.bitwiseAND(F.lit(RARITY_BUCKETS - 1)).cast("int"))
         return rarity.bitwiseOR(F.shiftrightunsigned(value, 8))
 
-    return F.sort_array(F.transform(F.array_distinct(words), keyed))
+    return F.sort_array(F.array_distinct(F.transform(words, keyed)))
+
+
+def _prefix_size(size: Column) -> Column:
+    return (size - size % 5) / 5 + 1
 
 
 def _parity(keys: str, half: int) -> Column:
@@ -103,7 +108,7 @@ def line_sets(lines: DataFrame, table: bytes) -> DataFrame:
     """Per line with words: its place, set, size, prefix of rare words and signature."""
     hashed = materialised(lines.select(*ROW, "line"), ordered=_ordered(_words(), table)).where(F.size("ordered") > 0)
     size = F.size("ordered")
-    short = F.transform(F.slice("ordered", F.lit(1), ((size - size % 5) / 5 + 1).cast("int")), lambda key: key.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    short = F.transform(F.slice("ordered", F.lit(1), _prefix_size(size).cast("int")), lambda key: key.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     return hashed.select(
         *ROW,
         F.xxhash64("ordered").alias("set_id"),
@@ -115,9 +120,9 @@ def line_sets(lines: DataFrame, table: bytes) -> DataFrame:
 
 
 def distinct_sets(placed: DataFrame) -> DataFrame:
-    """Each set once, with its ``first`` place and a number ``no`` that ascends with it."""
+    """Each set once, with its ``first`` place, a number ``no`` that ascends with it, and in how many ``lines`` it is."""
     sets = placed.groupBy("set_id").agg(
-        F.min(F.struct(*ROW)).alias("first"), *[F.first(name).alias(name) for name in ("size", "prefix", "odd_low", "odd_high")]
+        F.min(F.struct(*ROW)).alias("first"), F.count(F.lit(1)).alias("lines"), *[F.first(name).alias(name) for name in ("size", "prefix", "odd_low", "odd_high")]
     )
     ranges = sets.repartitionByRange("first").sortWithinPartitions("first")
     return stored(ranges.withColumn("no", F.monotonically_increasing_id()), "distinct-sets")
@@ -127,39 +132,49 @@ def _entries(sets: DataFrame) -> DataFrame:
     """A row per set and word of its prefix; ``where`` holds the set's size, the
     word's place, and whether the set is settled."""
     entries = sets.select("no", "size", "odd_low", "odd_high", "settled", F.posexplode("prefix").alias("place", "word"))
-    packed = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("size").cast("long"))
-    return entries.select("word", "no", packed.bitwiseOR(F.when(F.col("settled"), SETTLED).otherwise(0)).alias("where"), "odd_low", "odd_high")
+    settled = F.when(F.col("settled"), SETTLED).otherwise(0)
+    return entries.select("word", "no", _where().bitwiseOR(settled).alias("where"), "odd_low", "odd_high")
 
 
-def _may_be_similar(x: str, y: str) -> Column:
-    """Lengths, places and signatures of two entries of a word do not rule out similarity."""
+def _where() -> Column:
+    return F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.col("size").cast("long"))
+
+
+def _size_in(where: Column) -> Column:
+    return where.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _in_reach(x: Column, y: Column) -> Column:
+    """Lengths and places of two entries of a word do not rule out similarity."""
 
-    def size(side: str) -> Column:
-        return F.col(f"{side}.where").bitwiseAND(F.lit(0xFFFFFFFF))
+    def place(where: Column) -> Column:
+        return F.shiftright(where, 32).bitwiseAND(F.lit(0x3FFFFFFF))
 
-    def place(side: str) -> Column:
-        return F.shiftright(F.col(f"{side}.where"), 32).bitwiseAND(F.lit(0x3FFFFFFF))
+    x_size, y_size = _size_in(x), _size_in(y)
+    long_enough = (x_size * 100 >= y_size * PERCENT) & (y_size * 100 >= x_size * PERCENT)
+    most = F.least(place(x), place(y)) + F.least(x_size - place(x), y_size - place(y))
+    # With similarity 0.8, sets of a and b words share 4/9 (a+b).
+    return long_enough & (most * 9 >= (x_size + y_size) * 4)
 
-    long_enough = (size(x) * 100 >= size(y) * PERCENT) & (size(y) * 100 >= size(x) * PERCENT)
+
+def _may_be_similar(x: str, y: str) -> Column:
+    """Nor do the signatures."""
     differ = sum(F.bit_count(F.col(f"{x}.{odd}").bitwiseXOR(F.col(f"{y}.{odd}"))) for odd in ("odd_low", "odd_high"))
-    # With similarity 0.8, sets of a and b words share 4/9 (a+b), and differ in (a+b)/9 at most.
-    alike = differ * 9 <= size(x) + size(y)
-    most = F.least(place(x), place(y)) + F.least(size(x) - place(x), size(y) - place(y))
-    return long_enough & alike & (most * 9 >= (size(x) + size(y)) * 4)
-
-
-def hub_pairs(entries: DataFrame) -> DataFrame:
-    """(x, y): each set with the earliest one of every word that more than
-    ``HOT_SETS`` sets have in their prefix."""
-    # Counts are the slimmest rows to shuffle; the words found are few, and stored, so that Spark knows it.
-    hot = entries.groupBy("word").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > HOT_SETS).select("word")
-    entries = entries.join(stored(hot, "hot-words"), "word")
-    hubs = entries.groupBy("word").agg(
-        F.min("no").alias("no"), *[F.min_by(name, "no").alias(name) for name in ("where", "odd_low", "odd_high")]
-    )
-    x, y = hubs.alias("x"), entries.alias("y")
-    near = x.join(y, (F.col("x.word") == F.col("y.word")) & (F.col("x.no") < F.col("y.no")) & _may_be_similar("x", "y"))
-    return near.select(F.col("x.no").alias("x"), F.col("y.no").alias("y")).distinct()
+    # With similarity 0.8, sets of a and b words differ in (a+b)/9 at most.
+    alike = differ * 9 <= _size_in(F.col(f"{x}.where")) + _size_in(F.col(f"{y}.where"))
+    return alike & _in_reach(F.col(f"{x}.where"), F.col(f"{y}.where"))
+
+
+def hub_pairs(sets: DataFrame) -> DataFrame:
+    """(x, y): each set with the earliest one of its prefix words, if they have
+    ``HUB_SHARE`` of them in common. Nothing rests on this share: sets that meet
+    no hub stay open."""
+    entries = sets.select("no", "size", F.posexplode("prefix").alias("place", "word")).select("word", "no", _where().alias("where"))
+    earlier = Window.partitionBy("word").orderBy("no")
+    met = entries.select("no", "where", F.first("no").over(earlier).alias("x"), F.first("where").over(earlier).alias("x_where"))
+    near = met.where((F.col("x") < F.col("no")) & _in_reach(F.col("x_where"), F.col("where")))
+    shared = near.groupBy("x", F.col("no").alias("y")).agg(F.count(F.lit(1)).alias("words"), F.first("where").alias("where"))
+    return shared.where(F.col("words") >= _prefix_size(_size_in(F.col("where"))) * HUB_SHARE).select("x", "y")
 
 
 def open_pairs(entries: DataFrame) -> DataFrame:
@@ -216,16 +231,16 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     placed = stored(line_sets(lines, rarity_table(lines)), "line-sets")
     sets = distinct_sets(placed)
     nothing = docs.sparkSession.createDataFrame([], "y bigint")
-    hubs = stored(hub_pairs(_entries(sets.withColumn("settled", F.lit(False)))), "hub-pairs")
+    hubs = stored(hub_pairs(sets), "hub-pairs")
     settled = nothing if hubs.isEmpty() else similar_sets(hubs, sets, lines)
     marked = sets.join(settled.select(F.col("y").alias("no"), F.lit(True).alias("settled")), "no", "left")
     others = stored(open_pairs(_entries(marked.withColumn("settled", F.coalesce("settled", F.lit(False))))), "open-pairs")
     later = settled if others.isEmpty() else settled.unionByName(similar_sets(others, sets, lines))
-    gone = later.distinct().select(F.col("y").alias("no"), F.lit(True).alias("later"))
-    known = sets.select("set_id", "no", "first").join(gone, "no", "left")
-    decided = placed.select(*ROW, "set_id").join(known, "set_id")
-    out = F.coalesce("later", F.lit(False)) | (F.struct(*ROW) > F.col("first"))
-    return decided.where(out).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    # Of sets that several lines have, all lines but the first go; of a set with an earlier similar one, the first too.
+    several = sets.where("lines > 1").select("set_id", "first")
+    repeats = placed.select(*ROW, "set_id").join(several, "set_id").where(F.struct(*ROW) > F.col("first")).select(*ROW)
+    firsts = sets.select("no", "first").join(later.select(F.col("y").alias("no")).distinct(), "no").select("first.*")
+    return repeats.unionByName(firsts).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def _with_removed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -240,11 +255,10 @@ def _with_removed(docs: DataFrame, id_column: str, text_column: str) -> DataFram
 def line_digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: ``doc_id, n_lines, n_removed, removed_lines``."""
     text = F.coalesce(F.col(f"`{text_column}`"), F.lit(""))
-    line_ends = F.length(text) - F.length(F.translate(text, "\n", ""))
     # Only ids, hashes and counts meet what is removed, no texts.
     slim = docs.select(
         F.col(f"`{id_column}`").alias("doc_id"),
-        (line_ends + 1).cast("long").alias("n_lines"),
+        F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
         text_hash(F.col(f"`{text_column}`")).alias("own_hash"),
     )
     removed = repeated_lines(docs, id_column, text_column)

@@ -55,3 +55,19 @@ def test_chains_and_near_misses_equal_brute_force(spark):
     draw.shuffle(lines)
     expected = {at for at, gone in enumerate(brute_force(lines)) if gone and lines[at]}
     assert removed(spark, lines) == expected and len(expected) > 100
+
+
+def test_small_groups_make_no_pair_of_all_their_lines(spark, monkeypatch):
+    # Forty lines of a group are too few to be frequent words; they still meet the earliest only.
+    draw, lines = random.Random(5), []
+    for group in range(30):
+        words = [f"g{group}w{at}" for at in range(40)]
+        for number in range(40):
+            edited = list(words)
+            edited[number] = f"g{group}edit{number}"
+            lines.append(" ".join(edited))
+    draw.shuffle(lines)
+    counts = spy_on_pairs(monkeypatch)
+    expected = {at for at, gone in enumerate(brute_force(lines)) if gone}
+    assert removed(spark, lines) == expected and len(expected) == 30 * 39
+    assert sum(counts) <= 3 * len(lines)  # all pairs would be 23,400
