@@ -26,7 +26,9 @@ kept as they are. Other columns of the inputs are not read.
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,6 +56,7 @@ PARAPHRASE_SHARE = 0.5
 FREQUENT_PART = 0.67  # of the words a match needs, how many may be too frequent to be looked up
 ANSWER_SHARE = 0.75
 CHUNK_WORDS = 1 << 16
+COUNTED_WORDS = 100_000  # words that a task counts before it adds them up by feature
 
 MATCHES = "array<struct<item_id:bigint,share:double,kind:string,start:int,stop:int>>"
 _WORD = re.compile(r"[^\W_]+")
@@ -78,14 +81,23 @@ def passages_of(words: list[str]) -> list[list[str]]:
 
 
 def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """Per feature, in how many documents it occurs; the table has a fixed size."""
+    """Per feature, in how many documents its words occur; the table has a fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, totals = Features(), np.zeros(FEATURES, np.int64)
+
+        def add(words: Counter) -> None:
+            found = np.fromiter(map(features.__getitem__, words), np.int64, len(words))
+            np.add.at(totals, found, np.fromiter(words.values(), np.int64, len(words)))
+
+        counts: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found = {features[word] for word in set(plain_words(text))}
-                totals[np.fromiter(found, np.int64, len(found))] += 1
+                counts.update(set(plain_words(text)))
+                if len(counts) > COUNTED_WORDS:
+                    add(counts)
+                    counts.clear()
+        add(counts)
         some = np.nonzero(totals)[0]
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(totals[some])], ["feature", "docs"])
 
@@ -211,6 +223,7 @@ class Items:
     most: dict[int, np.ndarray]  # per feature, the largest part of a passage that the word can be
     index: dict[int, WordIndex]
     distinct: dict[int, list[frozenset[str]]]
+    known: dict[str, int]  # the feature of each word that a passage has
 
 
 @dataclass(frozen=True)
@@ -266,7 +279,8 @@ def item_block(rows: list, space: LatentSpace, idf: np.ndarray) -> Items:
         share = space.vectors @ (vectors[length] / norms[length][:, None] ** 2).T
         most[length] = np.maximum(share.max(axis=1, initial=0.0), 0.0)[space.rows].astype(np.float32)
     distinct = {length: [frozenset(part) for part in parts] for length, parts in words.items()}
-    return Items(ids, words, vectors, norms, most, index, distinct)
+    known = {word: features[word] for parts in words.values() for part in parts for word in part}
+    return Items(ids, words, vectors, norms, most, index, distinct, known)
 
 
 def _candidates(features: np.ndarray, space: LatentSpace, items: Items) -> Iterator[tuple[int, int, int]]:
@@ -315,15 +329,18 @@ def _sharing(features: np.ndarray, items: Items) -> Iterator[tuple[int, int, int
             yield from zip(((at + first) * stride).tolist(), [length] * len(at), item.tolist(), strict=True)
 
 
-def _chunks(texts: list[str | None], features: Features) -> Iterator[tuple[list[tuple[int, int, list[str]]], np.ndarray]]:
-    """Texts side by side, apart by a window of no words: ((place, text, words)..., features)."""
+def _chunks(texts: list[str | None], known: dict[str, int]) -> Iterator[tuple[list[tuple[int, int, list[str]]], np.ndarray]]:
+    """Texts side by side, apart by a window of no words: ((place, text, words)..., features).
+
+    A word that no passage has is no word here: it can be part of no match.
+    """
     placed, parts, size = [], [], 0
     for number, text in enumerate(texts):
         words = plain_words(text)
         if not words:
             continue
         fill = -len(words) % LENGTHS[-1] + LENGTHS[-1]
-        parts += [np.fromiter(map(features.__getitem__, words), np.int64, len(words)), np.full(fill, FEATURES)]
+        parts += [np.fromiter(map(known.get, words, itertools.repeat(FEATURES)), np.int64, len(words)), np.full(fill, FEATURES)]
         placed.append((size, number, words))
         size += len(words) + fill
         if size >= CHUNK_WORDS:
@@ -333,10 +350,10 @@ def _chunks(texts: list[str | None], features: Features) -> Iterator[tuple[list[
         yield placed, np.concatenate(parts)
 
 
-def find_matches(texts: list[str | None], space: LatentSpace, items: Items, features: Features) -> list[list[dict]]:
+def find_matches(texts: list[str | None], space: LatentSpace, items: Items) -> list[list[dict]]:
     """Per text, the benchmark items found in it, the best place of each."""
     out: list[list[dict]] = [[] for _ in texts]
-    for placed, run in _chunks(texts, features):
+    for placed, run in _chunks(texts, items.known):
         begins = np.array([place for place, _, _ in placed])
         best: dict[tuple[int, int], dict] = {}
         close = {
@@ -344,8 +361,10 @@ def find_matches(texts: list[str | None], space: LatentSpace, items: Items, feat
             for begin, end in _pieces(len(run))
             for at, length, item in _candidates(run[begin:end], space, items)
         }
-        for at, length, item in sorted(close.union(_sharing(run, items))):
-            place, number, words = placed[int(np.searchsorted(begins, at, "right")) - 1]
+        proposed = sorted(close.union(_sharing(run, items)))
+        texts_of = np.searchsorted(begins, [at for at, _, _ in proposed], "right") - 1
+        for (at, length, item), text in zip(proposed, texts_of.tolist(), strict=True):
+            place, number, words = placed[text]
             wanted = items.words[length][item]
             start = max(0, at - place - len(wanted) // 4)
             stop = min(len(words), at - place + length + len(wanted) // 4)
@@ -377,7 +396,8 @@ def decontaminate(
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("text is not null")
     frequency = document_frequencies(plain)
     total = max(plain.count(), 1)
-    idf = np.log((total + 1) / (frequency + 1)).astype(np.float32) + np.float32(0.05)
+    # Words that share a feature can be found in more documents together than there are.
+    idf = np.log((total + 1) / (np.minimum(frequency, total) + 1)).astype(np.float32) + np.float32(0.05)
     blocks = max(1, -(-items.count() // ITEMS_PER_BLOCK))
     number = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     parts = [items.where(number == block) for block in range(blocks)]
@@ -403,9 +423,8 @@ def _search(docs: DataFrame, rows: list, space: LatentSpace, idf: np.ndarray) ->
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
         for batch in batches:
-            matches = find_matches(batch.column(2).to_pylist(), space, items, features)
+            matches = find_matches(batch.column(2).to_pylist(), space, items)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(matches, kind)], ["doc_id", "text_hash", "matches"]
             )
