@@ -32,10 +32,12 @@ import hashlib
 import heapq
 import itertools
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -107,6 +109,13 @@ def between_spaces(text: str | None) -> list[str]:
 
 def segments(part: str) -> list[str]:
     """The segments of a part of ``between_spaces``, in order."""
+    body = part[1:-1]
+    if body.isalpha() and part[0] == SPACE:  # most parts: letters between a space and a last letter or mark
+        last = part[-1]
+        if last.isalpha():
+            return [part]
+        if last in ".,!?;:\n\t":
+            return [part[:-1], last]
     cuts = [0]
     for found in _MARK.finditer(part):
         at = found.start()
@@ -299,8 +308,13 @@ def _frequent_from(known: DataFrame) -> int:
     return least
 
 
+# By ``start << 6 | stop``: the bits of an edge's two cuts, and of the cuts within it.
+_ENDS = [1 << start | 1 << stop for start in range(64) for stop in range(64)]
+_INNER = [max(0, (1 << stop) - (2 << start)) for start in range(64) for stop in range(64)]
+
+
 class Encodings(dict):
-    """(ids, decoded bytes, whether these are the segment's own) per segment.
+    """(ids as 32-bit numbers, decoded bytes, whether these are the segment's own) per segment.
 
     Segments of the dictionary have their ids from it. Others go through the same
     lattice and fold when they are met, and are remembered up to a limit.
@@ -310,47 +324,54 @@ class Encodings(dict):
         super().__init__()
         self.scores = {piece: (number, score) for piece, number, score in model.pieces}
         self.byte_ids = model.byte_ids
-        # Where pieces end, and what begins a longer one.
-        self.tree: dict[str, tuple[float, int] | None] = {piece[:end]: None for piece, _, _ in model.pieces for end in range(1, len(piece))}
-        self.tree |= {piece: (-score, number) for piece, number, score in model.pieces}
+        # Finds all pieces in a segment, the edges of its lattice. A value is the piece's place in the order of scores,
+        # and what makes, with 65 times the place of its last character, ``start << 6 | stop``.
+        ranks = {score: rank for rank, score in enumerate(sorted({score for _, _, score in model.pieces}, reverse=True))}
+        self.edges = ahocorasick.Automaton()
+        for piece, _, score in model.pieces:
+            if len(piece) > 1:
+                self.edges.add_word(piece, (ranks[score] << 12) + 65 - (len(piece) << 6))
+        self.edges.make_automaton()
+        self.numbers = {piece: number for piece, number, _ in model.pieces}
         self.most = 0 if model.late else MASK_CHARS
         self.raw = {number: bytes.fromhex(digits) for number, digits in model.hex}
         self.frequent = {word: list(ids) for word, ids in zip(known["word"], known["ids"], strict=True)}
 
-    def __missing__(self, word: str) -> tuple[list[int], bytes, bool]:
+    def __missing__(self, word: str) -> tuple[bytes, bytes, bool]:
         if len(self) > REMEMBERED:
             self.clear()
         ids = self.frequent.get(word)
         if ids is None:
             ids = self._folded(word) if len(word) <= self.most else merged(word, self.scores, self.byte_ids)
-        decoded = b"".join(map(self.raw.__getitem__, ids))
-        found = self[word] = (ids, decoded, decoded == word.encode())
+        decoded = b"".join([self.raw[number] for number in ids])
+        # Bytes are small, and the garbage collector does not go through them.
+        found = self[word] = (array("i", ids).tobytes(), decoded, decoded == word.encode())
         return found
 
     def _folded(self, word: str) -> list[int]:
         """What ``lattice`` and ``fold`` do, for one segment."""
-        size, tree, edges = len(word), self.tree, []
-        for start in range(size - 1):
-            for stop in range(start + 2, size + 1):
-                found = tree.get(word[start:stop], 0)
-                if found:
-                    edges.append((found[0], start, stop))
-                elif found == 0:  # begins no longer piece
-                    break
-        edges.sort()
-        cuts = (1 << size + 1) - 1
-        for _, start, stop in edges:
-            ends, inner = 1 << start | 1 << stop, (1 << stop) - (2 << start)
-            cut = cuts & inner
+        edges = sorted([value + 65 * last for last, value in self.edges.iter(word)])
+        cuts = (1 << len(word) + 1) - 1
+        for edge in edges:
+            span = edge & 4095
+            cut = cuts & _INNER[span]
             # One cut is left between two pieces that both stand.
-            if cut and not cut & cut - 1 and cuts & ends == ends:
-                cuts ^= cut
-        places = [at for at in range(size + 1) if cuts >> at & 1]
-        ids: list[int] = []
-        for start, stop in itertools.pairwise(places):
+            if cut and not cut & cut - 1:
+                ends = _ENDS[span]
+                if cuts & ends == ends:
+                    cuts ^= cut
+        get, ids, start = self.numbers.get, [], 0
+        cuts >>= 1
+        while cuts:
+            stop = start + (cuts & -cuts).bit_length()
             piece = word[start:stop]
-            found = tree.get(piece)
-            ids += [found[1]] if found else map(self.byte_ids.__getitem__, piece.encode())
+            found = get(piece)
+            if found is None:
+                ids += map(self.byte_ids.__getitem__, piece.encode())
+            else:
+                ids.append(found)
+            cuts >>= stop - start
+            start = stop
         return ids
 
 
@@ -382,15 +403,15 @@ def encoded_texts(texts: list[str | None], encodings: Encodings) -> Encoded:
     at = coded.indices.to_numpy()
     words = [segments(part) for part in coded.dictionary.to_pylist()]
     count = np.fromiter(map(len, words), np.int64, len(words))
-    found = [encodings[word] for word in itertools.chain.from_iterable(words)]
-    sizes = np.fromiter([len(ids) for ids, _, _ in found], np.int64, len(found))
-    whole = np.fromiter([same for _, _, same in found], bool, len(found))
+    found = list(map(encodings.__getitem__, itertools.chain.from_iterable(words)))
+    numbers, bytes_of, own = zip(*found) if found else ((), (), ())
+    sizes = np.fromiter(map(len, numbers), np.int64, len(found)) // 4
+    whole = np.fromiter(own, bool, len(found))
     ends = _places(sizes)
-    ids = np.fromiter(itertools.chain.from_iterable([ids for ids, _, _ in found]), np.int32, int(ends[-1]))
+    ids = np.frombuffer(b"".join(numbers), np.int32)
     stops = _places(count)
     begins, length = ends[stops[:-1]], np.diff(ends[stops])
     first = stops[:-1][at]
-    bytes_of = [decoded for _, decoded, _ in found]
     raw = [b"".join(bytes_of[start:stop]) for start, stop in itertools.pairwise(stops.tolist())]
     places = at.tolist()
     joined = (b"".join(map(raw.__getitem__, places[start:stop])) for start, stop in itertools.pairwise(borders.tolist()))
