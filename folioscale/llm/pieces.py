@@ -28,6 +28,7 @@ input are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import itertools
@@ -460,10 +461,16 @@ def _encoded_rows(docs: DataFrame, model: PieceModel, id_column: str, text_colum
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         encodings = Encodings(known, model)
-        for batch in batches:
-            for first in range(0, batch.num_rows, at_once):
-                part = batch.slice(first, at_once)
-                yield pa.RecordBatch.from_arrays(columns(part, encoded_texts(part.column(2).to_pylist(), encodings)), out.names)
+        # The model and the dictionary stay until the task ends: the collector need not go through them again.
+        gc.collect()
+        gc.freeze()
+        try:
+            for batch in batches:
+                for first in range(0, batch.num_rows, at_once):
+                    part = batch.slice(first, at_once)
+                    yield pa.RecordBatch.from_arrays(columns(part, encoded_texts(part.column(2).to_pylist(), encodings)), out.names)
+        finally:
+            gc.unfreeze()
 
     return rows.mapInArrow(encode, out)
 

@@ -10,7 +10,8 @@ from folioscale.llm.pieces import Encodings, PieceModel, between_spaces, merged,
 
 def test_folded_segments_are_kept_as_bytes_and_equal_merging():
     model = PieceModel()
-    encodings = Encodings(pd.DataFrame({"word": ["▁the"], "ids": [[1, 2]]}), model)
+    known = [number for _, number, _ in model.pieces[:2]]
+    encodings = Encodings(pd.DataFrame({"word": ["▁the"], "ids": [known]}), model)
     draw = random.Random(4)
     letters = "".join(piece for piece, _, _ in draw.sample(model.pieces, 300)) + "é漢😀\n\t.,!?;:"
     words = {"".join(draw.choice(letters) for _ in range(draw.randrange(1, 80))) for _ in range(2000)}
@@ -20,7 +21,7 @@ def test_folded_segments_are_kept_as_bytes_and_equal_merging():
         expected = merged(word, encodings.scores, model.byte_ids)
         assert isinstance(ids, bytes) and np.frombuffer(ids, np.int32).tolist() == expected
         assert decoded == word.encode() and whole
-    assert np.frombuffer(encodings["▁the"][0], np.int32).tolist() == [1, 2]
+    assert np.frombuffer(encodings["▁the"][0], np.int32).tolist() == known
 
 
 def test_parts_are_cut_at_their_marks():
