@@ -59,11 +59,22 @@ CHUNK_WORDS = 1 << 16
 COUNTED_WORDS = 100_000  # words that a task counts before it adds them up by feature
 
 MATCHES = "array<struct<item_id:bigint,share:double,kind:string,start:int,stop:int>>"
-_WORD = re.compile(r"[^\W_]+")
+# Bytes of ASCII that stand in no word become spaces; those of other characters stay.
+_ASCII = bytes(range(128))
+_ASCII_SPACED = bytes(byte if byte >= 128 or chr(byte).isalnum() else 32 for byte in range(256))
+_OTHER_SPACE = re.compile(r"[^\w\x00-\x7F]+")
 
 
 def plain_words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of ``[^\\W_]`` in the text in lower case."""
+    if not text:
+        return []
+    raw = text.lower().encode("utf-8", "surrogatepass")
+    spaced = raw.translate(_ASCII_SPACED).decode("utf-8", "surrogatepass")
+    if not raw.isascii() and not raw.translate(None, _ASCII).decode("utf-8", "surrogatepass").isalnum():
+        # Beyond ASCII, too, there is something other than letters and digits.
+        spaced = _OTHER_SPACE.sub(" ", spaced)
+    return spaced.split()
 
 
 class Features(dict):
