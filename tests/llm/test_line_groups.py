@@ -71,3 +71,18 @@ def test_small_groups_make_no_pair_of_all_their_lines(spark, monkeypatch):
     expected = {at for at, gone in enumerate(brute_force(lines)) if gone}
     assert removed(spark, lines) == expected and len(expected) == 30 * 39
     assert sum(counts) <= 3 * len(lines)  # all pairs would be 23,400
+
+
+def test_open_sets_meet_over_one_shuffle(spark):
+    settled = line_dedup.SETTLED
+    rows = [(7, 1, 5, 0, 0), (7, 2, 5 | settled, 0, 0), (7, 3, 5, 0, 0), (7, 4, 5, 63, 0), (7, 5, 1 << 32 | 5, 0, 0), (9, 6, 5, 0, 0)]
+    entries = spark.createDataFrame(rows, "word int, no bigint, where bigint, odd bigint, odd_half bigint").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = line_dedup.open_pairs(line_dedup.stored(entries, "entries"))
+        # 2 is an earlier side only, the signature of 4 is far from all, after its place 5 has too few words left.
+        assert {tuple(row) for row in pairs.collect()} == {(1, 3), (2, 3)}
+        assert "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
